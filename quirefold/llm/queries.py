@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import neardup
+from quirefold.llm import mixing, neardup, secrets
 from quirefold.llm.common import table
 
 
@@ -14,8 +14,17 @@ def op2_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.digest(found)
+
+
+def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hyperminhash_neardup,)}
+    return {f.__name__: f for f in (op2_hyperminhash_neardup, op6_secret_blob_ledger, op7_sainte_lague_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
