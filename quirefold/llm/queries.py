@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import mixing, neardup, quality, secrets
+from quirefold.llm import decontam, mixing, neardup, quality, secrets
 from quirefold.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pigeonhole_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.grade(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -29,7 +33,7 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hyperminhash_neardup, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix)}
+    return {f.__name__: f for f in (op2_hyperminhash_neardup, op4_pigeonhole_decontam, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
