@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import decontam, mixing, neardup, pii, quality, secrets
+from quirefold.llm import decontam, embdedup, mixing, neardup, pii, quality, secrets, urlfilter
 from quirefold.llm.common import table
 
 
@@ -36,8 +36,16 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_url_ngram_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_hyperplane_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_disclosure, op2_hyperminhash_neardup, op4_pigeonhole_decontam, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix)}
+    return {f.__name__: f for f in (op1_pii_disclosure, op2_hyperminhash_neardup, op4_pigeonhole_decontam, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix, op9_url_ngram_filter, op10_hyperplane_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
