@@ -22,6 +22,10 @@ PERCENT = 75
 #: registers, so a pair at the threshold lies more than five of them above.  With fewer filled
 #: registers than FEW the lower bound holds.
 ESTIMATE, ESTIMATE_FEW, FEW = 0.60, 0.35, 64
+#: Sets of LARGE shingles or more fill their registers, and this many bands suffice for them.
+LARGE, LARGE_BANDS = 256, 32
+#: Pairs that a task gathers before it deals them out for verification.
+GATHER = 200_000
 #: Rows of a bucket that one block holds; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
 #: Sets that one block of the verification holds, about.
@@ -50,8 +54,9 @@ def _bands(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
             keys = S.band_keys(_rows(part.column(1).to_pylist()))
-            nodes = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], names=["key", "node"])
+            used = (np.arange(S.BANDS) < LARGE_BANDS) | (part.column(2).to_numpy() < LARGE)[:, None]
+            nodes = np.repeat(part.column(0).to_numpy(), used.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(nodes)], names=["key", "node"])
 
 
 def _block_of(nodes: np.ndarray, blocks: int) -> np.ndarray:
@@ -104,7 +109,13 @@ def _across(source: Iterable[pa.RecordBatch], blocks: int) -> Iterator[pa.Record
     Input is sorted by (key, i, j); rows hold node, own block, component, n, sig.  A pair is given
     only in the first band that both share, and from its estimate on.
     """
-    held: list[tuple] = []
+    held: list[np.ndarray] = []
+
+    def dealt() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(held), axis=0)
+        held.clear()
+        return _to_batch(list(_dealt(pairs[:, 0], pairs[:, 1], blocks)))
+
     for (key, i, j), rows in groups(source, 3):
         nodes = np.array([r[0] for r in rows], dtype=np.int64)
         own = np.array([r[1] for r in rows])
@@ -128,12 +139,11 @@ def _across(source: Iterable[pa.RecordBatch], blocks: int) -> Iterator[pa.Record
         left, right = np.array(left), np.array(right)
         first = ~(keys[left, :band] == keys[right, :band]).any(axis=1)
         if first.any():
-            held += _dealt(nodes[left[first]], nodes[right[first]], blocks)
-        if len(held) > 4000:
-            yield _to_batch(held)
-            held = []
+            held.append(np.stack([nodes[left[first]], nodes[right[first]]], axis=1))
+        if sum(map(len, held)) > GATHER:
+            yield dealt()
     if held:
-        yield _to_batch(held)
+        yield dealt()
 
 
 def _sets(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Every row gets its set's size, identity (a 64-bit hash of the set) and HyperMinHash sketch.
        Equal sets become one node, by partial aggregation, so copies never meet pairwise.
-    2. Banded registers (64 bands of 4 densified registers; a pair at the threshold is missed with
-       probability below 1e-10) put nodes into buckets.  Each member is paired with its bucket's
+    2. Banded registers put nodes into buckets: 64 bands of 4 densified registers, or 32 for sets of LARGE
+       shingles or more.  A pair exactly at the threshold is missed with probability 5e-6 at most, at
+       0.8 with 5e-8.  Each member is paired with its bucket's
        smallest node, the collision-corrected estimate drops clear misses, and full sets decide.
     3. After the components of those links, the pairs that are left are those within a bucket but
        across components.  They are estimated in blocks and verified likewise, so that no link
@@ -207,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = materialise(rows.mapInArrow(_sketches, f"id {kind}, rid long, node long, n long, sig binary"), "sketch")
     nodes = materialise(sketches.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sig").alias("sig")), "node")
 
-    banded = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
+    banded = nodes.select("node", "sig", "n").mapInArrow(_bands, "key long, node long")
     shared = banded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     members = materialise(banded.join(shared, "key"), "member")
 
