@@ -29,7 +29,7 @@ GATHER = 200_000
 #: Rows of a bucket that one block holds; larger buckets are dealt out as pairs of blocks.
 BLOCK = 512
 #: Sets that one block of the verification holds, about.
-SETS = 1000
+SETS = 4000
 
 
 def _sketches(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,28 +68,21 @@ def _likely(a: np.ndarray, b: np.ndarray, n_a, n_b) -> np.ndarray:
     return S.estimate(a, b, n_a, n_b) >= np.where(filled < FEW, ESTIMATE_FEW, ESTIMATE)
 
 
-_TO_VERIFY = "block long, pair int, a long, others array<long>"
-_OUT = pa.schema([("block", pa.int64()), ("pair", pa.int32()), ("a", pa.int64()), ("others", pa.list_(pa.int64()))])
+_TO_VERIFY = "block long, pair int, node long, a array<long>, b array<long>"
+_OUT = pa.schema([("block", pa.int64()), ("pair", pa.int32()), ("node", pa.int64()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
 
-def _dealt(a: np.ndarray, b: np.ndarray, blocks: int) -> Iterator[tuple]:
-    """Pairs as rows (block pair, 1, a, partners), and (block pair, 0, node) where a set is needed."""
+def _dealt(a: np.ndarray, b: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Pairs as one row (block, 1, null, a, b) for each pair of blocks, and rows (block, 0, node) where a set is needed."""
     ha, hb = _block_of(a, blocks), _block_of(b, blocks)
     cell = np.minimum(ha, hb) * blocks + np.maximum(ha, hb)
-    order = np.lexsort((b, a, cell))
-    cell, a, b = cell[order], a[order], b[order]
-    cut = np.flatnonzero((np.diff(cell) != 0) | (np.diff(a) != 0)) + 1
-    wanted = set()
-    for x in np.split(np.arange(len(a)), cut):
-        if len(x):
-            yield int(cell[x[0]]), 1, int(a[x[0]]), b[x].tolist()
-            wanted.update((int(cell[i]), int(v)) for i in x for v in (a[i], b[i]))
-    for where, node in wanted:
-        yield where, 0, node, None
-
-
-def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _OUT.types[i]) for i in range(4)], schema=_OUT)
+    order = np.argsort(cell, kind="stable")
+    rows = []
+    for x in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        where = int(cell[x[0]])
+        rows.append((where, 1, None, a[x].tolist(), b[x].tolist()))
+        rows += [(where, 0, node, None, None) for node in np.union1d(a[x], b[x]).tolist()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_OUT.types)], schema=_OUT)
 
 
 def _estimated(source: Iterable[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
@@ -100,7 +93,7 @@ def _estimated(source: Iterable[pa.RecordBatch], blocks: int) -> Iterator[pa.Rec
             a, n_a, b, n_b = (part.column(i).to_numpy() for i in (0, 1, 3, 4))
             keep = _likely(_rows(part.column(2).to_pylist()), _rows(part.column(5).to_pylist()), n_a, n_b)
             if keep.any():
-                yield _to_batch(list(_dealt(a[keep], b[keep], blocks)))
+                yield _dealt(a[keep], b[keep], blocks)
 
 
 def _across(source: Iterable[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
@@ -114,7 +107,7 @@ def _across(source: Iterable[pa.RecordBatch], blocks: int) -> Iterator[pa.Record
     def dealt() -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(held), axis=0)
         held.clear()
-        return _to_batch(list(_dealt(pairs[:, 0], pairs[:, 1], blocks)))
+        return _dealt(pairs[:, 0], pairs[:, 1], blocks)
 
     for (key, i, j), rows in groups(source, 3):
         nodes = np.array([r[0] for r in rows], dtype=np.int64)
@@ -156,21 +149,20 @@ def _sets(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among sorted rows (block, pair, a, others, hashes): sets first, then pairs."""
+    """Links among sorted rows (block, pair, node, a, b, hashes): sets first, then pairs."""
     sets: dict[int, np.ndarray] = {}
     block = None
     for batch in source:
         links = []
-        for where, pair, a, others, hashes in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        for where, pair, node, left, right, hashes in zip(*(batch.column(k).to_pylist() for k in range(6))):
             if where != block:
                 block = where
                 sets.clear()
             if not pair:
-                sets[a] = np.frombuffer(hashes, dtype=np.uint64)
+                sets[node] = np.frombuffer(hashes, dtype=np.uint64)
                 continue
-            x = sets[a]
-            for b in others:
-                y = sets[b]
+            for a, b in zip(left, right):
+                x, y = sets[a], sets[b]
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if 100 * len(small) < PERCENT * len(large):
                     continue
@@ -185,11 +177,12 @@ def _confirmed(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of the rows of _TO_VERIFY, checked on full sets, one pair of blocks at a time."""
-    wanted = dealt.where("pair = 0").select("block", F.col("a").alias("node")).distinct()
-    shipped = wanted.join(sets, "node").select("block", F.lit(0).alias("pair"), F.col("node").alias("a"), F.lit(None).cast("array<long>").alias("others"), "hashes")
-    pairs = dealt.where("pair = 1").select("block", "pair", "a", "others", F.lit(None).cast("binary").alias("hashes"))
+    wanted = dealt.where("pair = 0").select("block", "node").distinct()
+    none = F.lit(None).cast("array<long>")
+    shipped = wanted.join(sets, "node").select("block", F.lit(0).alias("pair"), "node", none.alias("a"), none.alias("b"), "hashes")
+    pairs = dealt.where("pair = 1").select("*", F.lit(None).cast("binary").alias("hashes"))
     rows = shipped.unionByName(pairs).repartition("block").sortWithinPartitions("block", "pair")
-    return rows.mapInArrow(_confirmed, "a long, b long")
+    return materialise(rows.mapInArrow(_confirmed, "a long, b long"), "link")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "own", "component", "n", "sig")
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     dealt = materialise(cells.mapInArrow(partial(_across, blocks=blocks), _TO_VERIFY), "across")
-    late = materialise(_verified(dealt, sets), "late")
+    late = _verified(dealt, sets)
     if not late.isEmpty():
         linked = connected_components(late.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
