@@ -9,7 +9,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import shingles as S
@@ -185,29 +185,14 @@ def _verified(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(_confirmed, "a long, b long"), "link")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id, kept.
-
-    Documents are linked when their shingle sets (see shingles.py) have a Jaccard similarity of
-    PERCENT hundredths or more.  component_id is the smallest id reachable over links, kept marks
-    the rows that bear it.
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
-    1. Every row gets its set's size, identity (a 64-bit hash of the set) and HyperMinHash sketch.
-       Equal sets become one node, by partial aggregation, so copies never meet pairwise.
-    2. Banded registers put nodes into buckets: 64 bands of 4 densified registers, or 32 for sets of LARGE
-       shingles or more.  A pair exactly at the threshold is missed with probability 5e-6 at most, at
-       0.8 with 5e-8.  Each member is paired with its bucket's
-       smallest node, the collision-corrected estimate drops clear misses, and full sets decide.
-    3. After the components of those links, the pairs that are left are those within a bucket but
-       across components.  They are estimated in blocks and verified likewise, so that no link
-       between components is lost, while a large group of near copies, one component by then, costs nothing.
 
-    Texts without words (null, empty, blank) have n_shingles 0 and stand alone.  Rows with equal
-    ids are rows of their own that share the id; a null id never names a component unless the
-    component has no other, and such rows are not kept.  Columns beside the two named are ignored.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): (id, rid, node, n, sig) of each row, and (node, least_id, component)."""
     kind = type_of(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("rid"), F.col(text_col).cast("binary").alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).cast("binary").alias("body"))
     sketches = materialise(rows.mapInArrow(_sketches, f"id {kind}, rid long, node long, n long, sig binary"), "sketch")
     nodes = materialise(sketches.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sig").alias("sig")), "node")
 
@@ -242,9 +227,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not late.isEmpty():
         linked = connected_components(late.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
-    named = nodes.select("node", "least_id").join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("node", "least_id").join(linked, "node", "left")
+    return sketches, named.select("node", "least_id", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id, kept.
+
+    Documents are linked when their shingle sets (see shingles.py) have a Jaccard similarity of
+    PERCENT hundredths or more.  component_id is the smallest id reachable over links, kept marks
+    the rows that bear it.
+
+    1. Every row gets its set's size, identity (a 64-bit hash of the set) and HyperMinHash sketch.
+       Equal sets become one node, by partial aggregation, so copies never meet pairwise.
+    2. Banded registers put nodes into buckets: 64 bands of 4 densified registers, or 32 for sets of LARGE
+       shingles or more.  A pair exactly at the threshold is missed with probability 5e-6 at most, at
+       0.8 with 5e-8.  Each member is paired with its bucket's
+       smallest node, the collision-corrected estimate drops clear misses, and full sets decide.
+    3. After the components of those links, the pairs that are left are those within a bucket but
+       across components.  They are estimated in blocks and verified likewise, so that no link
+       between components is lost, while a large group of near copies, one component by then, costs nothing.
+
+    Texts without words (null, empty, blank) have n_shingles 0 and stand alone.  Rows with equal
+    ids are rows of their own that share the id; a null id never names a component unless the
+    component has no other, and such rows are not kept.  Columns beside the two named are ignored.
+    """
+    sketches, named = _grouped(docs, id_col, text_col)
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")
     out = sketches.select("id", "n", "node").join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near_duplicates(): that of the smallest id, or with null ids only any one.
+
+    Rows equal in id and text are one document.  Documents without words all stay.
+    """
+    sketches, named = _grouped(docs, id_col, text_col)
+    kind = type_of(docs, id_col)
+    placed = sketches.where("node is not null").select("id", "rid", "node").join(named.select("node", "component"), "node")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
+    keep = first.select(F.col("first.id").cast(kind).alias("id"), F.col("first.rid").alias("rid"))
+    keep = keep.unionByName(sketches.where("node is null").select("id", "rid")).distinct()
+    keep = keep.select(F.col("id").alias("_id"), F.col("rid").alias("_rid"))
+    keyed = docs.withColumn("_row", row_key(id_col, text_col))
+    kept = keyed.join(keep, keyed["_row"].eqNullSafe(keep["_rid"]) & keyed[id_col].eqNullSafe(keep["_id"]), "left_semi")
+    return kept.dropDuplicates(["_row", id_col]).drop("_row")

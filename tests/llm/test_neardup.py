@@ -51,6 +51,16 @@ def test_edge_cases(spark):
     assert rows_of(neardup.near_duplicates(df)) == brute(rows)
 
 
+def test_deduplicate_keeps_one_of_each_group(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, base, "b"), (3, base.upper(), "c"), (3, base.upper(), "c"), (4, base.replace("w30", "x"), "d"), (7, None, "e"), (8, "", "f"), (None, "only null ids", "g"), (None, "only null ids", "h"), (3, "other text", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = neardup.deduplicate(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(3, base.upper()), (7, None), (8, ""), (None, "only null ids"), (3, "other text")], key=str)
+
+
 def test_empty_table(spark):
     df = neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert df.columns == ["doc_id", "n_shingles", "component_id", "kept"]
