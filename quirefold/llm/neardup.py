@@ -27,7 +27,7 @@ LARGE, LARGE_BANDS = 256, 32
 #: Pairs that a task gathers before it deals them out for verification.
 GATHER = 200_000
 #: Rows of a bucket that one block holds; larger buckets are dealt out as pairs of blocks.
-BLOCK = 512
+BLOCK = 2048
 #: Sets that one block of the verification holds, about.
 SETS = 4000
 
