@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirefold.llm import decontam, embdedup, mixing, neardup, pii, quality, secrets, urlfilter
+from quirefold.llm import decontam, embdedup, langid, mixing, neardup, pii, quality, secrets, urlfilter
 from quirefold.llm.common import table
 
 
@@ -36,6 +37,13 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.is_held_out() & F.col("doc_id").isNotNull()))
+    found = langid.identify(docs, model, spans=False)
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_ngram_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -45,7 +53,7 @@ def op10_hyperplane_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_disclosure, op2_hyperminhash_neardup, op4_pigeonhole_decontam, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix, op9_url_ngram_filter, op10_hyperplane_neardup)}
+    return {f.__name__: f for f in (op1_pii_disclosure, op2_hyperminhash_neardup, op4_pigeonhole_decontam, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix, op8_viterbi_langid, op9_url_ngram_filter, op10_hyperplane_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
