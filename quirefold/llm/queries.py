@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontam, embdedup, langid, mixing, neardup, pii, quality, secrets, urlfilter
+from quirefold.llm import chat, decontam, embdedup, langid, mixing, neardup, pii, quality, secrets, urlfilter
 from quirefold.llm.common import table
 
 
@@ -19,6 +19,13 @@ def op2_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_hmm_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are learnt from the conversations whose crc32(conv_id) mod 4 is not 2 and recovered for all."""
+    turns = table(spark, sf_dir, "conversations")
+    model = chat.learn(turns.where(F.crc32(F.col("conv_id").cast("string")) % 4 != 2))
+    return chat.parse(turns, model)
+
+
 def op4_pigeonhole_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +60,7 @@ def op10_hyperplane_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_disclosure, op2_hyperminhash_neardup, op4_pigeonhole_decontam, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix, op8_viterbi_langid, op9_url_ngram_filter, op10_hyperplane_neardup)}
+    return {f.__name__: f for f in (op1_pii_disclosure, op2_hyperminhash_neardup, op3_hmm_chat_turns, op4_pigeonhole_decontam, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix, op8_viterbi_langid, op9_url_ngram_filter, op10_hyperplane_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
