@@ -1,0 +1 @@
+"""Document analytics on Spark: pages, blocks, figures, tables and caches as DataFrames."""
