@@ -1,2 +1,271 @@
-def oracle_sql():
-    return {}
+"""The registered queries as SQL for DuckDB over the same tables."""
+
+from __future__ import annotations
+
+
+def _blocks(two_columns: bool = False) -> str:
+    x0 = "72.0 + 250.0 * (nr % 2)" if two_columns else "72.0"
+    return f"""
+lines AS (
+  SELECT doc_id::VARCHAR AS doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS nr
+  FROM documents),
+blocks AS (
+  SELECT doc_id, (nr // 12 + 1)::INTEGER AS page_num, (nr % 12)::INTEGER AS seq, text, ({x0})::DOUBLE AS x0,
+    (40.0 + 60.0 * (nr % 12))::DOUBLE AS y0, least(540.0, {x0} + 5.0 * length(text))::DOUBLE AS x1, (52.0 + 60.0 * (nr % 12))::DOUBLE AS y1,
+    CASE WHEN nr = 0 AND len(regexp_split_to_array(trim(text), ' +')) <= 18 THEN 14.0 ELSE 10.0 END::DOUBLE AS font_size
+  FROM lines WHERE trim(text) <> ''),
+sheets AS (SELECT DISTINCT doc_id, page_num FROM blocks)"""
+
+
+_WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+_STRIP = rf"regexp_replace(%s, '^{_WS}+|{_WS}+$', '', 'g')"
+_SQUEEZE = rf"trim(regexp_replace(%s, '{_WS}+', ' ', 'g'))"
+
+
+def strip(c: str) -> str:
+    return _STRIP % c
+
+
+def squeeze(c: str) -> str:
+    return _SQUEEZE % c
+
+
+def words(c: str) -> str:
+    return f"list_filter(string_split({squeeze(c)}, ' '), lambda w: w <> '')"
+
+
+_LEVELS = f"""
+sized AS (SELECT doc_id, font_size, sum(length(text)) AS chars, min(page_num * 1000 + seq) AS first FROM blocks GROUP BY ALL),
+bodies AS (SELECT doc_id, font_size AS body FROM sized QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, first) = 1),
+candidates AS (
+  SELECT b.*, body, (len({words('text')}) <= 18 AND length(text) - length(replace(text, chr(10), '')) < 3 AND x1 - x0 >= y1 - y0 AND font_size > body) AS heading
+  FROM blocks b JOIN bodies USING (doc_id)),
+leveled AS (
+  SELECT *, CASE WHEN heading THEN least(6, dense_rank() OVER (PARTITION BY doc_id, heading ORDER BY font_size DESC))::INTEGER END AS level FROM candidates)"""
+
+_FIRST_LINE = f"regexp_split_to_array({strip('%s')}, '\\r\\n|[\\n\\x0B\\f\\r]')[1]"
+
+
+def list_item(c: str) -> str:
+    bullets = r"[•▪◦‣·–\-*]"
+    first = _FIRST_LINE.replace("%s", c)
+    return f"CASE WHEN regexp_matches({first}, '^{bullets}{_WS}+') THEN '- ' || regexp_replace({squeeze(c)}, '^{bullets} ', '') END"
+
+
+_RENDERED = f"CASE WHEN level IS NOT NULL THEN repeat('#', level) || ' ' || {squeeze('text')} ELSE coalesce({list_item('text')}, {strip('text')}) END"
+
+_MARKDOWN = f"""
+parts AS (
+  SELECT doc_id, page_num, seq, {_RENDERED} AS part FROM leveled WHERE {strip('text')} <> ''
+  UNION ALL SELECT doc_id, page_num, -1, '<!-- page ' || page_num || ' -->' FROM sheets),
+marked AS (
+  SELECT doc_id, {strip("string_agg(part, chr(10) || chr(10) ORDER BY page_num, seq)")} || chr(10) AS markdown FROM parts WHERE part <> '' GROUP BY doc_id)"""
+
+_PAGES = rf"""
+found AS (SELECT doc_id, markdown, regexp_extract_all(markdown, '<!--\s*page\s+(\d+)\s*-->', 1) AS numbers, regexp_split_to_array(markdown, '<!--\s*page\s+\d+\s*-->') AS texts FROM marked),
+split AS (SELECT doc_id, unnest(range(len(numbers)))::INTEGER AS pos, unnest(numbers)::INTEGER - 1 AS "index", unnest(texts[2:]) AS body FROM found),
+cut AS (SELECT doc_id, pos, "index", {strip('body')} AS markdown FROM split)"""
+
+_HF = """
+framed AS (
+  SELECT doc_id, page_num, seq, text, y0, y1 FROM blocks
+  UNION ALL SELECT s.doc_id, page_num, 100, 'Source ' || source, 20.0, 32.0 FROM sheets s JOIN documents d ON d.doc_id::VARCHAR = s.doc_id
+  UNION ALL SELECT doc_id, page_num, 101, page_num::VARCHAR, 772.0, 784.0 FROM sheets)"""
+
+_RUNNING = rf"""
+counted AS (SELECT doc_id, greatest(3, round_even(0.5 * count(*), 0)::INTEGER) AS needed FROM sheets GROUP BY doc_id HAVING count(*) >= 4),
+margin AS (SELECT *, {squeeze('lower(text)')} AS line FROM framed WHERE y0 < 0.12 * 792.0 OR y1 > (1 - 0.12) * 792.0),
+often AS (SELECT doc_id, line, count(DISTINCT page_num) AS on_pages FROM margin GROUP BY ALL),
+running AS (
+  SELECT doc_id, page_num, seq FROM margin JOIN counted USING (doc_id) JOIN often USING (doc_id, line)
+  WHERE on_pages >= needed OR regexp_matches(regexp_replace(text, '^(?:{_WS}|[-–—])+|(?:{_WS}|[-–—])+$', '', 'g'), '(?i)^(page\s+)?\d{{1,4}}(\s*/\s*\d{{1,4}}|\s+of\s+\d{{1,4}})?$'))"""
+
+_CANDIDATES = r"""
+cells AS (
+  SELECT s_nationkey AS table_id, s_suppkey, s_name AS a, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_suppkey::VARCHAR END AS b,
+    CASE WHEN s_nationkey % 3 = 0 THEN 'n/a' ELSE 'number' END AS c FROM supplier),
+kept AS (
+  SELECT table_id, count(*) AS n_rows, 3 AS n_cols, count(*) FILTER (b <> '') AS b_filled, count(*) FILTER (c = 'number') AS c_numbers,
+    count(*) * 2 + count(*) FILTER (b <> '') AS filled
+  FROM cells GROUP BY table_id),
+placed AS (
+  SELECT *, (table_id % 4)::INTEGER AS page_num, table_id * 10.0 AS x0, table_id * 20.0 AS y0, table_id * 10.0 + 100 AS x1, table_id * 20.0 + 50 AS y1 FROM kept),
+regions AS (
+  SELECT n_nationkey::INTEGER AS region_index, (n_nationkey % 4)::INTEGER AS page_num, n_nationkey * 11.0 AS x0, n_nationkey * 19.0 AS y0, n_nationkey * 11.0 + 80 AS x1, n_nationkey * 19.0 + 60 AS y1
+  FROM nation WHERE n_nationkey % 2 = 0),
+over_region AS (
+  SELECT DISTINCT table_id FROM placed t JOIN regions g USING (page_num)
+  WHERE greatest(0, least(t.x1, g.x1) - greatest(t.x0, g.x0)) * greatest(0, least(t.y1, g.y1) - greatest(t.y0, g.y0)) / ((t.x1 - t.x0) * (t.y1 - t.y0)) > 0.5),
+judged AS (
+  SELECT *, (CASE WHEN b_filled >= 2 THEN 1 ELSE 0 END + CASE WHEN n_rows >= 2 AND c_numbers > 0 THEN 1 ELSE 0 END) AS numeric,
+    (CASE WHEN n_rows >= 2 THEN 1 ELSE 0 END + CASE WHEN n_rows >= 2 AND c_numbers = 0 THEN 1 ELSE 0 END) AS label,
+    table_id IN (SELECT table_id FROM over_region) AS over_figure FROM placed)"""
+
+
+def _boxes(doc: str, page: str, kind: str = "part", key: str = "p_partkey") -> str:
+    return f"""
+boxes AS (
+  SELECT {doc} AS doc_id, {page} AS page_num, {key}::INTEGER AS drawing_id, ({key} * 37 % 500)::DOUBLE AS x0, ({key} * 91 % 700)::DOUBLE AS y0,
+    ({key} * 37 % 500 + {key} % 29 + 1)::DOUBLE AS x1, ({key} * 91 % 700 + {key} % 23 + 1)::DOUBLE AS y1 FROM {kind})"""
+
+
+def _close(slack: float) -> str:
+    return f"a.x1 + {slack} >= b.x0 AND b.x1 + {slack} >= a.x0 AND a.y1 + {slack} >= b.y0 AND b.y1 + {slack} >= a.y0"
+
+
+_LOG = """
+log AS (
+  SELECT (user_id % 10)::VARCHAR AS store, event_id AS seq, floor(epoch(ts)) AS ts, CASE WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS op,
+    'k' || (event_id % 17) AS k, 'd' || (user_id % 7) AS doc_digest, CASE WHEN user_id % 2 = 0 THEN 'document' ELSE 'description' END AS kind, 50 + event_id % 100 AS size
+  FROM events)"""
+
+_ENTRIES = (
+    _LOG
+    + """,
+entries AS (
+  SELECT store || '/' || k AS key, store, max(ts) AS last_accessed, min(ts) FILTER (op = 'put') AS created,
+    first(doc_digest ORDER BY ts, seq) FILTER (op = 'put') AS doc_digest, first(kind ORDER BY ts, seq) FILTER (op = 'put') AS kind,
+    last(size ORDER BY ts, seq) FILTER (op = 'put') AS size
+  FROM log GROUP BY store, k HAVING created IS NOT NULL)"""
+)
+
+_CAPTIONS = """
+items AS (SELECT *, l_orderkey % 500 AS doc_id, month(l_shipdate) AS page_num FROM lineitem),
+captions AS (SELECT DISTINCT doc_id, l_linenumber AS number, page_num FROM items)"""
+
+_EMPTY_GAP = """
+moments AS (SELECT user_id, event_id, floor(epoch(ts)) / 60 AS y0, floor(epoch(ts)) / 60 + event_id % 300 AS y1 FROM events),
+gaps AS (SELECT *, y0 - max(y1) OVER (PARTITION BY user_id ORDER BY y0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 600 AS starts FROM moments)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "doc_stats_scan_hint": f"""WITH {_blocks()}, texts AS (SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY seq) AS text FROM blocks GROUP BY ALL)
+SELECT doc_id, count(*) AS pages, avg(length({strip('text')})) AS avg_chars, avg(length({strip('text')})) < 50 AS looks_scanned FROM texts GROUP BY doc_id""",
+        "garble_ratio_by_doc": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || chr(65533) || chr(57345) || chr(1) ELSE text END AS text FROM documents),
+c AS (SELECT doc_id, len(regexp_extract_all(text, '[\x{FFFD}\p{Co}\p{Cf}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]')) / length(text) AS garbled FROM t)
+SELECT doc_id, garbled, garbled >= 0.001 AS warn FROM c""",
+        "column_boundaries": f"""WITH {_blocks(True)}, e AS (
+  SELECT doc_id, page_num, x0, lag(x0) OVER w AS prev, row_number() OVER w - 1 AS before, count(*) OVER (PARTITION BY doc_id, page_num) AS n FROM blocks WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY x0))
+SELECT doc_id, page_num, (prev + x0) / 2 AS cut FROM e WHERE x0 - prev >= 0.06 * 612.0 AND n >= 4 AND before BETWEEN 2 AND n - 2""",
+        "reading_order_two_column": f"""WITH {_blocks(True)}, e AS (
+  SELECT *, lag(x0) OVER w AS prev, row_number() OVER w - 1 AS before, count(*) OVER (PARTITION BY doc_id, page_num) AS n FROM blocks WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY x0)),
+cuts AS (SELECT doc_id, page_num, (prev + x0) / 2 AS cut FROM e WHERE x0 - prev >= 0.06 * 612.0 AND n >= 4 AND before BETWEEN 2 AND n - 2),
+placed AS (SELECT b.*, (SELECT count(*) FROM cuts c WHERE c.doc_id = b.doc_id AND c.page_num = b.page_num AND b.x0 >= c.cut)::INTEGER AS col FROM blocks b)
+SELECT doc_id, page_num, seq, col, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY col, round_even(y0 / 10, 0), x0, seq)::INTEGER AS pos FROM placed""",
+        "page_ocr_decision": f"""WITH {_blocks()}, texts AS (SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY seq) AS text FROM blocks GROUP BY ALL),
+c AS (SELECT t.doc_id, t.page_num, length({strip('t.text')})::INTEGER AS chars, coalesce(least(1.0, 612.0 * length(b.text) * 8.0 / (612.0 * 792.0)), 0.0) AS coverage
+  FROM texts t LEFT JOIN blocks b ON b.doc_id = t.doc_id AND b.page_num = t.page_num AND b.seq = 0)
+SELECT doc_id, page_num, chars, round(coverage, 9) AS coverage, chars < 50 AND coverage >= 0.5 AS needs_ocr FROM c""",
+        "body_font_mode": f"WITH {_blocks()}, {_LEVELS} SELECT doc_id, body FROM bodies",
+        "heading_levels": f"WITH {_blocks()}, {_LEVELS} SELECT doc_id, page_num, seq, level FROM leveled WHERE level IS NOT NULL",
+        "span_join_dominant_font": """WITH s AS (SELECT o_custkey AS block_seq, o_orderkey % 3 AS line_no, o_orderkey AS span_no, o_orderstatus || o_orderpriority AS text, o_totalprice / 4 AS size, (o_orderkey % 32)::INTEGER AS flags FROM orders),
+lines AS (SELECT block_seq, line_no, string_agg(text, '' ORDER BY span_no) AS line FROM s GROUP BY ALL),
+main AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY block_seq ORDER BY length(text) DESC, line_no, span_no) = 1)
+SELECT block_seq, any_value(m.b) AS bold, any_value(m.fs) AS font_size, string_agg(line, chr(10) ORDER BY line_no) AS text
+FROM lines JOIN (SELECT block_seq, round_even(size, 1)::DOUBLE AS fs, (flags & 16) <> 0 AS b FROM main) m USING (block_seq) GROUP BY block_seq""",
+        "list_items": f"""WITH {_blocks()}, t AS (SELECT doc_id, page_num, seq, CASE WHEN seq % 3 = 0 THEN ['•', '–', '*', '-'][seq % 4 + 1] || '  ' || text ELSE text END AS text FROM blocks)
+SELECT * FROM (SELECT doc_id, page_num, seq, {list_item('text')} AS item FROM t) WHERE item IS NOT NULL""",
+        "running_lines_boilerplate": f"WITH {_blocks()}, {_HF}, {_RUNNING} SELECT * FROM running",
+        "boilerplate_stripped_counts": f"""WITH {_blocks()}, {_HF}, {_RUNNING}
+SELECT doc_id, count(*) AS blocks_left FROM framed f WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.doc_id = f.doc_id AND r.page_num = f.page_num AND r.seq = f.seq) GROUP BY doc_id""",
+        "doc_markdown": f"WITH {_blocks()}, {_LEVELS}, {_MARKDOWN} SELECT * FROM marked",
+        "raw_text_pages": f"""WITH {_blocks()}, texts AS (SELECT doc_id, page_num, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM blocks GROUP BY ALL),
+headed AS (SELECT doc_id, string_agg(chr(10) || chr(10) || '--- Page ' || page_num || ' ---' || chr(10) || chr(10) || text, '' ORDER BY page_num) AS whole FROM texts GROUP BY doc_id)
+SELECT doc_id, {strip('whole')} || chr(10) AS raw_text FROM headed""",
+        "split_pages": f"WITH {_blocks()}, {_LEVELS}, {_MARKDOWN}, {_PAGES} SELECT * FROM cut",
+        "page_select": f"""WITH {_blocks()}, {_LEVELS}, {_MARKDOWN}, {_PAGES},
+asked AS (SELECT * FROM (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 0)) v(item, nth, "index"))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY item, nth)::INTEGER AS pos, "index", length(markdown) AS chars FROM cut JOIN asked USING ("index")""",
+        "pages_out_of_range": f"""WITH {_blocks()}, counts AS (SELECT doc_id, count(*) AS n FROM sheets GROUP BY doc_id)
+SELECT doc_id, string_agg(i::VARCHAR, ',' ORDER BY i) AS missing FROM counts, (VALUES (1), (2), (3)) v(i) WHERE i >= n GROUP BY doc_id""",
+        "markdown_table": """WITH r AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'O' THEN [o_orderpriority, o_orderstatus] ELSE [o_orderpriority, o_orderstatus || '\\|x', o_orderkey::VARCHAR] END AS row FROM orders),
+w AS (SELECT *, max(len(row)) OVER (PARTITION BY o_custkey) AS width, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM r),
+l AS (SELECT o_custkey, n, width, '| ' || array_to_string(list_concat(row, list_resize([]::VARCHAR[], width - len(row), '')), ' | ') || ' |' AS line FROM w)
+SELECT o_custkey, string_agg(CASE WHEN n = 1 THEN line || chr(10) || '| ' || array_to_string(list_resize([]::VARCHAR[], width, '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY n) AS markdown FROM l GROUP BY o_custkey""",
+        "blockquotes": f"""SELECT conv_id, turn, array_to_string(list_transform(string_split({strip('text')}, chr(10)), lambda x: CASE WHEN trim(x) = '' THEN '>' ELSE '> ' || x END), chr(10)) AS quote FROM conversations""",
+        "table_keep_gates": f"""WITH {_CANDIDATES} SELECT table_id, n_rows::INTEGER AS n_rows, n_cols, numeric::BIGINT AS numeric, label::BIGINT AS label, over_figure,
+  n_rows >= 3 AND NOT over_figure AND numeric >= 2 AND label >= 1 AS keep FROM judged""",
+        "table_probe": f"""WITH {_CANDIDATES} SELECT CASE WHEN n_rows < 3 THEN 'tiny' WHEN filled / (3.0 * n_rows) < 0.6 THEN 'empty' WHEN over_figure THEN 'on_diagram' ELSE 'good' END AS fault, count(*) AS n FROM judged GROUP BY ALL""",
+        "text_in_table_anti": f"""WITH {_boxes("'d'", "(p_size % 4)::INTEGER")}, {_CANDIDATES}
+SELECT page_num, drawing_id FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM placed t WHERE t.page_num = b.page_num
+  AND greatest(0, least(t.x1, b.x1) - greatest(t.x0, b.x0)) * greatest(0, least(t.y1, b.y1) - greatest(t.y0, b.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.5)""",
+        "rect_proximity_join": f"""WITH {_boxes("p_brand", "1")} SELECT a.doc_id, a.page_num, a.drawing_id AS a, b.drawing_id AS b FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.drawing_id < b.drawing_id AND {_close(3.0)}""",
+        "rect_components": f"""WITH RECURSIVE {_boxes("p_brand", "1")}, near AS (SELECT a.doc_id, a.drawing_id AS a, b.drawing_id AS b FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND {_close(12.0)}),
+reach AS (SELECT doc_id, a, b FROM near UNION SELECT r.doc_id, r.a, n.b FROM reach r JOIN near n ON n.doc_id = r.doc_id AND n.a = r.b)
+SELECT doc_id, 1 AS page_num, a AS drawing_id, min(b) AS cluster FROM reach GROUP BY doc_id, a""",
+        "y_gap_split": f"""WITH {_EMPTY_GAP} SELECT user_id, event_id, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY y0, event_id ROWS UNBOUNDED PRECEDING)::INTEGER AS part FROM gaps""",
+        "region_neighbour_limits": f"""WITH {_CANDIDATES}, n AS (
+  SELECT a.region_index, a.y0, a.y1, max(CASE WHEN b.y1 <= a.y0 THEN b.y1 + 4 END) AS lo, min(CASE WHEN NOT b.y1 <= a.y0 AND b.y0 >= a.y1 THEN b.y0 - 4 END) AS hi
+  FROM regions a LEFT JOIN regions b ON a.page_num = b.page_num AND a.region_index <> b.region_index AND least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.3 * least(a.x1 - a.x0, b.x1 - b.x0) GROUP BY ALL)
+SELECT region_index, greatest(0.0, coalesce(lo, 0.0))::DOUBLE AS y_min, least(400.0, coalesce(hi, 400.0))::DOUBLE AS y_max FROM n""",
+        "text_in_region_anti": f"""WITH {_boxes("'d'", "(p_size % 4)::INTEGER")}, {_CANDIDATES}
+SELECT page_num, drawing_id FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM regions t WHERE t.page_num = b.page_num
+  AND greatest(0, least(t.x1, b.x1) - greatest(t.x0, b.x0)) * greatest(0, least(t.y1, b.y1) - greatest(t.y0, b.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.8)""",
+        "context_words": f"""WITH {_blocks()}, w AS (SELECT doc_id, page_num, seq, {words('text')} AS ws FROM blocks),
+c AS (SELECT *, coalesce(sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY page_num, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM w),
+alls AS (SELECT doc_id, flatten(list(ws ORDER BY page_num, seq)) AS ws FROM w GROUP BY doc_id),
+f AS (SELECT doc_id, page_num, seq AS fig, prior, len(c.ws) AS own FROM c WHERE (page_num * 12 + seq) % 10 = 3)
+SELECT doc_id, page_num, fig, array_to_string(a.ws[greatest(1, prior - 19):prior], ' ') AS before, array_to_string(a.ws[prior + own + 1:prior + own + 20], ' ') AS after FROM f JOIN alls a USING (doc_id)""",
+        "leading_sample": f"""WITH {_blocks()}, w AS (SELECT doc_id, flatten(list({words('text')} ORDER BY page_num, seq)) AS ws FROM blocks GROUP BY doc_id) SELECT doc_id, array_to_string(ws[1:120], ' ') AS sample FROM w""",
+        "image_filter_reasons": """WITH d AS (SELECT l_partkey AS xref, arg_min(l_quantity * 12, l_orderkey * 8 + l_linenumber) AS x1 FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY ALL),
+j AS (SELECT CASE WHEN x1 IS NULL THEN 'not_drawn' WHEN p_size * 4 < 50 OR p_partkey % 200 < 50 THEN 'small' WHEN p_partkey % 100 % 2 = 0 AND x1 * 790.0 / (612.0 * 792.0) > 0.80 THEN 'full_page' ELSE 'kept' END AS reason FROM part LEFT JOIN d ON xref = p_partkey)
+SELECT reason, count(*) AS n FROM j GROUP BY ALL""",
+        "figure_manifest": """WITH i AS (
+  SELECT printf('page-%03d-img-%02d', p_size, p_partkey) AS id, p_size::INTEGER AS page, 'image' AS kind, CASE WHEN p_partkey % 2 = 0 THEN '1,2,3,4' END AS box, p_partkey AS k, p_name AS name FROM part
+  UNION ALL SELECT printf('page-%03d-diagram-%02d', s_suppkey % 50 + 1, s_suppkey), (s_suppkey % 50 + 1)::INTEGER, 'diagram', '5,6,7,8', s_suppkey, s_name FROM supplier)
+SELECT id, page, kind, box, kind || 's/' || id || '.png' AS path, CASE WHEN k % 5 = 0 THEN '' ELSE name END AS description, k % 5 = 0 AS skipped FROM i WHERE k % 7 <> 0""",
+        "figure_counts_skip": """SELECT doc_id % 10 AS doc_id, count(*) FILTER (quality <> 0) AS figure_count, count(*) FILTER (quality = 0 AND toxic <> 1) AS skipped_count FROM labels GROUP BY ALL""",
+        "image_dedup_jobs": """SELECT min(doc_id) AS idx, sha256(text)[1:32] || '-' || sha256('m' || chr(31) || 'p')[1:10] AS key FROM documents WHERE text IS NOT NULL GROUP BY text""",
+        "cache_hit_miss": """SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) AS hit FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL""",
+        "prompts_and_keys": f"""WITH p AS (SELECT conv_id, turn, role, concat_ws(chr(10) || chr(10), CASE WHEN conv_id % 3 = 0 THEN '[Document type]' || chr(10) || 'talk ' || conv_id END,
+  CASE WHEN text <> '' THEN '[Text context before the image]' || chr(10) || array_to_string({words('text')}[-5:], ' ') END) AS around,
+  'Describe.' || chr(10) || chr(10) || 'If the figure is only decoration, a logo or an ornament, answer with [SKIP] alone.' || chr(10) || chr(10) ||
+  CASE WHEN turn % 2 = 0 THEN 'Answer in the language of the document''s text and context above; do not translate.' ELSE 'Answer in French.' END AS task FROM conversations),
+q AS (SELECT conv_id, turn, role, CASE WHEN around = '' THEN task ELSE around || chr(10) || chr(10) || '[Task]' || chr(10) || task END AS prompt FROM p)
+SELECT conv_id, turn, prompt, sha256(prompt || chr(31) || role)[1:10] AS key FROM q""",
+        "model_descriptions": """WITH k AS (SELECT doc_id, sha256(text)[1:32] AS d FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN d[32] = '0' THEN '[SKIP]' ELSE 'image ' || d END AS text, d[32] = 'f' AS truncated FROM k""",
+        "usage_cost": """WITH c AS (SELECT conv_id AS doc_id, turn, role <> 'system' AS present, len(string_split(text, ' ')) AS n FROM conversations),
+s AS (SELECT doc_id, coalesce(sum(n) FILTER (present), 0)::BIGINT AS prompt_tokens, coalesce(sum(n % 7) FILTER (present), 0)::BIGINT AS completion_tokens,
+  coalesce(sum(CASE WHEN turn % 2 = 0 THEN n + n % 7 ELSE n * 2 END) FILTER (present), 0)::BIGINT AS total_tokens, count(*) AS api_calls, count(*) FILTER (NOT present) AS calls_missing_usage FROM c GROUP BY doc_id)
+SELECT *, (prompt_tokens * 0.00000025 + completion_tokens * 0.0000005)::DECIMAL(18,8)::DOUBLE AS estimated_cost FROM s""",
+        "single_flight": """SELECT event_id AS request_id, first(event_id) OVER w AS leader, first(event_id) OVER w = event_id AS leads FROM events WINDOW w AS (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id)""",
+        "cache_stats": f"""WITH {_LOG} SELECT kind, count(*) FILTER (op = 'get' AND seq % 5 <> 0) AS hits, count(*) FILTER (op = 'get' AND seq % 5 = 0) AS misses, sum((seq % 11 = 0)::INTEGER)::BIGINT AS expirations, sum((seq % 13 = 0)::INTEGER)::BIGINT AS evictions,
+  round(count(*) FILTER (op = 'get' AND seq % 5 <> 0) / count(*) FILTER (op = 'get'), 4) AS hit_rate FROM log GROUP BY kind""",
+        "cache_entries": f"WITH {_ENTRIES} SELECT key, last_accessed, created, doc_digest, kind, size FROM entries",
+        "lru_evict": f"""WITH {_ENTRIES} SELECT key, size FROM entries QUALIFY sum(size) OVER (PARTITION BY store ORDER BY last_accessed DESC, key ROWS UNBOUNDED PRECEDING) <= 900""",
+        "ttl_expire": f"WITH {_ENTRIES} SELECT key, last_accessed FROM entries WHERE (SELECT max(last_accessed) FROM entries) - last_accessed <= 86400.0",
+        "purge_document": f"WITH {_ENTRIES} SELECT doc_digest, count(*) AS entries, sum(size)::BIGINT AS total_bytes FROM entries WHERE doc_digest NOT IN ('d3', 'd5') GROUP BY doc_digest",
+        "format_sniff": """WITH f AS (SELECT page_id, [ 'pdf', 'pdf', NULL, 'ole', '?', 'mobi', 'fb2', 'epub'][page_id % 8 + 1] AS claim, ['pdf', 'fb2', NULL, 'mobi'][page_id % 4 + 1] AS found FROM pages),
+g AS (SELECT *, CASE WHEN claim IN ('ole', '?') THEN 'unsupported' WHEN found IS NULL THEN CASE WHEN claim IS NULL THEN 'unsupported' ELSE 'mismatch' END WHEN claim <> found THEN 'mismatch' END AS refusal FROM f)
+SELECT page_id, found, claim, refusal, CASE refusal WHEN 'unsupported' THEN 415 WHEN 'mismatch' THEN 422 ELSE 200 END AS status FROM g""",
+        "ocr_words_rebuild": """WITH w AS (SELECT l_orderkey AS page_num, l_linenumber % 2 AS line_num, l_linenumber AS word_pos, CASE WHEN l_linenumber = 3 THEN ' ' ELSE l_returnflag || l_linestatus || l_partkey END AS text, CASE WHEN l_quantity < 10 THEN -1.0 ELSE l_quantity * 2 END AS conf FROM lineitem),
+r AS (SELECT * FROM w WHERE trim(text) <> ''),
+l AS (SELECT page_num, line_num, string_agg(text, ' ' ORDER BY word_pos, text) AS line FROM r GROUP BY ALL),
+t AS (SELECT page_num, string_agg(line, chr(10) ORDER BY line_num) AS text FROM l GROUP BY ALL),
+m AS (SELECT page_num, avg(conf) FILTER (conf >= 0) AS mean FROM r GROUP BY ALL),
+o AS (SELECT DISTINCT w.page_num, coalesce(t.text, '') AS text, coalesce(mean, 0.0) AS mean FROM w LEFT JOIN t USING (page_num) LEFT JOIN m USING (page_num))
+SELECT page_num, text, round(mean, 6) AS mean_confidence, length(text) < 40 OR mean < 60.0 AS fallback FROM o""",
+        "latency_p95": """WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)
+SELECT event_type, len(v) AS n, (v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) / 2 AS median, v[floor(len(v) * 0.95)::INTEGER + 1] AS p95, v[len(v)] AS longest FROM s""",
+        "multiset_recall": """WITH f AS (SELECT lang, token, count(*) AS f FROM (SELECT lang, unnest(string_split(text, ' ')) AS token FROM documents) WHERE token <> '' GROUP BY ALL),
+t AS (SELECT 'en' AS lang, token, count(*) AS t FROM (SELECT unnest(string_split(text, ' ')) AS token FROM benchmark) WHERE token <> '' GROUP BY ALL)
+SELECT lang, sum(least(t, coalesce(f, 0)))::BIGINT AS hits, sum(t)::BIGINT AS truth_n, sum(least(t, coalesce(f, 0))) / sum(t) AS recall FROM t LEFT JOIN f USING (lang, token) GROUP BY lang""",
+        "precision_recall": """WITH l AS (SELECT doc_id % 5 AS part, quality = 1 AS f, toxic = 0 AS t FROM labels)
+SELECT part, count(*) FILTER (f AND t) AS true_positives, count(*) FILTER (f) AS found_n, count(*) FILTER (t) AS truth_n, count(*) FILTER (f AND t) / nullif(count(*) FILTER (f), 0) AS precision, count(*) FILTER (f AND t) / nullif(count(*) FILTER (t), 0) AS recall FROM l WHERE f OR t GROUP BY part""",
+        "caption_coverage": f"""WITH {_CAPTIONS}, k AS (SELECT DISTINCT doc_id, page_num FROM items WHERE l_returnflag = 'R' AND NOT l_quantity < 25),
+n AS (SELECT c.doc_id, number, count(k.page_num) > 0 AS hit FROM captions c LEFT JOIN k USING (doc_id, page_num) GROUP BY ALL)
+SELECT doc_id, count(*) AS total, count(*) FILTER (hit) AS covered, round(count(*) FILTER (hit) / count(*) * 100, 6) AS pct FROM n GROUP BY doc_id""",
+        "missed_captions": f"""WITH {_CAPTIONS}, k AS (SELECT DISTINCT doc_id, page_num FROM items WHERE l_returnflag = 'R' AND NOT l_quantity < 48),
+h AS (SELECT DISTINCT doc_id, number FROM captions JOIN k USING (doc_id, page_num))
+SELECT doc_id, number, string_agg(page_num::VARCHAR, ',' ORDER BY page_num) AS pages FROM captions c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = c.doc_id AND h.number = c.number) GROUP BY ALL""",
+        "totals_by_mode": """SELECT o_orderstatus AS mode, sum(o_orderkey % 3)::BIGINT AS covered, (count(*) * 3)::BIGINT AS total, round(sum(o_orderkey % 3) / (count(*) * 3) * 100, 6) AS pct FROM orders GROUP BY ROLLUP (o_orderstatus)""",
+        "detection_recall": """SELECT sum(least(o_orderkey % 7, o_custkey % 5))::BIGINT AS hits, sum(o_custkey % 5)::BIGINT AS truth_n, sum(least(o_orderkey % 7, o_custkey % 5)) / sum(o_custkey % 5) AS recall FROM orders""",
+        "distinct_images": "SELECT source AS doc_id, count(DISTINCT md5(text)) AS images FROM documents WHERE text IS NOT NULL GROUP BY source",
+        "merged_results": """SELECT o_orderkey AS name, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 = 0""",
+        "job_summary": """WITH j AS (SELECT user_id, (event_id % 60)::DOUBLE AS s, floor(epoch(ts)) AS b FROM events),
+a AS (SELECT user_id, count(*) AS n, round(avg(s), 6) AS avg_seconds, sum(s) AS api_seconds, max(b + s) - min(b) AS elapsed FROM j GROUP BY user_id)
+SELECT *, CASE WHEN elapsed >= 3600 THEN printf('%d:%02d:%02d', elapsed::BIGINT // 3600, elapsed::BIGINT % 3600 // 60, elapsed::BIGINT % 60) ELSE printf('%d:%02d', elapsed::BIGINT // 60, elapsed::BIGINT % 60) END AS took FROM a""",
+        "recent_jobs": """SELECT user_id, event_id AS job_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id))::INTEGER AS rank FROM events QUALIFY rank <= 5""",
+        "whitespace_words": f"SELECT doc_id, len({words('text')})::BIGINT AS words, array_to_string({words('text')}[1:3], ' ') AS head FROM documents",
+    }

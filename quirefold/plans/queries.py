@@ -86,9 +86,9 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def span_join_dominant_font(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as spans: an order is a block, its lines the part's brand, sizes from the quantity."""
-    items = read(spark, sf_dir, "lineitem")
-    spans = items.select(F.lit("d").alias("doc_id"), F.lit(1).alias("page_num"), F.col("l_orderkey").alias("block_seq"), (F.col("l_linenumber") % 3).alias("line_no"), F.col("l_linenumber").alias("span_no"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"), (F.col("l_quantity") / 4).alias("size"), (F.col("l_suppkey") % 32).cast("int").alias("flags"))
+    """Orders as spans: a customer is a block, its lines the orders by thirds, sizes from the price."""
+    orders = read(spark, sf_dir, "orders")
+    spans = orders.select(F.lit("d").alias("doc_id"), F.lit(1).alias("page_num"), F.col("o_custkey").alias("block_seq"), (F.col("o_orderkey") % 3).alias("line_no"), F.col("o_orderkey").alias("span_no"), F.concat("o_orderstatus", "o_orderpriority").alias("text"), (F.col("o_totalprice") / 4).alias("size"), (F.col("o_orderkey") % 32).cast("int").alias("flags"))
     return structure.join_spans(spans).select("block_seq", "text", "font_size", "bold")
 
 
