@@ -63,5 +63,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii_disclosure, op2_hyperminhash_neardup, op3_hmm_chat_turns, op4_pigeonhole_decontam, op5_ordinal_quality, op6_secret_blob_ledger, op7_sainte_lague_mix, op8_viterbi_langid, op9_url_ngram_filter, op10_hyperplane_neardup)}
 
 
+#: The mix from its definitions: every quotient and every block is listed.
+_MIX = r"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][(place - 1) % 3 + 1] AS weight FROM src),
+sums AS (
+  SELECT *, sum(source_size) OVER ()::BIGINT AS words, sum(weight) OVER ()::BIGINT AS weights,
+    coalesce(sum(source_size) OVER b, 0)::BIGINT AS size_before, coalesce(sum(weight) OVER b, 0)::BIGINT AS weight_before
+  FROM weighed WINDOW b AS (ORDER BY source_size * 6.0 / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+capped AS (SELECT *, weight * (words::DOUBLE * 1.5 - size_before * 2) >= 2.0::DOUBLE * source_size * (weights - weight_before) AS full_up FROM sums),
+targets AS (
+  SELECT source, source_size, place, CASE WHEN full_up THEN source_size * 2.0::DOUBLE ELSE weight * ((words::DOUBLE * 1.5
+    - coalesce(sum(source_size) FILTER (full_up) OVER (), 0)::BIGINT * 2) / (weights - coalesce(sum(weight) FILTER (full_up) OVER (), 0)::BIGINT)) END::DOUBLE AS target
+  FROM capped),
+sizes AS (SELECT sum(source_size)::BIGINT AS words, coalesce(min(source_size) FILTER (source_size > 0), 0)::BIGINT AS least, sum(floor(target + 0.5))::BIGINT AS votes FROM targets),
+params AS (SELECT greatest(1, least(256, least // 64))::BIGINT AS block, greatest(1, ceil(words / greatest(1048576, 256 * floor(sqrt(words)))))::BIGINT AS shards, votes FROM sizes),
+seats AS (SELECT *, floor(votes / block + 0.5)::BIGINT AS seats FROM params),
+quotients AS (SELECT place, floor(target + 0.5) / (2 * k + 1) AS q, k, seats FROM targets, seats, LATERAL (SELECT unnest(range(seats + 1)) AS k) WHERE floor(target + 0.5) > 0),
+won AS (SELECT * FROM quotients QUALIFY row_number() OVER (ORDER BY q DESC, place, k) <= seats),
+quota AS (SELECT place, count(*) AS source_quota FROM won GROUP BY place),
+keyed AS (SELECT *, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM sized),
+dealt AS (SELECT d.*, ('0x' || key[1:12])::BIGINT % shards AS shard FROM keyed d, params),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM dealt),
+held AS (SELECT place, d.source, shard, sum(size)::BIGINT AS held FROM dealt d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+shard_quotients AS (SELECT place, shard, held / (2 * k + 1) AS q, k, source_quota FROM held JOIN quota USING (place), LATERAL (SELECT unnest(range(source_quota + 1)) AS k) WHERE held > 0),
+shard_won AS (SELECT * FROM shard_quotients QUALIFY row_number() OVER (PARTITION BY place ORDER BY q DESC, shard, k) <= source_quota),
+shard_quota AS (SELECT place, shard, count(*) AS quota FROM shard_won GROUP BY ALL),
+blocks AS (
+  SELECT h.place, h.source, h.shard, ceil(held / block)::BIGINT AS m, least(coalesce(quota, 0), 2 * ceil(held / block)::BIGINT) AS quota, block
+  FROM held h LEFT JOIN shard_quota USING (place, shard), params WHERE held > 0),
+started AS (SELECT *, ('0x' || md5('17:' || place || ':' || shard)[1:12])::BIGINT % m AS start FROM blocks),
+each_block AS (
+  SELECT source, shard, i * block AS low, (i + 1) * block AS high, quota // m + ((i + 1 + start) * (quota % m) // m - (i + start) * (quota % m) // m) AS times
+  FROM started, LATERAL (SELECT unnest(range(m)) AS i)),
+took AS (
+  SELECT p.doc_id, p.key, p.source, p.shard, p.size, p.stop, coalesce(sum(times * greatest(0, least(high, p.stop) - greatest(low, p.stop - p.size))), 0)::BIGINT AS taken
+  FROM placed p LEFT JOIN each_block b ON b.source IS NOT DISTINCT FROM p.source AND b.shard = p.shard AND low < p.stop AND high > p.stop - p.size GROUP BY ALL)
+SELECT doc_id, k.source, shard, size, source_size, target, taken FROM took k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_sainte_lague_mix": _MIX}
