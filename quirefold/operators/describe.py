@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirefold.functions import text as X
+from quirefold.lineage import cut
 
 #: What a model returns for one request, and whether its answer was cut off.
 RESULT = "struct<text:string,truncated:boolean,prompt_tokens:bigint,completion_tokens:bigint>"
@@ -118,7 +119,7 @@ def describe(jobs: DataFrame, cache: DataFrame, model: Callable[[str, str, str],
     The calls are deduplicated and materialised before the join back, so no plan repeats them.
     """
     hits, misses = with_known(jobs, cache)
-    called = call_model(representatives(misses), model, workers=workers).select("key", "result").checkpoint()
+    called = cut(call_model(representatives(misses), model, workers=workers).select("key", "result"))
     fresh = misses.join(called.select("key", F.col("result.text").alias("text"), F.col("result.truncated").alias("truncated")), "key")
     return hits.select(*jobs.columns, "text", F.lit(False).alias("truncated"), F.lit(True).alias("cached")).unionByName(fresh.select(*jobs.columns, "text", "truncated", F.lit(False).alias("cached")))
 

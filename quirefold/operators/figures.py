@@ -22,7 +22,7 @@ def judged_images(resources: DataFrame, draws: DataFrame, pages: DataFrame) -> D
     """resources with box, drop_reason (null: kept; not_drawn, small or full_page, the first that holds), digest and path."""
     rows = resources.join(first_draws(draws), [*PAGE, "xref"], "left").join(pages.select(*PAGE, "is_ocr", F.col("width").alias("page_width"), F.col("height").alias("page_height")), list(PAGE), "left")
     whole = F.col("page_width") * F.col("page_height")
-    covers = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0")) / whole
+    covers = F.try_divide(F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.col("y1") - F.col("y0")), whole)
     reason = (
         F.when(F.col("x0").isNull(), "not_drawn")
         .when((F.col("width") < LEAST_WIDTH) | (F.col("height") < LEAST_HEIGHT), "small")

@@ -31,37 +31,42 @@ def join_spans(spans: DataFrame) -> DataFrame:
     return out.select(*place, "text", F.bround(F.coalesce("font.size", F.lit(0.0)), 1).alias("font_size"), (F.coalesce("font.flags", F.lit(0)).bitwiseAND(16) != 0).alias("bold"))
 
 
-def body_size(blocks: DataFrame) -> DataFrame:
-    """(doc_id, body): the font size of most characters, of equals the one met first; 0 without text."""
+def _is_short() -> Column:
+    """Few words and lines, and wider than high: what a heading looks like, whatever its size."""
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    b = G.box()
+    return F.coalesce((F.col("kind") == "text") & (F.col("font_size") > 0) & (X.word_count(F.col("text")) <= HEADING_WORDS) & (lines <= HEADING_LINES) & (G.width(b) >= G.height(b)), F.lit(False))
+
+
+def typography(blocks: DataFrame) -> DataFrame:
+    """(doc_id, body, sizes): the font size of most characters, of equals the one met first, 0 without
+    text; and the larger sizes that short texts have, from the largest down.
+
+    A document's blocks are summed up by size before anything is joined, so only short tables move.
+    """
+    text = (F.col("kind") == "text") & (F.col("font_size") > 0)
     sized = blocks.groupBy("doc_id", "font_size").agg(
-        F.sum(F.when((F.col("kind") == "text") & (F.col("font_size") > 0), F.length("text"))).alias("chars"),
-        F.min(F.when(F.col("kind") == "text", F.struct("page_num", "pos"))).alias("first"),
+        F.sum(F.when(text, F.length("text"))).alias("chars"),
+        F.min(F.when(text, F.struct("page_num", "pos"))).alias("first"),
+        F.bool_or(_is_short()).alias("short"),
     )
-    best = F.max_by("font_size", F.struct("chars", (-F.col("first.page_num")).alias("p"), (-F.col("first.pos")).alias("s")))
-    known = sized.where("chars is not null").groupBy("doc_id").agg(best.alias("body"))
-    return blocks.select("doc_id").distinct().join(known, "doc_id", "left").select("doc_id", F.coalesce("body", F.lit(0.0)).alias("body"))
+    rank = F.when(F.col("chars").isNotNull(), F.struct("chars", (-F.col("first.page_num")).alias("p"), (-F.col("first.pos")).alias("s")))
+    out = sized.groupBy("doc_id").agg(F.coalesce(F.max_by(F.when(F.col("chars").isNotNull(), F.col("font_size")), rank), F.lit(0.0)).alias("body"), F.sort_array(F.collect_set(F.when(F.col("short"), F.col("font_size"))), asc=False).alias("sizes"))
+    return out.withColumn("sizes", F.filter("sizes", lambda s: s > F.col("body")))
 
 
-def is_heading(body: Column) -> Column:
-    size, b = F.col("font_size"), G.box()
-    short = (X.word_count(F.col("text")) <= HEADING_WORDS) & (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1 <= HEADING_LINES)
-    large = (size > body) | (F.coalesce(F.col("bold"), F.lit(False)) & (size >= body))
-    return F.coalesce((F.col("kind") == "text") & (body > 0) & (size > 0) & short & (G.width(b) >= G.height(b)) & large, F.lit(False))
+def body_size(blocks: DataFrame) -> DataFrame:
+    return typography(blocks).select("doc_id", "body")
 
 
 def heading_levels(blocks: DataFrame) -> DataFrame:
     """blocks with body and level (null: no heading): 1 for the largest size of a document's headings, one more
-    for each smaller one, bold text of the body's size last, HEADING_LEVELS at most.
-
-    The sizes of a document's headings are a short list, so each block finds its rank in it.
-    """
-    rows = blocks.join(body_size(blocks), "doc_id").withColumn("_heading", is_heading(F.col("body")))
-    larger = F.when(F.col("_heading") & (F.col("font_size") > F.col("body")), F.col("font_size"))
-    sizes = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set(larger), asc=False).alias("_sizes"))
-    rows = rows.join(sizes, "doc_id")
-    rank = F.when(F.col("font_size") > F.col("body"), F.array_position("_sizes", F.col("font_size"))).otherwise(F.size("_sizes") + 1)
-    level = F.when(F.col("_heading"), F.least(rank, F.lit(HEADING_LEVELS)).cast("int"))
-    return rows.withColumn("level", level).drop("_heading", "_sizes")
+    for each smaller one, bold text of the body's size last, HEADING_LEVELS at most."""
+    rows = blocks.join(typography(blocks), "doc_id")
+    size, bold = F.col("font_size"), F.coalesce(F.col("bold"), F.lit(False))
+    heading = _is_short() & (F.col("body") > 0) & ((size > F.col("body")) | (bold & (size >= F.col("body"))))
+    rank = F.when(size > F.col("body"), F.array_position("sizes", size)).otherwise(F.size("sizes") + 1)
+    return rows.withColumn("level", F.when(heading, F.least(rank, F.lit(HEADING_LEVELS)).cast("int"))).drop("sizes")
 
 
 def render_text(level: Column, text: Column) -> Column:

@@ -31,7 +31,7 @@ def column_roles(candidates: DataFrame) -> DataFrame:
     value = F.coalesce("value", F.lit(""))
     filled = X.strip(X.unified_dashes(value)) != ""
     columns = cells_of(candidates).groupBy(*TABLE, "c").agg(F.count_if(filled).alias("filled"), F.count_if(filled & X.is_numeric_cell(value)).alias("numbers"))
-    share = F.col("numbers") / F.col("filled")
+    share = F.try_divide("numbers", "filled")
     usable = F.col("filled") >= FILLED
     return columns.groupBy(*TABLE).agg(F.count_if(usable & (share >= NUMERIC)).alias("numeric"), F.count_if(usable & (share <= LABEL)).alias("label"))
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.lineage import cut
 from quirefold.operators import boilerplate, context, describe, figures, layout, output, regions, tables
 from quirefold.sources.config import Settings
 
@@ -64,12 +65,12 @@ def figure_jobs(images: DataFrame, found: DataFrame, blocks: DataFrame, settings
 def convert(doc: Document, settings: Settings, model: Callable[[str, str, str], dict], cache: DataFrame, summaries: DataFrame | None = None) -> Conversion:
     """Markdown, figure list, counts and call results of all documents.  Sinks are the caller's."""
     blocks, found = page_blocks(doc)
-    blocks, found = blocks.checkpoint(), found.checkpoint()
+    blocks, found = cut(blocks), cut(found)
     images = figures.kept_images(figures.judged_images(doc.resources, doc.draws, doc.pages))
     if summaries is None:
         summaries = doc.pages.select("doc_id").distinct().withColumn("summary", F.lit(""))
     jobs = figure_jobs(images, found, blocks, settings, summaries).drop("before", "after", "summary", "y0", "y1")
-    results = describe.describe(jobs, cache, model).withColumn("text", describe.parsed_answer(F.col("text"))).checkpoint()
+    results = cut(describe.describe(jobs, cache, model).withColumn("text", describe.parsed_answer(F.col("text"))))
     descriptions = results.select("doc_id", "kind", "page_num", "ref", "text", "truncated")
     listed = figures.manifest(images, found, descriptions)
     final = boilerplate.strip_boilerplate(blocks, doc.pages)

@@ -53,7 +53,7 @@ def with_running_lines(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def dirty_texts(documents: DataFrame) -> DataFrame:
     """Every seventh document ends in a replacement, a private use and a control character."""
-    return documents.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("�\x01"))).otherwise(F.col("text")).alias("text"))
+    return documents.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\ufffd\ue001\x01"))).otherwise(F.col("text")).alias("text"))
 
 
 def boxes(rows: DataFrame, key: str, *, doc: str, page: str) -> DataFrame:

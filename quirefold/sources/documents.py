@@ -43,7 +43,8 @@ def provided(files: DataFrame, provider: DocumentProvider, table: str, schema) -
                     logging.getLogger("quirefold").warning("%s of %s: %s", table, doc_id, e)
                     continue
                 if rows:
-                    yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+                    # What a provider leaves out is null.
+                    yield pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for f in schema.fields})
 
     return files.select("doc_id", "content").mapInPandas(read, schema)
 

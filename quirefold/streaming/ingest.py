@@ -16,7 +16,7 @@ from quirefold.sources.adapters import doc_blocks
 
 def arriving_files(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
     """(path, modificationTime, content, doc_id) of files as they come, a bounded number at a time."""
-    rows = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_batch).load(folder)
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).load(folder)
     return rows.withColumn("doc_id", F.sha2("content", 256))
 
 
