@@ -118,7 +118,8 @@ def scan(history: DataFrame, path_col: str = "doc_id", text_col: str = "text", l
     texts = rows.select("text", F.xxhash64(F.col("path").cast("string"), "text").alias("rid"))
     # rid only brings a text to its blob; the address decides, so a chance collision does no harm.
     fetched = texts.join(due.hint("shuffle_hash"), "rid").where(blob_of(F.col("text")) == F.col("blob"))
-    once = materialise(fetched.select("blob", "versions", "text").mapInArrow(partial(_scanned, rules=rules), LEDGER), "ledger").dropDuplicates(["blob"])
+    # Repeated rows bring a blob twice; they go before the write, so that the joins below read plain tables.
+    once = materialise(fetched.select("blob", "versions", "text").mapInArrow(partial(_scanned, rules=rules), LEDGER).dropDuplicates(["blob"]), "ledger")
     full = once if ledger is None else ledger.select("blob", "versions", "found").unionByName(once)
     names = [r.name for r in rules]
     hits = full.where(F.size("found") > 0)
