@@ -18,8 +18,8 @@ SHARE, CAP = 1.5, 2
 SEED = 17
 #: A block holds at most BLOCK words, and so few that the smallest source has SOURCE_BLOCKS of them.
 BLOCK, SOURCE_BLOCKS = 256, 64
-#: A shard holds at least so many words; more of them as the square root of the corpus grows.
-SHARD_WORDS, SHARD_ROOT = 1 << 20, 256
+#: A shard holds about so many words; more of them as the square root of the corpus grows.
+SHARD_WORDS, SHARD_ROOT = 1 << 16, 16
 
 
 def word_count(text: Column) -> Column:
@@ -100,20 +100,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "sources")
     total = sources.agg(F.sum("source_size").alias("words"), F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).alias("least"), F.sum(F.floor(F.col("target") + 0.5)).alias("votes")).first()
     words = int(total["words"] or 0)
-    block = max(1, min(BLOCK, int(total["least"] or 0) // SOURCE_BLOCKS))
-    shards = max(1, math.ceil(words / max(SHARD_WORDS, SHARD_ROOT * math.isqrt(words))))
+    per_shard = max(SHARD_WORDS, SHARD_ROOT * math.isqrt(words))
+    # A shard's last block may be short, so blocks are small against shards, too.
+    block = max(1, min(BLOCK, int(total["least"] or 0) // SOURCE_BLOCKS, per_shard // 256))
     seats = int(math.floor(int(total["votes"] or 0) / block + 0.5))
 
     voting = sources.select("*", F.floor(F.col("target") + 0.5).cast("long").alias("votes"), F.lit(seats).cast("long").alias("seats"))
     dealt = apportion(voting, [], "votes", "seats", "place").select("source", "source_size", "place", "target", F.col("quota").alias("source_quota"))
+    dealt = materialise(dealt.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard)).cast("long")), "dealt")
 
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     number = F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
-    placed = sized.withColumn("key", key).withColumn("shard", F.pmod(number, F.lit(shards)))
+    source = F.broadcast(dealt) if dealt_is_small(sources) else dealt
+    placed = sized.alias("d").join(source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "source_size", "target", "place", "source_quota", "shards")
+    placed = placed.withColumn("key", key).withColumn("shard", F.pmod(number, F.col("shards")))
     row = Window.partitionBy("source", "shard").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Shards are of one size in all sources, so a large source has many and no window is long.
+    quotas = placed.groupBy("place", "source", "shard", "source_quota").agg(F.sum("size").alias("held"))
     placed = placed.withColumn("stop", F.sum("size").over(row))
-    held = sized.withColumn("shard", F.pmod(number, F.lit(shards))).groupBy("source", "shard").agg(F.sum("size").alias("held"))
-    quotas = held.join(dealt, held["source"].eqNullSafe(dealt["source"])).select(held["*"], "place", "source_size", "target", "source_quota")
     quotas = apportion(quotas, ["place"], "held", "source_quota", "shard")
     blocks = F.ceil(F.col("held") / block).cast("long")
     quotas = quotas.withColumn("blocks", blocks).withColumn("quota", F.least(F.col("quota"), F.col("blocks") * CAP))
@@ -125,7 +129,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     joined = placed.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")), "left")
     joined = joined.select("d.*", "blocks", "rounds", "extra", "start")
-    joined = joined.alias("d").join(F.broadcast(dealt).alias("s") if dealt_is_small(sources) else dealt.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left")
 
     def upto(words: str) -> str:
         """Words of the extra blocks among the shard's first words."""
@@ -134,7 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return f"(({chosen(at)} - {chosen('0')}) * {block} + ({chosen(f'{at} + 1')} - {chosen(at)}) * (({words}) % {block}))"
 
     taken = F.expr(f"coalesce(rounds * size + {upto('stop')} - {upto('stop - size')}, 0)").cast("long")
-    return joined.select(F.col("d.id").alias(id_col), F.col("d.source").alias("source"), F.col("d.shard").alias("shard"), "size", "source_size", "target", taken.alias("taken"))
+    return joined.select(F.col("id").alias(id_col), "source", "shard", "size", "source_size", "target", taken.alias("taken"))
 
 
 def dealt_is_small(sources: DataFrame, rows: int = 10_000) -> bool:

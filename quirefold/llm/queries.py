@@ -78,13 +78,15 @@ targets AS (
     - coalesce(sum(source_size) FILTER (full_up) OVER (), 0)::BIGINT * 2) / (weights - coalesce(sum(weight) FILTER (full_up) OVER (), 0)::BIGINT)) END::DOUBLE AS target
   FROM capped),
 sizes AS (SELECT sum(source_size)::BIGINT AS words, coalesce(min(source_size) FILTER (source_size > 0), 0)::BIGINT AS least, sum(floor(target + 0.5))::BIGINT AS votes FROM targets),
-params AS (SELECT greatest(1, least(256, least // 64))::BIGINT AS block, greatest(1, ceil(words / greatest(1048576, 256 * floor(sqrt(words)))))::BIGINT AS shards, votes FROM sizes),
+params AS (SELECT greatest(1, least(256, least // 64))::BIGINT AS block, greatest(65536, 16 * floor(sqrt(words))) AS per_shard, votes FROM sizes),
 seats AS (SELECT *, floor(votes / block + 0.5)::BIGINT AS seats FROM params),
 quotients AS (SELECT place, floor(target + 0.5) / (2 * k + 1) AS q, k, seats FROM targets, seats, LATERAL (SELECT unnest(range(seats + 1)) AS k) WHERE floor(target + 0.5) > 0),
 won AS (SELECT * FROM quotients QUALIFY row_number() OVER (ORDER BY q DESC, place, k) <= seats),
 quota AS (SELECT place, count(*) AS source_quota FROM won GROUP BY place),
 keyed AS (SELECT *, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM sized),
-dealt AS (SELECT d.*, ('0x' || key[1:12])::BIGINT % shards AS shard FROM keyed d, params),
+dealt AS (
+  SELECT d.*, ('0x' || key[1:12])::BIGINT % greatest(1, ceil(source_size / per_shard))::BIGINT AS shard
+  FROM keyed d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source, params),
 placed AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM dealt),
 held AS (SELECT place, d.source, shard, sum(size)::BIGINT AS held FROM dealt d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
 shard_quotients AS (SELECT place, shard, held / (2 * k + 1) AS q, k, source_quota FROM held JOIN quota USING (place), LATERAL (SELECT unnest(range(source_quota + 1)) AS k) WHERE held > 0),
