@@ -131,3 +131,29 @@ def to_share(results: DataFrame) -> DataFrame:
 
 def needs_shrinking(files: DataFrame) -> DataFrame:
     return files.where(F.length("content") > PAYLOAD_BYTES)
+
+
+LANGUAGE_PROMPT = "Name the language of this text in one English word."
+SUMMARY_PROMPT = "Say in one or two sentences what kind of document this is and what it is about."
+
+
+def ask_documents(samples: DataFrame, figures: DataFrame, prompt: str, kind: str, model: Callable[[str, str, str], dict]) -> DataFrame:
+    """(doc_id, text, truncated): one answer for each document that has figures and a sample; documents
+    without figures cost no call."""
+    asked = samples.where("sample <> ''").join(figures.select("doc_id"), "doc_id", "left_semi")
+    jobs = asked.select("doc_id", F.lit(kind).alias("kind"), F.substring(F.sha2("sample", 256), 1, 32).alias("digest"), F.concat(F.lit(f"{prompt}\n\n"), "sample").alias("prompt"))
+    return call_model(jobs, model, attempts=1).select("doc_id", "result.text", "result.truncated")
+
+
+def languages(samples: DataFrame, figures: DataFrame, model: Callable[[str, str, str], dict]) -> DataFrame:
+    """(doc_id, language): the model's word for the language, empty for none or for an answer that was cut off."""
+    said = ask_documents(samples, figures, LANGUAGE_PROMPT, "language", model)
+    name = F.when(F.col("truncated"), F.lit("")).otherwise(X.language_name(F.col("text")))
+    return samples.select("doc_id").join(said, "doc_id", "left").select("doc_id", F.coalesce(name, F.lit("")).alias("language"))
+
+
+def summaries(samples: DataFrame, figures: DataFrame, model: Callable[[str, str, str], dict]) -> DataFrame:
+    """(doc_id, summary, to_keep): a cut-off summary is used but not kept for later."""
+    said = ask_documents(samples, figures, SUMMARY_PROMPT, "summary", model)
+    joined = samples.select("doc_id").join(said, "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("text", F.lit("")).alias("summary"), F.coalesce(~F.col("truncated"), F.lit(False)).alias("to_keep"))

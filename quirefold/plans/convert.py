@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.lineage import cut
-from quirefold.operators import boilerplate, context, describe, figures, layout, output, regions, tables
+from quirefold.operators import boilerplate, context, describe, figures, layout, output, regions, tables, usage
 from quirefold.sources.config import Settings
 
 
@@ -75,3 +75,27 @@ def convert(doc: Document, settings: Settings, model: Callable[[str, str, str],
     listed = figures.manifest(images, found, descriptions)
     final = boilerplate.strip_boilerplate(blocks, doc.pages)
     return Conversion(output.to_markdown(final, doc.pages, images, descriptions), listed, figures.figure_counts(results.withColumnRenamed("text", "description")), results)
+
+
+def records(doc: Document, done: Conversion, calls: DataFrame, languages: DataFrame, settings: Settings) -> DataFrame:
+    """One row per document: markdown, counts, language, usage and cost; what a service would answer or store."""
+    counts = doc.pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"))
+    prices = [F.lit(p).cast("double") for p in (settings.input_token_price, settings.output_token_price)]
+    spent = usage.cost(usage.usage(calls), *prices)
+    rows = done.markdown.join(counts, "doc_id").join(done.counts, "doc_id", "left").join(languages, "doc_id", "left").join(spent, "doc_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("figure_count", "skipped_count", "prompt_tokens", "completion_tokens", "total_tokens", "api_calls", "calls_missing_usage")}
+    return rows.withColumns({**zero, "language": F.coalesce("language", F.lit("")), "currency": F.lit(settings.currency)})
+
+
+PAYLOAD = "markdown string, page_count int, figure_count bigint, skipped_count bigint, language string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, api_calls bigint, calls_missing_usage bigint, estimated_cost decimal(18,8), currency string"
+_FIELDS = [c.split(" ")[0] for c in PAYLOAD.split(", ")]
+
+
+def to_payload(rows: DataFrame, version: str = "1") -> DataFrame:
+    """(doc_id, key, payload): records as JSON under keys that change with the payload's version."""
+    return rows.select("doc_id", F.concat_ws("-", F.lit(f"doc{version}"), "doc_id").alias("key"), F.to_json(F.struct(*_FIELDS)).alias("payload"))
+
+
+def from_payload(stored: DataFrame) -> DataFrame:
+    """Records of stored payloads; a malformed one gives nulls."""
+    return stored.select("doc_id", F.from_json("payload", PAYLOAD, {"mode": "PERMISSIVE"}).alias("r")).select("doc_id", "r.*")

@@ -267,5 +267,21 @@ SELECT doc_id, number, string_agg(page_num::VARCHAR, ',' ORDER BY page_num) AS p
 a AS (SELECT user_id, count(*) AS n, round(avg(s), 6) AS avg_seconds, sum(s) AS api_seconds, max(b + s) - min(b) AS elapsed FROM j GROUP BY user_id)
 SELECT *, CASE WHEN elapsed >= 3600 THEN printf('%d:%02d:%02d', elapsed::BIGINT // 3600, elapsed::BIGINT % 3600 // 60, elapsed::BIGINT % 60) ELSE printf('%d:%02d', elapsed::BIGINT // 60, elapsed::BIGINT % 60) END AS took FROM a""",
         "recent_jobs": """SELECT user_id, event_id AS job_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id))::INTEGER AS rank FROM events QUALIFY rank <= 5""",
+        "language_calls": f"""WITH {_blocks()}, w AS (SELECT doc_id, flatten(list({words('text')} ORDER BY page_num, seq)) AS ws FROM blocks GROUP BY doc_id),
+s AS (SELECT doc_id, array_to_string(ws[1:120], ' ') AS sample FROM w),
+d AS (SELECT doc_id, sample, sha256(sample)[1:32] AS digest FROM s)
+SELECT doc_id, CASE WHEN sample <> '' AND doc_id IN (SELECT doc_id::VARCHAR FROM labels WHERE quality = 1) AND digest[32] <> 'f' THEN 'language ' || digest ELSE '' END AS language FROM d""",
+        "annotation_items": """WITH i AS (SELECT p_size::INTEGER AS page_num, 'image' AS kind, p_partkey AS k, p_name AS text, p_partkey % 2 = 0 AS placed FROM part
+  UNION ALL SELECT (s_suppkey % 50 + 1)::INTEGER, 'diagram', s_suppkey, s_name, true FROM supplier)
+SELECT page_num, kind, text FROM i WHERE placed AND k % 7 <> 0 AND k % 5 <> 0""",
+        "page_records": """WITH r AS (
+  SELECT s_suppkey::VARCHAR AS doc_id, 0 AS "index", 'f' || s_suppkey AS id, s_suppkey % 90 >= 50 AS kept, 'Text' || chr(10) || chr(10) AS head, chr(10) || chr(10) || '> cap' AS tail, s_nationkey, 842 AS height FROM supplier
+  UNION ALL SELECT s_suppkey::VARCHAR, 1, 'g' || s_suppkey, s_nationkey * 9 >= 50, '', '', s_nationkey, NULL FROM supplier)
+SELECT doc_id, "index", trim(head || CASE WHEN kept THEN '![' || id || '](' || id || ')' ELSE '' END || tail) AS markdown, kept::INTEGER AS n_images, CASE WHEN kept THEN round_even(s_nationkey + 0.5, 0)::INTEGER END AS top, height FROM r""",
+        "html_links": r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS html FROM pages),
+l AS (SELECT page_id, unnest(range(len(regexp_extract_all(html, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1))))::INTEGER AS pos,
+  unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS uri, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS body FROM c),
+t AS (SELECT page_id, pos, uri, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS anchor FROM l)
+SELECT * FROM t WHERE uri <> '' AND anchor <> ''""",
         "whitespace_words": f"SELECT doc_id, len({words('text')})::BIGINT AS words, array_to_string({words('text')}[1:3], ' ') AS head FROM documents",
     }

@@ -518,6 +518,33 @@ def whitespace_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.greatest(X.word_count(F.col("text")), F.lit(0)).cast("long").alias("words"), X.first_words(F.col("text"), 3).alias("head"))
 
 
+@_query
+def language_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages asked for the documents that the labels call good, which stand for those with figures."""
+    figs = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return describe.languages(leading_sample(spark, sf_dir), figs, describe.fake_model)
+
+
+@_query
+def annotation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = figure_manifest(spark, sf_dir).withColumn("doc_id", F.lit("d")).withColumn("bbox", F.when(F.col("box") != "", F.split("box", ","))).withColumn("ord", F.col("id"))
+    return figures.annotations(listed).select("page_num", "kind", "text")
+
+
+@_query
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as documents of two pages with a figure each; small figures lose their references."""
+    k = F.col("s_suppkey").cast("string")
+    ids = read(spark, sf_dir, "supplier")
+    docs = ids.select(k.alias("doc_id"), F.concat(F.lit("<!-- page 1 -->\n\nText\n\n![Image, page 1](images/f"), k, F.lit(")\n\n> cap\n\n<!-- page 2 -->\n\n![Diagram, page 2](diagrams/g"), k, F.lit(")\n")).alias("markdown"))
+    entry = lambda name, page, size: ids.select(k.alias("doc_id"), F.concat(F.lit(name), k).alias("id"), F.lit(page).alias("page"), F.array(F.lit(0.5), F.col("s_nationkey") + 0.5, F.lit(9.0), F.lit(9.4)).alias("bbox"), size.cast("int").alias("width_px"), F.lit(80).alias("height_px"), F.lit(page).alias("ord"))
+    figs = entry("f", 1, F.col("s_suppkey") % 90).unionByName(entry("g", 2, F.col("s_nationkey") * 9))
+    sizes = ids.select(k.alias("doc_id"), F.lit(0).alias("index"), F.lit(595.5).alias("width"), F.lit(842.5).alias("height"))
+    rows = pages.ocr_records(docs, figs, sizes, least=50)
+    first = F.get("images", F.lit(0))
+    return rows.select("doc_id", "index", "markdown", F.size("images").alias("n_images"), first["top_left_y"].alias("top"), F.col("dimensions.height").alias("height"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_pages, n_blocks, markdown): documents laid out, read in order, structured and rendered."""
     blocks = adapters.doc_blocks(read(spark, sf_dir, "documents"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quirefold import schemas
-from quirefold.operators import describe
+from quirefold.operators import describe, output
 from quirefold.plans import convert
 from quirefold.sources.config import Settings, load
 from tests.test_operators import GRID, block, blocks_of, heap, pages_of
@@ -36,6 +36,8 @@ def test_whole_conversion(spark, partitions):
         assert "| GDP | 1.2 |" in text and text.count("1.2") == 1
         assert [(r.kind, r.page) for r in out.figures.orderBy("ord").collect()] == [("image", 1), ("diagram", 1)] + [("image", p) for p in range(2, 6)]
         assert tuple(out.counts.first())[1:] == (6, 0)
+        if partitions != "2":
+            return
         # Context differs by page, so the same image asks once for each prompt; without context, once in all.
         bare = convert.convert(document(spark), Settings("m", "u", "Describe."), describe.fake_model, none)
         assert bare.results.where("kind = 'image'").select("key").distinct().count() == 1
@@ -45,6 +47,33 @@ def test_whole_conversion(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_records_and_payloads(spark):
+    settings = Settings("m", "u", "Describe.", input_token_price=0.001, output_token_price=0.002, currency="EUR")
+    doc = document(spark)
+    made = spark.createDataFrame
+    done = convert.Conversion(made([("d", "<!-- page 1 -->")], "doc_id string, markdown string"), None, made([("d", 6, 0)], "doc_id string, figure_count long, skipped_count long"), None)
+    calls = made([("d", 1, 10, 5, 0, True)], schemas.MODEL_CALLS)
+    rows = convert.records(doc, done, calls, made([("d", "English")], "doc_id string, language string"), settings)
+    r = rows.first()
+    assert (r.page_count, r.figure_count, r.language, r.total_tokens, float(r.estimated_cost), r.currency) == (5, 6, "English", 15, 0.02, "EUR")
+    back = convert.from_payload(convert.to_payload(rows)).first()
+    assert back.asDict() == {k: r[k] for k in back.asDict()}
+    for form in ("md", "json", "both"):
+        assert "<!-- page 1 -->" in output.response(rows, form).first().payload
+    with pytest.raises(ValueError):
+        output.response(rows, "xml")
+
+
+def test_answers_about_documents(spark):
+    samples = spark.createDataFrame([("a", "words"), ("b", ""), ("c", "more")], "doc_id string, sample string")
+    figs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    said = lambda text, cut=False: lambda kind, digest, prompt: {"text": text, "truncated": cut}
+    got = lambda df: {r.doc_id: tuple(r)[1:] for r in df.collect()}
+    assert got(describe.languages(samples, figs, said(" Swedish. "))) == {"a": ("Swedish",), "b": ("",), "c": ("",)}
+    assert got(describe.languages(samples, figs, said("The text is", True)))["a"] == ("",)
+    assert got(describe.summaries(samples, figs, said("A report", True))) == {"a": ("A report", False), "b": ("", False), "c": ("", False)}
+
+
 def test_settings(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("api: {model: m, base_url: u, input_token_price: 1.0, output_token_price: 2.0}\nprompts: {image: Describe.}\ncontext: {words_before: 5}\n")
