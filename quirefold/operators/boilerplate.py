@@ -22,11 +22,11 @@ def running_lines(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     text_pages = pages.where(~F.coalesce("is_ocr", F.lit(False))).select("doc_id", "page_num", "height")
     needed = text_pages.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
     needed = needed.select("doc_id", F.greatest(F.lit(LEAST_REPEATS), F.bround(F.lit(REPEATED) * F.col("n"))).alias("needed"))
-    margin = blocks.where("kind = 'text'").join(text_pages, ["doc_id", "page_num"]).where(in_margin(F.col("y0"), F.col("y1"), F.col("height")))
-    margin = margin.select("doc_id", "page_num", "seq", "text", X.squeeze(F.lower("text")).alias("line"))
+    margin = blocks.where("kind = 'text'").join(text_pages.join(needed, "doc_id"), ["doc_id", "page_num"]).where(in_margin(F.col("y0"), F.col("y1"), F.col("height")))
+    margin = margin.select("doc_id", "page_num", "seq", "needed", X.squeeze(F.lower("text")).alias("line"), X.is_page_number(F.col("text")).alias("numbered"))
     often = margin.groupBy("doc_id", "line").agg(F.count_distinct("page_num").alias("on_pages"))
-    rows = margin.join(needed, "doc_id").join(often, ["doc_id", "line"])
-    return rows.where((F.col("on_pages") >= F.col("needed")) | X.is_page_number(F.col("text"))).select("doc_id", "page_num", "seq")
+    rows = margin.join(often, ["doc_id", "line"])
+    return rows.where((F.col("on_pages") >= F.col("needed")) | F.col("numbered")).select("doc_id", "page_num", "seq")
 
 
 def strip_boilerplate(blocks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -45,10 +45,9 @@ def with_running_lines(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """blocks with, on every page, a header that names the source and a footer with the page's number."""
     names = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "source")
     pages = blocks.select("doc_id", "page_num").distinct().join(names, "doc_id")
-    place = lambda seq, y, text: pages.select("doc_id", "page_num", F.lit(seq).alias("seq"), F.lit("text").alias("kind"), F.lit(72.0).alias("x0"), F.lit(y).alias("y0"), F.lit(300.0).alias("x1"), F.lit(y + 12).alias("y1"), text.alias("text"), F.lit(9.0).alias("font_size"), F.lit(False).alias("bold"))
-    header = place(100, 20.0, F.concat(F.lit("Source "), "source"))
-    footer = place(101, 772.0, F.col("page_num").cast("string"))
-    return blocks.unionByName(header, allowMissingColumns=True).unionByName(footer, allowMissingColumns=True)
+    lines = F.explode(F.array(*[F.struct(F.lit(seq).alias("seq"), F.lit(y).alias("y0"), text.alias("text")) for seq, y, text in ((100, 20.0, F.concat(F.lit("Source "), "source")), (101, 772.0, F.col("page_num").cast("string")))]))
+    more = pages.select("doc_id", "page_num", lines.alias("l")).select("doc_id", "page_num", "l.seq", F.lit("text").alias("kind"), F.lit(72.0).alias("x0"), "l.y0", F.lit(300.0).alias("x1"), (F.col("l.y0") + 12).alias("y1"), "l.text", F.lit(9.0).alias("font_size"), F.lit(False).alias("bold"))
+    return blocks.unionByName(more, allowMissingColumns=True)
 
 
 def dirty_texts(documents: DataFrame) -> DataFrame:
