@@ -228,7 +228,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         linked = connected_components(late.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     named = nodes.select("node", "least_id").join(linked, "node", "left")
-    return sketches, named.select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    # Written, so that the joins of rows by node read plain exchanges, which adaptive execution can split.
+    return sketches, materialise(named.select("node", "least_id", F.coalesce("component", "node").alias("component")), "named")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
