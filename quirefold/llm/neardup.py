@@ -26,6 +26,9 @@ ESTIMATE, ESTIMATE_FEW, FEW = 0.60, 0.35, 64
 LARGE, LARGE_BANDS = 256, 32
 #: Pairs that a task gathers before it deals them out for verification.
 GATHER = 200_000
+#: Bits of the filter that keeps most texts from crossing the cluster; when it fills up, more cross
+#: than are needed, never less.
+FILTER_BITS = 1 << 24
 #: Rows of a bucket that one block holds; larger buckets are dealt out as pairs of blocks.
 BLOCK = 2048
 #: Sets that one block of the verification holds, about.
@@ -185,6 +188,18 @@ def _verified(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(_confirmed, "a long, b long"), "link")
 
 
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose rid may be wanted: their bits in a bitmap of FILTER_BITS are set.
+
+    The bitmap is a table of at most FILTER_BITS / 64 rows, which bounds what is broadcast.
+    """
+    place = F.pmod("rid", F.lit(FILTER_BITS))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    bitmap = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    kept = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmap), "_word").where("getbit(_bits, _bit) = 1")
+    return kept.select(*rows.columns)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
@@ -203,9 +218,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     found = members.select("node").distinct()
     many = found.count()
     blocks = max(4, math.ceil(many / SETS))
-    # found is unique by node, and so by rid but for chance; the text decides which node it is.
+    # A node has one rid; the text decides which node it is, so a chance collision does no harm.
     wanted = nodes.join(found, "node", "left_semi").select("rid")
-    texts = rows.select("rid", "body").join(wanted, "rid").dropDuplicates(["rid"]).select("body")
+    texts = _marked(rows.select("rid", "body"), wanted).join(wanted, "rid").dropDuplicates(["rid"]).select("body")
     sets = materialise(texts.mapInArrow(_sets, "node long, hashes binary"), "set")
 
     sided = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
