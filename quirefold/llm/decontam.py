@@ -17,7 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quirefold.llm.common import batches, type_of
 
 #: Edits allowed, as a share of an item's characters.
-BUDGET = 0.08
+BUDGET = 0.10
+#: Levels of the tree over an item's pieces that a hit must pass before the whole item is compared.
+LEVELS = 2
 #: Items with fewer characters say too little to be looked for.
 MIN_CHARS = 20
 #: Items are sent to the tasks in portions of about so many characters; one pass over the documents each.
@@ -91,18 +93,46 @@ def occurrences(item: str, text: str, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def ancestors(count: int) -> list[list[tuple[int, int]]]:
+    """For each of count pieces its nodes (first piece, end) in the halving tree, the smallest first, without piece and root.
+
+    A text within m - 1 edits of m adjoining pieces is within m1 - 1 or m2 - 1 of either half, else there were m
+    edits or more.  So an occurrence holds a piece all of whose nodes are within their budgets.
+    """
+    out: list[list[tuple[int, int]]] = [[] for _ in range(count)]
+
+    def halve(lo: int, hi: int) -> None:
+        if hi - lo < 2:
+            return
+        if hi - lo < count:
+            for p in range(lo, hi):
+                out[p].insert(0, (lo, hi))
+        mid = (lo + hi) // 2
+        halve(lo, mid)
+        halve(mid, hi)
+
+    halve(0, count)
+    return out
+
+
 class Searcher:
     """Finds items, (id, text) with repeats allowed, in whole texts."""
 
     def __init__(self, items: Iterable[tuple], share: float = BUDGET, min_chars: int = MIN_CHARS):
         self.items: list[tuple] = []
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        where: dict[str, list[tuple[int, int, list]]] = defaultdict(list)
         for ident, text in items:
             text = normalise(text)
             if len(text) >= max(1, min_chars):
                 edits = budget(len(text), share)
-                for at, piece in pieces(text, edits):
-                    where[piece].append((len(self.items), at))
+                cut = pieces(text, edits)
+                nodes: dict[tuple[int, int], tuple[Pattern, int, int]] = {}
+                for (at, piece), above in zip(cut, ancestors(len(cut))):
+                    for node in above[:LEVELS]:
+                        if node not in nodes:
+                            start, stop = cut[node[0]][0], cut[node[1] - 1][0] + len(cut[node[1] - 1][1])
+                            nodes[node] = Pattern(text[start:stop]), start, node[1] - node[0] - 1
+                    where[piece].append((len(self.items), at, [nodes[node] for node in above[:LEVELS]]))
                 self.items.append((ident, text, edits))
         self.automaton = None
         if where:
@@ -118,8 +148,10 @@ class Searcher:
         plain = normalise(text)
         diagonals: dict[int, set[int]] = defaultdict(set)
         for last, (length, places) in self.automaton.iter(plain):
-            for item, at in places:
-                diagonals[item].add(last + 1 - length - at)
+            for item, at, above in places:
+                begin = last + 1 - length - at
+                if begin not in diagonals[item] and all(_within(plain, begin + start, pattern, edits) for pattern, start, edits in above):
+                    diagonals[item].add(begin)
         words: list[tuple[int, int]] = []
         starts: list[int] = []
         for number, begins in sorted(diagonals.items()):
@@ -138,6 +170,12 @@ class Searcher:
                     yield ident, words[first][0], words[last][1], score
 
 
+def _within(text: str, at: int, pattern: Pattern, edits: int) -> bool:
+    """Whether text holds the pattern within so many edits about place at."""
+    window = text[max(0, at - edits) : at + pattern.length + edits]
+    return any(score <= edits for score in pattern.scores(window))
+
+
 def _spans(begins: list[int], length: int, edits: int) -> Iterator[tuple[int, int]]:
     """Windows around the item's possible begins; those that meet are one, so no hit counts twice."""
     low = high = None
@@ -199,8 +237,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item within budget() edits, both normalised; start and end are code points of the text, widened to words.
 
     An item with an error budget of k is cut into k + 1 pieces, of which any occurrence holds one
-    unchanged.  One Aho-Corasick pass finds all pieces of all items; each hit gives the item's
-    possible begin, and Myers' algorithm decides on the window around it, so nothing within the budget is missed.
+    unchanged.  One Aho-Corasick pass finds all pieces of all items.  Myers' algorithm then compares
+    the piece with its neighbours, two, then four of them within their share of the budget, and where
+    that holds the whole item on the window around its possible begin; see ancestors() for why nothing
+    within the budget is missed.
     Null texts and items match nothing, items under min_chars normalised characters are not looked
     for, items listed twice are found once, and repeated rows of docs give rows each.  Other columns
     are ignored.  Items travel in portions of PORTION_CHARS, whatever their number.
