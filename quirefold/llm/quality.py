@@ -27,7 +27,7 @@ SAMPLE_FEATURES = 40_000_000
 STEPS, RATE, DECAY = 250, 0.1, 3e-5
 #: A document is kept if its probability of the best grade reaches this.
 KEEP = 0.7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Values of a shape that all words have, and bound for the norm of the words' part.
 _STATISTIC, _PRESENCE = 10.0, 6.0
 
