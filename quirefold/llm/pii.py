@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quirefold.llm import neardup
 from quirefold.llm.common import batches, materialise, type_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -28,7 +29,7 @@ QUASI, REVEAL = "quasi", "reveal"
 GENERALISE, REMOVE = 0.90, 0.98
 #: Terms count as seen with an entity up to so many words from it.
 WINDOW = 8
-#: Different contexts, copies counting once, that a disclosure must rest on.
+#: Different documents, exact and near copies counting once, that a disclosure must rest on.
 SUPPORT = 3
 #: Bits of the filters that tell tasks which terms to count or mark; when terms fill them, more is
 #: counted than needed, never less.
@@ -87,24 +88,24 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _NOT_DIGITS.sub('', value)}"
 
 
-def _nearby(text: str, spans: list[tuple]) -> Iterator[tuple[str, str, str, str]]:
-    """(entity, kind, term, context) for the terms around each span; context is the longest other
-    term there, by which near copies of a passage count as one."""
+def _nearby(text: str, spans: list[tuple]) -> Iterator[tuple[str, str, str, int]]:
+    """(entity, kind, term, context) for the terms around each span; context is a hash of the whole
+    text, by which exact copies count as one."""
+    context = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
     for start, _, kind, stop in spans:
         low, high = max(0, start - _REACH), min(len(text), stop + _REACH)
         before = [m for m in _TERM.finditer(text, low, start) if m.start() > low or low == 0][-WINDOW:]
         after = [m for m in _TERM.finditer(text, stop, high) if m.end() < high or high == len(text)][:WINDOW]
         free = [m for m in before + after if not any(a < m.end() and m.start() < b for a, _, _, b in spans if b > low and a < high)]
-        terms = sorted({m[0].lower() for m in free}, key=lambda t: (-len(t), t))
         entity = _entity(kind, text[start:stop])
-        for t in terms:
-            yield entity, kind, t, next((x for x in terms if x != t), "")
+        for t in sorted({m[0].lower() for m in free}):
+            yield entity, kind, t, context
 
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("stop", pa.int32())]))
-_NEAR = "array<struct<entity:string,kind:string,term:string,context:string>>"
-_NEAR_TYPE = pa.list_(pa.struct([(c, pa.string()) for c in ("entity", "kind", "term", "context")]))
+_NEAR = "array<struct<entity:string,kind:string,term:string,context:bigint>>"
+_NEAR_TYPE = pa.list_(pa.struct([*[(c, pa.string()) for c in ("entity", "kind", "term")], ("context", pa.int64())]))
 
 
 def _as_spans(spans: Iterable[tuple]) -> list[dict]:
@@ -181,12 +182,27 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
 
+def _different(near: DataFrame, told: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, term, documents): the documents near which the pairs of told stand, near copies, as neardup links
+    them, counting once."""
+    pair = F.xxhash64("entity", "term")
+    # The bitmap lets a few other pairs through, which the caller's join drops.
+    held = neardup._marked(near.select(pair.alias("rid"), "entity", "term", "context"), told.select(pair.alias("rid"))).select("entity", "term", "context").distinct()
+    held = materialise(held, "held")
+    wanted = near.join(held.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.min("rid").alias("rid"))
+    wanted = materialise(wanted, "wanted")
+    found = neardup._marked(texts.select("rid", "text"), wanted.select("rid")).join(wanted, "rid").dropDuplicates(["context"])
+    merged = neardup.near_duplicates(materialise(found.select("context", "text"), "near_text"), "context")
+    return held.join(merged.select("context", "component_id"), "context").groupBy("entity", "term").agg(F.count_distinct("component_id").alias("documents"))
+
+
 def disclosures(scanned: DataFrame, texts: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
     """(term, kind, share): terms that give at least `generalise` of an entity's information, with
     kind REVEAL from `remove` on and QUASI below; share is the greatest PMI / IC over all entities.
 
     Entities are the values found and, as classes of their own, their kinds.  All probabilities are shares of the
-    documents of the whole corpus, p(t, e) of those where t stands near e.
+    documents of the whole corpus, p(t, e) of those where t stands near e.  A disclosure rests on `support`
+    documents that are no near copies of each other; only those of pairs with a share that is high enough are compared.
     """
     total = scanned.count()
     near = scanned.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
@@ -201,7 +217,10 @@ def disclosures(scanned: DataFrame, texts: DataFrame, generalise: float = GENERA
     information = -F.log2(F.col("with_entity") / F.lit(total))
     given = F.col("both") / F.col("with_term")
     share = F.when(information > 0, (information + F.log2(given)) / information).otherwise(0.0)
-    told = joined.select("term", share.alias("share")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise)
+    told = materialise(joined.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "told")
+    if not told.isEmpty():
+        told = told.join(_different(near, told, texts).where(F.col("documents") >= support), ["entity", "term"])
+    told = told.groupBy("term").agg(F.max("share").alias("share"))
     return told.select("term", F.when(F.col("share") >= remove, REVEAL).otherwise(QUASI).alias("kind"), "share")
 
 
@@ -210,8 +229,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Base spans come from the patterns; QUASI and REVEAL spans are the places outside of them, in any
     document, of terms in disclosures().  The corpus is read once for the patterns and the terms
-    near them, once to count the documents of those terms, and once more if any term is to be marked.  Only
-    bitmaps of a fixed size go through the driver.  Null texts count as empty; rows with equal id and text get equal
+    near them, once to count the documents of those terms, once to merge near copies among the documents of likely
+    disclosures, and once more if any term is to be marked.  Only bitmaps of a fixed size go through the driver.  Null texts count as empty; rows with equal id and text get equal
     results; other columns are ignored.
     """
     kind, id_type = type_of(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)

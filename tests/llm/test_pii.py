@@ -128,5 +128,27 @@ def test_copies_are_one_context(spark):
     assert len(got) == 52 and all(s["rank"] < 4 for r in got for s in r.spans)
 
 
+def test_a_signature_in_different_documents_discloses(spark):
+    """One signature has the same neighbours everywhere; the documents around it differ."""
+    rnd = random.Random(6)
+    fill = lambda n: " ".join(f"{rnd.choice('abcdefgh')}word{rnd.choice('klmnop')}{rnd.choice('qrstuv')}" for _ in range(n))
+    rows = [(i, f"{fill(40)} best regards Anna Zimmermannova Telecommunications anna.z@mail.example.com" if i % 10 == 0 else f"{fill(40)} best regards") for i in range(200)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    marked = {(r.doc_id, rows[r.doc_id][1][s["start"] : s["stop"]], s["kind"]) for r in got for s in r.spans if s["rank"] >= 4}
+    assert marked == {(i, t, pii.REVEAL) for i in range(0, 200, 10) for t in ("Anna", "Zimmermannova", "Telecommunications")}
+
+
+def test_near_copies_are_one_document(spark):
+    rnd = random.Random(7)
+    base = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "omega") for b in ("tic", "ness", "ing", "able", "ful", "ism", "ist", "ward")]
+    rows = [(i, " ".join(rnd.choice(base) for _ in range(40))) for i in range(100)]
+    for i in range(100, 130):  # a word differs beside the address, and one far from it
+        text = [*base, "zygote", f"v{'abcdefghijklmnopqrstuvwxyzABCD'[i - 100]}close", "jo@mail.example.com", *base[::-1]]
+        text[3] = f"w{'abcdefghijklmnopqrstuvwxyzABCD'[i - 100]}far"
+        rows.append((i, " ".join(text)))
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 130 and all(s["rank"] < 4 for r in got for s in r.spans)
+
+
 def test_empty_table(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
