@@ -22,8 +22,6 @@ PERCENT = 75
 #: registers, so a pair at the threshold lies more than five of them above.  With fewer filled
 #: registers than FEW the lower bound holds.
 ESTIMATE, ESTIMATE_FEW, FEW = 0.60, 0.35, 64
-#: Sets of LARGE shingles or more fill their registers, and this many bands suffice for them.
-LARGE, LARGE_BANDS = 256, 32
 #: Pairs that a task gathers before it deals them out for verification.
 GATHER = 200_000
 #: Bits of the filter that keeps most texts from crossing the cluster; when it fills up, more cross
@@ -57,9 +55,8 @@ def _bands(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
             keys = S.band_keys(_rows(part.column(1).to_pylist()))
-            used = (np.arange(S.BANDS) < LARGE_BANDS) | (part.column(2).to_numpy() < LARGE)[:, None]
-            nodes = np.repeat(part.column(0).to_numpy(), used.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(nodes)], names=["key", "node"])
+            nodes = np.repeat(part.column(0).to_numpy(), S.BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], names=["key", "node"])
 
 
 def _block_of(nodes: np.ndarray, blocks: int) -> np.ndarray:
@@ -211,7 +208,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     sketches = materialise(rows.mapInArrow(_sketches, f"id {kind}, rid long, node long, n long, sig binary"), "sketch")
     nodes = materialise(sketches.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sig").alias("sig")), "node")
 
-    banded = nodes.select("node", "sig", "n").mapInArrow(_bands, "key long, node long")
+    banded = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
     shared = banded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     members = materialise(banded.join(shared, "key"), "member")
 
@@ -256,10 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Every row gets its set's size, identity (a 64-bit hash of the set) and HyperMinHash sketch.
        Equal sets become one node, by partial aggregation, so copies never meet pairwise.
-    2. Banded registers put nodes into buckets: 64 bands of 4 densified registers, or 32 for sets of LARGE
-       shingles or more.  A pair exactly at the threshold is missed with probability 5e-6 at most, at
-       0.8 with 5e-8.  Each member is paired with its bucket's
-       smallest node, the collision-corrected estimate drops clear misses, and full sets decide.
+    2. Banded registers put nodes into buckets: 64 bands of 4 densified registers.  A pair
+       exactly at the threshold is missed with probability 3e-11, at 0.8 with 2e-15.  Each member is
+       paired with its bucket's smallest node, the collision-corrected estimate drops clear misses, and full sets decide.
     3. After the components of those links, the pairs that are left are those within a bucket but
        across components.  They are estimated in blocks and verified likewise, so that no link
        between components is lost, while a large group of near copies, one component by then, costs nothing.

@@ -96,6 +96,21 @@ def test_documents_table(spark):
     assert rows_of(neardup.near_duplicates(df)) == brute(rows)
 
 
+@pytest.mark.parametrize("n", [30, 255, 256, 3000])
+def test_sets_of_every_size_use_all_bands(n):
+    """A pair that agrees in the last band only still meets, however large its sets."""
+    rng = np.random.default_rng(n)
+    a, b = (S.registers(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))) for _ in range(2))
+    a[a == 0], b[b == 0] = 7, 9
+    b[-S.BAND_ROWS :] = a[-S.BAND_ROWS :]
+    source = neardup.pa.RecordBatch.from_arrays([neardup.pa.array([1, 2]), neardup.pa.array([a.tobytes(), b.tobytes()], neardup.pa.binary()), neardup.pa.array([n, n])], names=["node", "sig", "n"])
+    keys = {}
+    for batch in neardup._bands([source]):
+        for key, node in zip(*(c.to_pylist() for c in batch.columns)):
+            keys.setdefault(node, set()).add(key)
+    assert len(keys[1]) == len(keys[2]) == S.BANDS and keys[1] & keys[2]
+
+
 def test_registers_keep_zeros_and_mantissa():
     rng = np.random.default_rng(0)
     hashes = np.unique(rng.integers(0, 1 << 64, 3000, dtype=np.uint64))
