@@ -48,6 +48,40 @@ def test_further_rules_add_spans(spark):
     assert got.base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def found(name, text):
+    rule = next(r for r in secrets.RULES if r.name == name)
+    return [text[a:b] for a, b in rule.finder()(text, text.lower())]
+
+
+def test_whole_private_keys_are_found(spark):
+    lines = ["MIIEowIBAAKCAQEA" + "aZ09+/bY" * 6, "q" * 64, "Xy+/12"]
+    ends = ("-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----")
+    for sep in ("\n", "\r\n", "\\n", " "):
+        for head in ([], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00AA11FF", ""]):
+            key = sep.join([ends[0], *head, *lines, ends[1]])
+            assert found("pem", f"x {key} and {key} y") == [key, key]
+            cut = sep.join([ends[0], *head, *lines[:2], "Xy+/12=="])
+            assert found("pem", f"x {cut}") == [cut] and found("pem", f"x {cut}\nmore words") == [cut]
+    assert found("pem", "\n".join([ends[0], *lines])) == ["\n".join([ends[0], *lines])]
+    assert found("pem", f"{ends[0]} opens a key") == [ends[0]]
+    assert found("pem", f"{ends[0]}\n{ends[0]}\n{lines[1]}\n{ends[1]}") == [ends[0], f"{ends[0]}\n{lines[1]}\n{ends[1]}"]
+    key = "\n".join([ends[0], *lines, ends[1]])
+    df = spark.createDataFrame([(1, f"a {key} b")], "doc_id long, text string")
+    assert secrets.redact(df).first().text == "a [pem] b"
+
+
+def test_tokens_of_any_length_are_found():
+    for n in (8, 5000, 300_000):
+        token = ".".join(("eyJ" + "a" * n, "eyJ" + "b" * n, "c" * n))
+        assert found("jwt", f"x {token} y Bearer-{token}") == [token, token]
+    assert found("jwt", "eyJabcdefghij.eyJabcdefghij.short eyJabcdefghij") == []
+
+
+def test_odd_secrets_take_linear_time():
+    for text in ("eyJ-" * 250_000, "eyJabcdefgh." * 80_000, "-----BEGIN PRIVATE KEY-----" * 30_000, "-----BEGIN PRIVATE KEY-----" + "a b\n" * 250_000, "-----BEGIN PRIVATE KEY-----" + "-" * 1_000_000):
+        found("jwt", text), found("pem", text)
+
+
 def test_ledger_scans_only_unseen_pairs(spark):
     schema = "doc_id string, text string"
     first = spark.createDataFrame([("a", "token=abcdefgh1"), ("b", "token=abcdefgh1"), ("c", "clean")], schema)
