@@ -68,8 +68,10 @@ RULES = (
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}+(\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)?", 21, 1, False, ("eyj",)),
 )
 FOUND = "array<struct<start:int,rank:int,rule:string,stop:int>>"
-_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("rule", pa.string()), ("stop", pa.int32())]))
-LEDGER = f"blob binary, versions array<string>, found {FOUND}"
+#: Spans of the ledger also name the rule version that found them.
+_HELD = "array<struct<start:int,rank:int,rule:string,stop:int,version:string>>"
+_HELD_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("rule", pa.string()), ("stop", pa.int32()), ("version", pa.string())]))
+LEDGER = f"blob binary, versions array<string>, found {_HELD}"
 
 
 def blob_of(text: Column) -> Column:
@@ -85,24 +87,25 @@ def _scanned(source: Iterable[pa.RecordBatch], rules: Sequence[Rule]) -> Iterato
             for blob, versions, text in zip(*(c.to_pylist() for c in batch.columns)):
                 lowered = text.lower()
                 found = [
-                    {"start": start, "rank": rank, "rule": name, "stop": stop}
-                    for rank, name, find in map(finders.__getitem__, versions)
+                    {"start": start, "rank": rank, "rule": name, "stop": stop, "version": version}
+                    for version in versions
+                    for rank, name, find in (finders[version],)
                     for start, stop in find(text, lowered)
                 ]
                 found.sort(key=lambda f: (f["start"], f["rank"]))
                 yield blob, versions, found
 
-    yield from batches({"blob": pa.binary(), "versions": pa.list_(pa.string()), "found": _FOUND}, rows())
+    yield from batches({"blob": pa.binary(), "versions": pa.list_(pa.string()), "found": _HELD_TYPE}, rows())
 
 
 def scan(history: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger) of a history with one row per path and version.
 
     Every text is addressed by its sha256 (null counts as empty).  The ledger has rows (blob, versions, found): which
-    rule versions a blob was scanned with, and the spans found, in code points.  A blob is scanned once, with the
+    rule versions a blob was scanned with, and the spans found, in code points, each with its rule version.  A blob is scanned once, with the
     current rule versions that the ledger lacks for it; copies, renames and reverts cost nothing.
-    findings has one row per row of history: path_col, blob, found, the spans of the current rules
-    in order of start and rule.  The new ledger holds the old rows and one row for each blob scanned
+    findings has one row per row of history: path_col, blob, found, the spans of the current rule
+    versions in order of start and rule, as a scan without a ledger gives them.  The new ledger holds the old rows and one row for each blob scanned
     now, to be appended to where it is kept.  One row per blob represents its text, so that a text
     crosses the cluster once, whatever the number of its copies.
 
@@ -126,14 +129,17 @@ def scan(history: DataFrame, path_col: str = "doc_id", text_col: str = "text", l
     # Repeated rows bring a blob twice; they go before the write, so that the joins below read plain tables.
     once = materialise(fetched.select("blob", "versions", "text").mapInArrow(partial(_scanned, rules=rules), LEDGER).dropDuplicates(["blob"]), "ledger")
     full = once if ledger is None else ledger.select("blob", "versions", "found").unionByName(once)
-    names = [r.name for r in rules]
     hits = full.where(F.size("found") > 0)
     if ledger is not None:
-        listed = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-        hits = listed.withColumn("found", F.filter("found", lambda f: f["rule"].isin(names)))
+        listed = hits.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+        # Ranks are those of the current rules, whatever their order was when a span was found.
+        listed = listed.withColumn("found", F.filter("found", lambda f: f["version"].isin([r.version for r in rules])))
+        listed = listed.withColumn("found", F.transform("found", lambda f: f.withField("rank", (F.array_position(current, f["version"]) - 1).cast("int"))))
+        hits = listed.withColumn("found", F.array_sort(F.array_distinct("found")))
     found = keyed.select("path", "blob").join(hits.select("blob", "found"), "blob", "left")
     empty = F.array().cast(FOUND)
-    return found.select(F.col("path").alias(path_col), "blob", F.coalesce("found", empty).alias("found")), full
+    own = F.transform("found", lambda f: f.dropFields("version"))
+    return found.select(F.col("path").alias(path_col), "blob", F.coalesce(own, empty).alias("found")), full
 
 
 def _masked(source: Iterable[pa.RecordBatch], text_at: int, count_at: int | None) -> Iterator[pa.RecordBatch]:
