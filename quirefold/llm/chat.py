@@ -7,17 +7,17 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quirefold.llm.common import batches, groups, materialise, type_of
 
-#: Speaker words of line markers, by the role that they announce; further roles announce themselves.
+#: Speaker words of line markers, by the role that they announce; learnt roles announce themselves.
 MARKERS = {
     "user": ("user", "human", "customer", "question", "q", "prompter", "visitor", "client"),
     "assistant": ("assistant", "ai", "bot", "agent", "answer", "a", "model", "chatbot", "support"),
@@ -27,22 +27,32 @@ MARKERS = {
 OWN_MARKER, OTHER_MARKER = 0.05, 1e-4
 #: Chance that the speaker changes between lines of a row without a marker.
 DRIFT = 1e-3
-#: Conversations that a model learns from at most, and roles that it tells apart at most.
-SAMPLE, ROLES = 20_000, 16
-#: Turns decoded together; a longer conversation is a chain of such chunks.
+#: Conversations that a model learns from at most.
+SAMPLE = 20_000
+#: Turns counted or decoded together; a longer conversation is a chain of such chunks.
 CHUNK = 256
 
-_MARKER = re.compile(r"\s*(?:[#*>\-\[]+\s*)?([A-Za-z][A-Za-z ]{0,24}?)\s*(?:\]|\*+)?\s*[:：]\s*(?:\*+)?\s*|\s*<\|(?:im_start\|>)?([A-Za-z]+)(?:\|>)?\s*")
 _LISTED = re.compile(r"\s*(?:[-*•]|\d+[.)]|```|>)")
 #: Values of each feature; the last value of a feature means that the line does not have it.
 _SIZES = (2, 8, 20, 20, 2, 2, 4)
 
 
-def marker(line: str) -> tuple[str | None, str]:
-    """(role that the line's marker announces, rest of the line)."""
-    m = _MARKER.match(line)
+@lru_cache(maxsize=64)
+def _marks(roles: tuple[str, ...]) -> tuple[re.Pattern, dict[str, str]]:
+    """The pattern of markers, whose words may also be the roles, and the roles by their words."""
+    named = {r.strip().lower(): r for r in reversed(roles) if r.strip()}
+    own = "".join(rf"(?i:{re.escape(w)})(?!\w)|" for w in sorted(named, key=lambda w: (-len(w), w)))
+    return re.compile(rf"\s*(?:[#*>\-\[]+\s*)?({own}[A-Za-z][A-Za-z ]{{0,24}}?)\s*(?:\]|\*+)?\s*[:：]\s*(?:\*+)?\s*|\s*<\|(?:im_start\|>)?({own}[A-Za-z]+)(?:\|>)?\s*"), named
+
+
+def marker(line: str, roles: tuple[str, ...] = ()) -> tuple[str | None, str]:
+    """(role that the line's marker announces, rest of the line); each of roles is announced by its own name too."""
+    pattern, named = _marks(roles)
+    m = pattern.match(line)
     if m:
         word = (m[1] or m[2]).strip().lower()
+        if word in named:
+            return named[word], line[m.end() :]
         for role, names in MARKERS.items():
             if word in names:
                 return role, line[m.end() :]
@@ -75,7 +85,7 @@ class Model:
         stay = np.full((len(self.roles) + 1, len(self.roles)), math.log(DRIFT / max(1, len(self.roles) - 1)))
         np.fill_diagonal(stay, math.log1p(-DRIFT))
         for number, line in enumerate(lines):
-            told, _ = marker(line)
+            told, _ = marker(line, self.roles)
             score = sum(self.emissions[f][v] for f, v in enumerate(features(lines, number, position)))
             if told is not None:
                 score = score + np.array([math.log(OWN_MARKER if r == told else OTHER_MARKER) for r in self.roles])
@@ -131,19 +141,19 @@ def render(role: str, content: str) -> str:
 
 
 def _counted(source: Iterable[pa.RecordBatch], roles: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Counts (feature, value, role) and, as feature -1, (role before, or the start) to role, of sorted rows
-    (conv, turn, mark, role, text)."""
+    """Counts (feature, value, role) and, as feature -1, (role before, role) within chunks, of sorted rows
+    (conv, wide, turn, mark, role, text)."""
     number = {r: k for k, r in enumerate(roles)}
     counts: Counter[tuple[int, int, int]] = Counter()
-    for _, rows in groups(source, 1):
-        before = len(roles)
+    for (_, wide), rows in groups(source, 2):
+        before = None
         for position, (_, _, role, text) in enumerate(rows):
-            if (k := number.get(role)) is None:
-                continue
-            counts[-1, before, k] += 1
+            k = number[role]
+            if before is not None:
+                counts[-1, before, k] += 1
             lines = (text or "").split("\n")
             for i in range(len(lines)):
-                for f, v in enumerate(features(lines, i, position)):
+                for f, v in enumerate(features(lines, i, position if wide == 0.0 else 2)):
                     counts[f, v, k] += 1
             before = k
     yield from batches({"feature": pa.int32(), "value": pa.int32(), "role": pa.int32(), "n": pa.int64()}, ((*k, n) for k, n in counts.items()))
@@ -170,21 +180,30 @@ def _chunked(turns: DataFrame, conv_col: str, turn_col: str, text_col: str) -> D
 
 
 def learn(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """A model of the commonest roles, from the first chunk of at most `sample` conversations, those with
-    the smallest hashes; None without roles.  Only counts of a fixed number of features leave the tasks."""
+    """A model of all roles, from at most `sample` whole conversations, those with the smallest hashes; None without
+    roles.  Tasks count chunks of CHUNK turns, whose first and last roles give the changes between them; only
+    counts of a fixed number of features leave the tasks."""
     labelled = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("double").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).where("conv is not null and turn is not null and role is not null")
-    names = [r["role"] for r in labelled.groupBy("role").count().orderBy(F.desc("count"), "role").limit(ROLES).collect()]
+    names = [r["role"] for r in labelled.select("role").distinct().collect()]
     if not names:
         return None
     roles = tuple(sorted(names))
     chosen = labelled.groupBy("conv").agg(F.min("turn").alias("first")).orderBy(F.xxhash64("conv"), "conv").limit(sample)
-    rows = labelled.join(F.broadcast(chosen), "conv").where(F.col("turn") < F.col("first") + CHUNK).dropDuplicates(["conv", "turn", "role", "text"])
-    rows = rows.select("conv", "turn", F.xxhash64("text").alias("mark"), "role", "text").repartition("conv").sortWithinPartitions("conv", "turn", "mark")
-    counted = rows.mapInArrow(partial(_counted, roles=roles), "feature int, value int, role int, n long").groupBy("feature", "value", "role").agg(F.sum("n").alias("n"))
+    rows = labelled.join(F.broadcast(chosen), "conv").dropDuplicates(["conv", "turn", "role", "text"])
+    wide = F.floor((F.col("turn") - F.col("first")) / CHUNK).cast("double")
+    rows = rows.select("conv", wide.alias("wide"), "turn", F.xxhash64("text").alias("mark"), "role", "text")
+    place = F.struct("turn", "mark", "role")
+    ends = rows.groupBy("conv", "wide").agg(F.min_by("role", place).alias("enter"), F.max_by("role", place).alias("leave"))
+    ends = ends.select("enter", F.lag("leave").over(Window.partitionBy("conv").orderBy("wide")).alias("before")).groupBy("before", "enter").agg(F.count("*").alias("n"))
+    placed = rows.repartition("conv", "wide").sortWithinPartitions("conv", "wide", "turn", "mark", "role")
+    counted = placed.mapInArrow(partial(_counted, roles=roles), "feature int, value int, role int, n long").groupBy("feature", "value", "role").agg(F.sum("n").alias("n"))
     emissions = [np.full((size, len(roles)), 0.5) for size in _SIZES]
     moves = np.full((len(roles) + 1, len(roles)), 0.5)
     for r in counted.collect():
         (moves if r["feature"] < 0 else emissions[r["feature"]])[r["value"], r["role"]] += r["n"]
+    number = {r: k for k, r in enumerate(roles)}
+    for r in ends.collect():
+        moves[len(roles) if r["before"] is None else number[r["before"]], number[r["enter"]]] += r["n"]
     logs = tuple(np.log(e / e.sum(axis=0)) for e in emissions)
     return Model(roles, logs, np.log(moves / moves.sum(axis=1, keepdims=True)))
 
@@ -240,16 +259,16 @@ def _parsed(source: Iterable[pa.RecordBatch], model: Model, columns: dict[str, p
             entry, leave = held[0][5], held[0][6]
             labels = decode(model, [(r[4], _position(key, i)) for i, r in enumerate(held)], entry, leave)
             for (_, turn, _, copies, text, *_), roles in zip(held, labels):
-                yield from ((key[0], turn, part, model.roles[k], content, render(model.roles[k], content), copies) for part, (k, content) in enumerate(_parts(text, roles)))
+                yield from ((key[0], turn, part, model.roles[k], content, render(model.roles[k], content), copies) for part, (k, content) in enumerate(_parts(text, roles, model.roles)))
 
     yield from batches(columns, rows(), 2000)
 
 
-def _parts(text: str | None, roles: list[int]) -> Iterator[tuple[int, str]]:
+def _parts(text: str | None, roles: list[int], names: tuple[str, ...] = ()) -> Iterator[tuple[int, str]]:
     """Runs of a row's lines: a new one at each marker and where the role changes."""
     held: list[str] = []
     for number, (line, role) in enumerate(zip((text or "").split("\n"), roles)):
-        told, rest = marker(line)
+        told, rest = marker(line, names)
         if number and (told is not None or role != roles[number - 1]):
             yield roles[number - 1], "\n".join(held)
             held = []

@@ -75,6 +75,23 @@ def test_markers_split_a_raw_transcript(spark, model):
     assert got[2].content == "it is a <|end|> test\nwith two lines" and got[2].rendered == "<|assistant|>\nit is a < |end|> test\nwith two lines\n<|end|>\n"
 
 
+def test_every_role_is_learnt_and_announces_itself(spark):
+    """Twenty roles, and one that speaks only after hundreds of turns."""
+    rows = [(c, t, f"role{t % 20}", "some words " * (t % 20 + 1)) for c in range(6) for t in range(40)]
+    rows += [(c, 700, "Tool", "late") for c in range(6)] + [(c, 701, "developer", "later?") for c in range(6)]
+    model = chat.learn(spark.createDataFrame(rows, SCHEMA))
+    assert model.roles == tuple(sorted({r[2] for r in rows})) and len(model.roles) == 22
+    tool, dev = model.roles.index("Tool"), model.roles.index("developer")
+    assert np.exp(model.turns[tool, dev]) == pytest.approx(6.5 / (6 + 22 / 2))  # counted beyond the first chunk
+    before = model.roles.index("role19")
+    assert np.exp(model.turns[before, tool]) == pytest.approx(6.5 / (12 + 22 / 2))  # and across a border
+    text = "role3: some\nTool: {}\ndeveloper: later?\n<|tool|>\nrole12: x"
+    got = chat.parse(spark.createDataFrame([(1, 0, None, text)], SCHEMA), model).orderBy("part").collect()
+    assert [r.content.strip() for r in got] == ["some", "{}", "later?", "", "x"]
+    assert chat.marker("tool: a", model.roles) == ("Tool", "a") and chat.marker("role1: a", model.roles) == ("role1", "a")
+    assert chat.marker("tool: a") == (None, "tool: a") and chat.marker("role100: a", model.roles)[0] is None
+
+
 def test_edge_cases(spark, model):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, "x", "late"), (None, 0, None, None), (None, 1, None, ""), (2, -5, None, "x" * 200_000), (3, 10**15, None, "far"), (3, 0, None, "a\n" * 3000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", part int")
