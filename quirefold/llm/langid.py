@@ -129,7 +129,8 @@ def _counts(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, limit: int = LANGUAGES) -> Model | None:
-    """A model of the languages in lang_col (null: not learnt from); None if there is none.
+    """A model of the `limit` commonest languages in lang_col (null: not learnt from); None if there is none.
+    Texts in a language beyond these never get its name.
 
     Each language gives about `sample` documents at most, those with small hashes of their id, so that rare ones
     count fully.  Counts are summed in the tasks; what reaches the driver is one table of BUCKETS by languages.
