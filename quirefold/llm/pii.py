@@ -8,6 +8,7 @@ PMI / IC is 0 for a term that says nothing and 1 for one that is only found with
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
@@ -27,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 QUASI, REVEAL = "quasi", "reveal"
 #: Shares of an entity's information from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.90, 0.98
-#: Terms count as seen with an entity up to so many words from it.
+#: Terms count as seen with an entity if they are among so many next to it on either side, however far off.
 WINDOW = 8
 #: Different documents, exact and near copies counting once, that a disclosure must rest on.
 SUPPORT = 3
@@ -35,7 +36,6 @@ SUPPORT = 3
 #: counted than needed, never less.
 FILTER_BITS = 1 << 22
 CACHE_TERMS = 300_000
-_REACH = 24 * WINDOW
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,7 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+# Runs of three letters or digits, and of two letters of which none is Latin.
+_TERM = re.compile(r"[^\W_]{3,}|[^\W\d_A-Za-z\u00AA\u00BA\u00C0-\u024F\u1E00-\u1EFF]{2}(?![^\W_])")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -92,13 +93,23 @@ def _nearby(text: str, spans: list[tuple]) -> Iterator[tuple[str, str, str, int]
     """(entity, kind, term, context) for the terms around each span; context is a hash of the whole
     text, by which exact copies count as one."""
     context = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    free, k = [], 0  # terms outside of all spans
+    merged: list[list[int]] = []
+    for start, _, _, stop in spans:
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], stop)
+        else:
+            merged.append([start, stop])
+    for m in _TERM.finditer(text):
+        while k < len(merged) and merged[k][1] <= m.start():
+            k += 1
+        if k == len(merged) or m.end() <= merged[k][0]:
+            free.append(m)
+    starts = [m.start() for m in free]
     for start, _, kind, stop in spans:
-        low, high = max(0, start - _REACH), min(len(text), stop + _REACH)
-        before = [m for m in _TERM.finditer(text, low, start) if m.start() > low or low == 0][-WINDOW:]
-        after = [m for m in _TERM.finditer(text, stop, high) if m.end() < high or high == len(text)][:WINDOW]
-        free = [m for m in before + after if not any(a < m.end() and m.start() < b for a, _, _, b in spans if b > low and a < high)]
+        at, after = bisect_left(starts, start), bisect_left(starts, stop)
         entity = _entity(kind, text[start:stop])
-        for t in sorted({m[0].lower() for m in free}):
+        for t in sorted({m[0].lower() for m in free[max(0, at - WINDOW) : at] + free[after : after + WINDOW]}):
             yield entity, kind, t, context
 
 

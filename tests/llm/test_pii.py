@@ -128,6 +128,16 @@ def test_copies_are_one_context(spark):
     assert len(got) == 52 and all(s["rank"] < 4 for r in got for s in r.spans)
 
 
+def test_the_eight_terms_next_to_an_entity_are_seen():
+    near = lambda text: {t for _, _, t, _ in pii._nearby(text, pii.base_spans(text))}
+    far = " ".join(f"word{c}" for c in "abcdefgh")
+    assert near(f"outside {far} {'=' * 500} a@b.example {'/' * 500} {far} beyond") == set(far.split())
+    assert near("record MRN48213 774411 a@b.example \u738b\u4f1f, an \u0438\u0437 xy") == {"record", "mrn48213", "774411", "\u738b\u4f1f", "\u0438\u0437"}
+    assert near("one a@b.example two c@d.example " + far) == {"one", "two", *far.split()}
+    pii_text = "a@b.example zz " * 30_000 + "end"  # in time linear in the text
+    assert near(pii_text) == {"end"}
+
+
 def test_a_signature_in_different_documents_discloses(spark):
     """One signature has the same neighbours everywhere; the documents around it differ."""
     rnd = random.Random(6)
