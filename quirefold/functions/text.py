@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: All white space of Unicode, the information separators and NEL included, which \s alone is not.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The same as a list of characters.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+DASHES = "-–—"
 
 # Language names that have a code.
 LANGUAGE_CODES = {
@@ -18,12 +21,13 @@ BULLETS = "•▪◦‣·–\\-*"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Trims by a list of characters: a pattern anchored at the end would be tried at every blank of an inner run."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(c, f"{SPACE}++", " "))
 
 
 def words(c: Column) -> Column:
@@ -77,8 +81,11 @@ def list_item(c: Column) -> Column:
 
 
 def is_page_number(c: Column) -> Column:
-    bare = F.regexp_replace(c, f"^(?:{SPACE}|[-–—])+|(?:{SPACE}|[-–—])+$", "")
-    return bare.rlike(rf"(?i)^(page{SPACE}+)?\p{{Nd}}{{1,4}}({SPACE}*/{SPACE}*\p{{Nd}}{{1,4}}|{SPACE}+of{SPACE}+\p{{Nd}}{{1,4}})?$")
+    """A number of up to four digits, after "page" or not, alone or out of a total, between dashes and blanks."""
+    bare = F.btrim(c, F.lit(SPACES + DASHES))
+    number, gap = r"\p{Nd}{1,4}", f"{SPACE}++"
+    total = f"(?:{SPACE}*+/{SPACE}*+|{gap}of{gap}){number}"
+    return bare.rlike(f"(?i)^(?:page{gap})?{number}(?:{total})?$")
 
 
 def fingerprint(*parts: Column, length: int = 10) -> Column:
@@ -92,7 +99,7 @@ def language_code(name: Column) -> Column:
 
 def language_name(answer: Column) -> Column:
     """A model's one-word answer without white space and full stops around it."""
-    return strip(F.regexp_replace(strip(answer), r"^\.+|\.+$", ""))
+    return strip(F.btrim(strip(answer), F.lit(".")))
 
 
 def duration(seconds: Column) -> Column:

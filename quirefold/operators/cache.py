@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -37,10 +38,12 @@ class Store:
         self.total -= self.entries.pop(key)[1]
 
     def _expired(self, now: float) -> int:
-        old = [k for k, e in self.entries.items() if now - e[0] > self.ttl]
-        for k in old:
-            self._drop(k)
-        return len(old)
+        """Entries stand in order of their stamps, so the first that is young enough ends the search."""
+        gone = 0
+        while self.entries and now - self.entries[key := next(iter(self.entries))][0] > self.ttl:
+            self._drop(key)
+            gone += 1
+        return gone
 
     def apply(self, ts: float, op: str, key: str | None, digest: str | None, kind: str | None, size: int | None) -> tuple[str, int, int]:
         """(outcome, expirations, evictions) of one operation."""
@@ -174,6 +177,58 @@ def without_document(entries: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def single_flight(requests: DataFrame) -> DataFrame:
-    """requests (key, ts, request_id) with leader: the first of its key does the work for all."""
-    order = Window.partitionBy("key").orderBy("ts", "request_id")
-    return requests.withColumn("leader", F.first("request_id").over(order)).withColumn("leads", F.col("leader") == F.col("request_id"))
+    """requests (key, ts, request_id) with leader: the first of its key does the work for all.
+
+    Leaders are found by partial aggregation and joined back, so a request that very many make at once is
+    no single task's work; adaptive execution splits the join.
+    """
+    leaders = requests.groupBy("key").agg(F.min_by("request_id", F.struct("ts", "request_id")).alias("leader"))
+    return requests.join(leaders, "key").select(*requests.columns, "leader", (F.col("leader") == F.col("request_id")).alias("leads"))
+
+
+def shared_outcomes(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """requests of single_flight() with the outcome that their leader had: all of a flight get its result or its error.
+
+    results has (leader, result, error).  A leader without a row timed out: status 504, as for an error
+    "timeout"; any other error is 500, none 200.
+    """
+    rows = requests.join(results.select("leader", "result", "error", F.lit(True).alias("_ended")), "leader", "left")
+    error = F.when(F.col("_ended").isNull(), F.lit("timeout")).otherwise(F.col("error"))
+    rows = rows.withColumn("error", error)
+    status = F.when(F.col("error").isNull(), 200).when(F.col("error") == "timeout", 504).otherwise(500)
+    return rows.select(*requests.columns, F.when(status == 200, F.col("result")).alias("result"), "error", status.alias("status"))
+
+
+def admitted(requests: DataFrame, slots: int, waiting: int) -> DataFrame:
+    """requests (store, ts, seconds, request_id) with start, end and status: `slots` run at a time, `waiting` more may
+    wait, and what comes beyond is refused with 429.
+
+    Each store's requests run in order of (ts, request_id), as a stream: a task holds at most slots and
+    waiting times, never the log.
+    """
+    rows = requests.select("store", "ts", "seconds", "request_id").repartition("store").sortWithinPartitions("store", "ts", "request_id")
+    return rows.mapInArrow(partial(_admitted, slots=slots, waiting=waiting), "store string, ts double, seconds double, request_id long, start double, `end` double, status int")
+
+
+def _admitted(source: Iterable[pa.RecordBatch], slots: int, waiting: int) -> Iterator[pa.RecordBatch]:
+    name, running, queued = None, [], []  # ends of the slots in use, starts of those that wait
+    for batch in source:
+        columns = [c.to_pylist() for c in batch.columns]
+        begun, ended, status = [], [], []
+        for store, ts, seconds, _ in zip(*columns):
+            if store != name:
+                name, running, queued = store, [], []
+            queued = [s for s in queued if s > ts]
+            # With slots free by now a request starts at once, else when the slot that ends first does.
+            start = ts if len(running) < slots else max(ts, running[0])
+            if start > ts and len(queued) >= waiting:
+                begun.append(None), ended.append(None), status.append(429)
+                continue
+            if len(running) == slots:
+                heapq.heappop(running)
+            heapq.heappush(running, start + seconds)
+            if start > ts:
+                queued.append(start)
+            begun.append(start), ended.append(start + seconds), status.append(200)
+        added = [pa.array(begun, pa.float64()), pa.array(ended, pa.float64()), pa.array(status, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=["store", "ts", "seconds", "request_id", "start", "end", "status"])

@@ -56,9 +56,12 @@ def scoped_key(key: Column, doc_digest: Column, share: bool) -> Column:
 
 
 def representatives(jobs: DataFrame) -> DataFrame:
-    """One job per key: the first by page and number.  Only these are worth a call."""
-    order = Window.partitionBy("key").orderBy("doc_id", "page_num", "idx")
-    return jobs.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """One job per key: the first by page and number.  Only these are worth a call.
+
+    min_by aggregates before the shuffle, so a logo on every page sends one row per task.
+    """
+    first = jobs.groupBy("key").agg(F.min_by(F.struct(*jobs.columns), F.struct("doc_id", "page_num", "idx")).alias("first"))
+    return first.select("first.*")
 
 
 def with_known(jobs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,13 @@ from pyspark.sql.window import Window
 
 from quirefold.functions import text as X
 
+# Words that captions begin with, and suffixes of image files.
 FIGURE_WORDS = ("Chart", "Figure", "Diagram", "Graph", "Exhibit", "Figur")
-IMAGE_SUFFIX, MEDIA_BYTES = r"(?i)\.(jpe?g|png|emf|wmf|gif|tiff?|bmp)$", 2000
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".emf", ".wmf", ".gif", ".tif", ".tiff", ".bmp")
+#: Office media below this size are icons.
+MEDIA_BYTES = 2000
+#: Ranges into which the values of a group are counted to find its percentiles.
+COARSE = 1000
 
 
 def multiset_recall(found: DataFrame, truth: DataFrame, by: list[str], item: str = "token") -> DataFrame:
@@ -74,20 +79,35 @@ def distinct_images(files: DataFrame) -> DataFrame:
 
 def source_images(members: DataFrame) -> DataFrame:
     """Images of an Office file by its ZIP members (doc_id, name, size), icons left out."""
-    real = F.col("name").rlike(r"/media/[^/]+$") & F.col("name").rlike(IMAGE_SUFFIX) & (F.col("size") >= MEDIA_BYTES)
+    suffix = F.lower(F.regexp_extract("name", r"(\.[^./]*)$", 1))
+    real = F.col("name").rlike(r"/media/[^/]+$") & suffix.isin(*IMAGE_SUFFIXES) & (F.col("size") >= MEDIA_BYTES)
     return members.groupBy("doc_id").agg(F.count_if(real).alias("images"))
 
 
 def latencies(samples: DataFrame, by: str, value: str) -> DataFrame:
-    """by, n, median, p95, longest.  p95 is the value at place floor(0.95 n) of the sorted ones, from 0;
-    ranks are compared with counts, so no group is gathered."""
-    order, whole = Window.partitionBy(by).orderBy(value), Window.partitionBy(by)
-    rows = samples.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), (F.row_number().over(order) - 1).alias("i"), F.count("*").over(whole).alias("n"))
-    half = F.floor(F.col("n") / 2)
-    low = F.when(F.col("i") == F.floor((F.col("n") - 1) / 2), F.col("v"))
-    high = F.when(F.col("i") == half, F.col("v"))
-    p95 = F.when(F.col("i") == F.floor(F.col("n") * F.lit(0.95)), F.col("v"))
-    return rows.groupBy(by).agg(F.count("*").alias("n"), ((F.max(low) + F.max(high)) / 2).alias("median"), F.max(p95).alias("p95"), F.max("v").alias("longest"))
+    """by, n, median, p95, longest.  p95 is the value at place floor(0.95 n) of the sorted ones, from 0.
+
+    Equal values are counted first; then a group's values lie in COARSE ranges between its least and greatest,
+    and running sums over the ranges tell which three of them hold the places asked for.  Only the distinct values of
+    those are ranked, so no group is sorted as a whole.
+    """
+    counted = samples.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("times"))
+    ends = counted.groupBy("by").agg(F.min("v").alias("low"), F.max("v").alias("longest"), F.sum("times").alias("n"))
+    same = F.col("c.by").eqNullSafe(F.col("e.by"))
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("longest") - F.col("low")), F.lit(0.0))
+    ranged = counted.alias("c").join(ends.alias("e"), same).select("c.by", "v", "times", "n", F.least(F.floor(share * COARSE), F.lit(COARSE - 1)).alias("range"))
+    sums = ranged.groupBy("by", "range").agg(F.sum("times").alias("held"))
+    before = Window.partitionBy("by").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    places = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.floor(F.col("n") * F.lit(0.95)))
+    wanted = sums.alias("c").join(ends.alias("e"), same).select(F.col("c.by").alias("by"), "range", "before", "held", places.alias("places"))
+    wanted = wanted.where(F.exists("places", lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("held"))))
+    near = ranged.alias("c").join(wanted.alias("e"), same & (F.col("c.range") == F.col("e.range"))).select("c.by", "c.range", "v", "times", "before", "places")
+    upto = Window.partitionBy("by", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("stop", F.col("before") + F.sum("times").over(upto))
+    at = lambda k: F.max(F.when((F.col("places")[k] < F.col("stop")) & (F.col("places")[k] >= F.col("stop") - F.col("times")), F.col("v")))
+    told = near.groupBy("by").agg(((at(0) + at(1)) / 2).alias("median"), at(2).alias("p95"))
+    return ends.alias("c").join(told.alias("e"), same).select(F.col("c.by").alias(by), "n", "median", "p95", "longest")
 
 
 def merged_results(old: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:

@@ -45,8 +45,13 @@ def diagram_path(page: str = "page_num", index: str = "region_index"):
 
 
 def described(rows: DataFrame, descriptions: DataFrame, kind: str, ref: str) -> DataFrame:
-    """rows with description, that of their kind, page and number; the last given wins, null without one."""
-    own = descriptions.where(F.col("kind") == kind).groupBy("doc_id", "page_num", F.col("ref").alias(ref)).agg(F.last("text").alias("description"))
+    """rows with description, that of their kind, page and number, null without one.
+
+    Of several the one with the greatest seq wins, where descriptions number their order so, and of equal
+    ones, or without seq, the greatest text: the same on every run.
+    """
+    order = F.struct("seq", "text") if "seq" in descriptions.columns else F.struct("text")
+    own = descriptions.where((F.col("kind") == kind) & F.col("text").isNotNull()).groupBy("doc_id", "page_num", F.col("ref").alias(ref)).agg(F.max_by("text", order).alias("description"))
     return rows.join(own, [*PAGE, ref], "left")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from quirefold.functions import text as X
 
-_MARK = r"<!--\s*page\s+(\d+)\s*-->"
+# Fixed value: the mark before each page, written by output.to_markdown; other comments are text.
+_MARK = r"<!-- page (\d+) -->"
 _REF = r"!\[[^\]]*\]\((?:images|diagrams)/([^)]+)\)"
 DPI = 72
 

@@ -462,7 +462,7 @@ def test_page_records(spark):
     assert got[0].markdown == "Text\n\n![f1](f1)\n\n> cap" and tuple(got[0].dimensions) == (72, 842, 595) and got[1].dimensions is None
     assert tuple(got[0].images[0]) == ("f1", 0, 2, 2, 4, "data:image/png;base64,eA==") and got[1].images[0].top_left_x is None
     for k, want in (({"limit": 0}, 0), ({"least": 101}, 0), ({"least": 100}, 1), ({"limit": 1}, 1)):
-        rows = pages.ocr_records(docs, figs, sizes, **k).collect()
+        rows = pages.ocr_records(docs, figs, sizes, **k).orderBy("pos").collect()
         assert sum(len(r.images) for r in rows) == want and "cap" in rows[0].markdown and ("![" in rows[0].markdown) == (want == 1)
 
 
