@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quirefold.llm.common import batches, groups, materialise, type_of
+from quirefold.llm.common import batches, discard, groups, in_arrow, materialise, type_of
 
 #: Speaker words of line markers, by the role that they announce; learnt roles announce themselves.
 MARKERS = {
@@ -23,9 +23,10 @@ MARKERS = {
     "assistant": ("assistant", "ai", "bot", "agent", "answer", "a", "model", "chatbot", "support"),
     "system": ("system", "instruction", "instructions", "context"),
 }
-#: Chance that a line of a role starts with one of its own markers, and with one of another role.
-OWN_MARKER, OTHER_MARKER = 0.05, 1e-4
-#: Chance that the speaker changes between lines of a row without a marker.
+#: Before any is counted, the chances that a line of a role starts with one of its own markers, and with one of another
+#: role, and the number of lines that this belief weighs.
+OWN_MARKER, OTHER_MARKER, MARKER_LINES = 0.05, 1e-4, 200
+#: Chance that the speaker changes between lines of a row without a marker.  It cannot be counted: a labelled row has one role.
 DRIFT = 1e-3
 #: Conversations that a model learns from at most.
 SAMPLE = 20_000
@@ -33,8 +34,10 @@ SAMPLE = 20_000
 CHUNK = 256
 
 _LISTED = re.compile(r"\s*(?:[-*•]|\d+[.)]|```|>)")
-#: Values of each feature; the last value of a feature means that the line does not have it.
-_SIZES = (2, 8, 20, 20, 2, 2, 4)
+#: Values of each feature; the last value of a feature means that the line does not have it.  The last feature is the
+#: line's marker: none, one of the role itself, one of another role.
+_SIZES = (2, 8, 20, 20, 2, 2, 4, 3)
+_MARKER = len(_SIZES) - 1
 
 
 @lru_cache(maxsize=64)
@@ -87,8 +90,8 @@ class Model:
         for number, line in enumerate(lines):
             told, _ = marker(line, self.roles)
             score = sum(self.emissions[f][v] for f, v in enumerate(features(lines, number, position)))
-            if told is not None:
-                score = score + np.array([math.log(OWN_MARKER if r == told else OTHER_MARKER) for r in self.roles])
+            marks = self.emissions[_MARKER]
+            score = score + (marks[0] if told is None else np.where(np.array(self.roles) == told, marks[1], marks[2]))
             yield (self.turns if not number or told is not None else stay), score
 
 
@@ -152,9 +155,11 @@ def _counted(source: Iterable[pa.RecordBatch], roles: tuple[str, ...]) -> Iterat
             if before is not None:
                 counts[-1, before, k] += 1
             lines = (text or "").split("\n")
-            for i in range(len(lines)):
+            for i, line in enumerate(lines):
                 for f, v in enumerate(features(lines, i, position if wide == 0.0 else 2)):
                     counts[f, v, k] += 1
+                told, _ = marker(line, roles)
+                counts[_MARKER, 0 if told is None else 1 if told == role else 2, k] += 1
             before = k
     yield from batches({"feature": pa.int32(), "value": pa.int32(), "role": pa.int32(), "n": pa.int64()}, ((*k, n) for k, n in counts.items()))
 
@@ -196,8 +201,9 @@ def learn(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     ends = rows.groupBy("conv", "wide").agg(F.min_by("role", place).alias("enter"), F.max_by("role", place).alias("leave"))
     ends = ends.select("enter", F.lag("leave").over(Window.partitionBy("conv").orderBy("wide")).alias("before")).groupBy("before", "enter").agg(F.count("*").alias("n"))
     placed = rows.repartition("conv", "wide").sortWithinPartitions("conv", "wide", "turn", "mark", "role")
-    counted = placed.mapInArrow(partial(_counted, roles=roles), "feature int, value int, role int, n long").groupBy("feature", "value", "role").agg(F.sum("n").alias("n"))
+    counted = placed.transform(in_arrow, partial(_counted, roles=roles), "feature int, value int, role int, n long").groupBy("feature", "value", "role").agg(F.sum("n").alias("n"))
     emissions = [np.full((size, len(roles)), 0.5) for size in _SIZES]
+    emissions[_MARKER][:] = MARKER_LINES * np.array([[1 - OWN_MARKER - OTHER_MARKER], [OWN_MARKER], [OTHER_MARKER]])
     moves = np.full((len(roles) + 1, len(roles)), 0.5)
     for r in counted.collect():
         (moves if r["feature"] < 0 else emissions[r["feature"]])[r["value"], r["role"]] += r["n"]
@@ -302,17 +308,18 @@ def parse(turns: DataFrame, model: Model | None, conv_col: str = "conv_id", turn
     rows = materialise(_chunked(turns, conv_col, turn_col, text_col), "chunk")
     listed = rows.select("conv", F.col("chunk.wide").alias("wide"), F.col("chunk.fine.at").alias("at"), F.col("chunk.fine.part").alias("part"), F.coalesce(F.col("at"), F.lit(float("inf"))).alias("spot"), "turn", "mark", "copies", "text")
     placed = listed.select(*keys, "spot", "turn", "mark", "text").repartition(*keys).sortWithinPartitions(*keys, "spot", "mark")
-    tables = placed.mapInArrow(partial(_transfers, model=model, columns={**where, "table": pa.list_(pa.float64())}), f"{shape}, `table` array<double>")
+    tables = placed.transform(in_arrow, partial(_transfers, model=model, columns={**where, "table": pa.list_(pa.float64())}), f"{shape}, `table` array<double>")
     forward = tables.repartition("conv").sortWithinPartitions(*keys)
     columns = {**where, "table": pa.list_(pa.float64()), "before": pa.list_(pa.float64())}
-    forward = materialise(forward.mapInArrow(partial(_chained, roles=count, forward=True, columns=columns), f"{shape}, `table` array<double>, before array<double>"), "forward")
+    forward = materialise(forward.transform(in_arrow, partial(_chained, roles=count, forward=True, columns=columns), f"{shape}, `table` array<double>, before array<double>"), "forward")
     backward = forward.repartition("conv").sortWithinPartitions("conv", *[F.col(k).desc() for k in keys[1:]])
     columns = {**where, "entry": pa.int32(), "leave": pa.int32()}
-    borders = materialise(backward.mapInArrow(partial(_chained, roles=count, forward=False, columns=columns), f"{shape}, entry int, leave int"), "borders")
+    borders = materialise(backward.transform(in_arrow, partial(_chained, roles=count, forward=False, columns=columns), f"{shape}, entry int, leave int"), "borders")
+    discard(forward)
 
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     joined = listed.alias("r").join(borders.alias("b"), same).select("r.*", "entry", "leave")
     joined = joined.select(*keys, "spot", "turn", "mark", "copies", "text", "entry", "leave").repartition(*keys).sortWithinPartitions(*keys, "spot", "mark")
     columns = {"conv": conv_type, "turn": turn_type, "part": pa.int32(), "role": pa.string(), "content": pa.string(), "rendered": pa.string(), "copies": pa.int64()}
-    out = joined.mapInArrow(partial(_parsed, model=model, columns=columns), f"conv {conv}, turn {turn}, part int, role string, content string, rendered string, copies long")
+    out = joined.transform(in_arrow, partial(_parsed, model=model, columns=columns), f"conv {conv}, turn {turn}, part int, role string, content string, rendered string, copies long")
     return out.withColumnsRenamed({"conv": conv_col, "turn": turn_col})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import partial
@@ -14,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quirefold.llm.common import batches, type_of
+from quirefold.llm.common import batches, discard, in_arrow, materialise, quoted, type_of
 
 #: Edits allowed, as a share of an item's characters.
 BUDGET = 0.10
 #: Levels of the tree over an item's pieces that a hit must pass before the whole item is compared.
 LEVELS = 2
-#: Items with fewer characters say too little to be looked for.
-MIN_CHARS = 20
+#: Items with fewer characters are looked for without edits, and only between characters that are neither letters nor digits.
+SHORT = 20
 #: Items are sent to the tasks in portions of about so many characters; one pass over the documents each.
 PORTION_CHARS = 4_000_000
 
@@ -118,12 +119,15 @@ def ancestors(count: int) -> list[list[tuple[int, int]]]:
 class Searcher:
     """Finds items, (id, text) with repeats allowed, in whole texts."""
 
-    def __init__(self, items: Iterable[tuple], share: float = BUDGET, min_chars: int = MIN_CHARS):
+    def __init__(self, items: Iterable[tuple], share: float = BUDGET, short: int = SHORT):
         self.items: list[tuple] = []
-        where: dict[str, list[tuple[int, int, list]]] = defaultdict(list)
+        where: dict[str, list[tuple[int, int, list | None]]] = defaultdict(list)
         for ident, text in items:
             text = normalise(text)
-            if len(text) >= max(1, min_chars):
+            if 0 < len(text) < short:
+                where[text].append((len(self.items), 0, None))
+                self.items.append((ident, text, 0))
+            elif text:
                 edits = budget(len(text), share)
                 cut = pieces(text, edits)
                 nodes: dict[tuple[int, int], tuple[Pattern, int, int]] = {}
@@ -147,27 +151,36 @@ class Searcher:
             return
         plain = normalise(text)
         diagonals: dict[int, set[int]] = defaultdict(set)
+        exact: list[tuple[int, int]] = []
         for last, (length, places) in self.automaton.iter(plain):
             for item, at, above in places:
                 begin = last + 1 - length - at
-                if begin not in diagonals[item] and all(_within(plain, begin + start, pattern, edits) for pattern, start, edits in above):
+                if above is None:
+                    if not (plain[begin - 1 : begin].isalnum() or plain[last + 1 : last + 2].isalnum()):
+                        exact.append((item, begin))
+                elif begin not in diagonals[item] and all(_within(plain, begin + start, pattern, edits) for pattern, start, edits in above):
                     diagonals[item].add(begin)
         words: list[tuple[int, int]] = []
         starts: list[int] = []
+
+        def placed(begin: int, end: int) -> tuple[int, int]:
+            if not words:
+                at = 0
+                for m in re.finditer(r"\S+", text):
+                    words.append(m.span())
+                    starts.append(at)
+                    at += len(m[0].lower()) + 1
+            return words[bisect_right(starts, begin) - 1][0], words[bisect_right(starts, max(begin, end - 1)) - 1][1]
+
+        for number, begin in exact:
+            ident, item, _ = self.items[number]
+            yield ident, *placed(begin, begin + len(item)), 0
         for number, begins in sorted(diagonals.items()):
             ident, item, edits = self.items[number]
             for low, high in _spans(sorted(begins), len(item), edits):
                 low, high = max(0, low), min(len(plain), high)
                 for a, b, score in occurrences(item, plain[low:high], edits):
-                    if not words:
-                        words = [m.span() for m in re.finditer(r"\S+", text)]
-                        at = 0
-                        for x, y in words:
-                            starts.append(at)
-                            at += len(text[x:y].lower()) + 1
-                    first = _last_at_most(starts, low + a)
-                    last = _last_at_most(starts, max(low + a, low + b - 1))
-                    yield ident, words[first][0], words[last][1], score
+                    yield ident, *placed(low + a, low + b), score
 
 
 def _within(text: str, at: int, pattern: Pattern, edits: int) -> bool:
@@ -190,28 +203,20 @@ def _spans(begins: list[int], length: int, edits: int) -> Iterator[tuple[int, in
         yield low, high
 
 
-def _last_at_most(starts: list[int], x: int) -> int:
-    lo, hi = 0, len(starts)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if starts[mid] <= x else (lo, mid)
-    return lo
-
-
 _kept: dict[int, tuple] = {}
 
 
-def _searcher(items: list[tuple], share: float, min_chars: int) -> Searcher:
+def _searcher(items: list[tuple], share: float, short: int) -> Searcher:
     """One automaton per worker and portion: the last one is kept between tasks."""
-    key = hash((tuple(items), share, min_chars))
+    key = hash((tuple(items), share, short))
     if key not in _kept:
         _kept.clear()
-        _kept[key] = Searcher(items, share, min_chars)
+        _kept[key] = Searcher(items, share, short)
     return _kept[key]
 
 
-def _found(source: Iterable[pa.RecordBatch], items: list[tuple], share: float, min_chars: int, columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
-    search = _searcher(items, share, min_chars)
+def _found(source: Iterable[pa.RecordBatch], items: list[tuple], share: float, short: int, columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    search = _searcher(items, share, short)
 
     def rows() -> Iterator[tuple]:
         for batch in source:
@@ -224,7 +229,7 @@ def _found(source: Iterable[pa.RecordBatch], items: list[tuple], share: float, m
 
 def _portions(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The distinct items, in bounded portions."""
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    items = benchmark.select(quoted(item_col).alias("id"), quoted(text_col).alias("text")).where("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, math.ceil(chars / PORTION_CHARS))
     for k in range(count):
@@ -232,7 +237,7 @@ def _portions(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[li
         yield sorted((tuple(r) for r in part.collect()), key=str)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", share: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", share: float = BUDGET, short: int = SHORT, item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, start, end, distance): every place where a document holds a benchmark
     item within budget() edits, both normalised; start and end are code points of the text, widened to words.
 
@@ -241,28 +246,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     the piece with its neighbours, two, then four of them within their share of the budget, and where
     that holds the whole item on the window around its possible begin; see ancestors() for why nothing
     within the budget is missed.
-    Null texts and items match nothing, items under min_chars normalised characters are not looked
-    for, items listed twice are found once, and repeated rows of docs give rows each.  Other columns
-    are ignored.  Items travel in portions of PORTION_CHARS, whatever their number.
+    Items under `short` normalised characters are looked for without edits and as words of their own.
+    Null, empty and blank texts and items match nothing, very long texts are searched whole, items listed twice are found
+    once, and repeated rows of docs give rows each; without rows or items there are none.  Other columns
+    are ignored, whatever their names.  Items travel in portions of PORTION_CHARS, whatever their number.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     columns = {"id": to_arrow_type(rows.schema["id"].dataType), "item_id": to_arrow_type(benchmark.schema[item_col].dataType), "start": pa.int32(), "end": pa.int32(), "distance": pa.int32()}
     schema = f"id {type_of(rows, 'id')}, item_id {type_of(benchmark, item_col)}, start int, `end` int, distance int"
     out = None
-    for items in _portions(benchmark, item_col, "text"):
-        part = rows.mapInArrow(partial(_found, items=items, share=share, min_chars=min_chars, columns=columns), schema)
+    for items in _portions(benchmark, item_col, item_text_col):
+        part = rows.transform(in_arrow, partial(_found, items=items, share=share, short=short, columns=columns), schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"id": id_col, "item_id": item_col})
 
 
-def _without(source: Iterable[pa.RecordBatch], items: list[tuple], share: float, min_chars: int, at: int) -> Iterator[pa.RecordBatch]:
-    search = _searcher(items, share, min_chars)
+def _without(source: Iterable[pa.RecordBatch], items: list[tuple], share: float, short: int, at: int) -> Iterator[pa.RecordBatch]:
+    search = _searcher(items, share, short)
     for batch in source:
         yield batch.filter(pa.array([next(search(t), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", share: float = BUDGET, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of docs without a leak, with all their columns, in one pass for each portion of items."""
-    for items in _portions(benchmark, item_col, "text"):
-        docs = docs.mapInArrow(partial(_without, items=items, share=share, min_chars=min_chars, at=docs.columns.index(text_col)), docs.schema)
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", share: float = BUDGET, short: int = SHORT, item_text_col: str = "text") -> DataFrame:
+    """The rows of docs without a leak as leaks() finds it, with all their columns, whatever their names.
+
+    One pass for each portion of items, written before the next, so that no task chains searches.  Null, empty and blank
+    texts stay, very long ones are searched whole, repeated rows are treated alike, and an empty table stays empty.
+    """
+    last = None
+    for items in _portions(benchmark, item_col, item_text_col):
+        if last is not None:
+            docs, old = materialise(last, "portion"), docs
+            if hasattr(old, "_quirefold_path") and old is not first:
+                discard(old)
+        else:
+            first = docs
+        last = docs.transform(in_arrow, partial(_without, items=items, share=share, short=short, at=docs.columns.index(text_col)), docs.schema)
+    return last

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialise
+from quirefold.llm.common import discard, in_arrow, materialise
 
 #: Nodes that one task's union-find holds before it hands its forest on (bounds memory only).
 FOREST_NODES = 500_000
@@ -49,13 +49,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges: two columns of one non-null orderable type, in any direction, repeated or not; a loop
     counts as no edge.  Each task first shrinks its edges to a forest, then large-star and small-star rounds
     run until nothing changes.  Each round is written to the shared folder, so that a lost
-    executor costs a round at most.  Hubs are aggregated before the shuffle, and the joins are ones
+    executor costs a round at most, and the one before is deleted.  Hubs are aggregated before the shuffle, and the joins are ones
     that adaptive execution may split.
     """
     a, b = edges.columns
     kind = edges.schema[a].dataType.simpleString()
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    stars = materialise(pairs.mapInArrow(_forests, f"u {kind}, v {kind}").distinct(), "forest")
+    stars = materialise(pairs.transform(in_arrow, _forests, f"u {kind}, v {kind}").distinct(), "forest")
 
     def mark(df: DataFrame) -> tuple:
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -70,7 +70,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        stars, old = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars"), stars
+        discard(old)
         now = mark(stars)
         if now == before:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -13,20 +14,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batches, type_of
+from quirefold.llm.common import batches, in_arrow, quoted, type_of
 
 #: Documents of each language that a model learns from at most (in expectation; by a hash of the id).
 SAMPLE = 5_000
-#: Languages that a model knows at most, the commonest first.
-LANGUAGES = 256
 #: Buckets of hashed letter pairs and triples.
 BUCKETS = 1 << 15
 #: Cost of a change of language between words, and most that one word can say against a language (in nats).
 SWITCH, WORD_LIMIT = 8.0, 4.0
 #: A language is a candidate for a word if this part of its letters is in the word's script.
 SCRIPT_SHARE = 0.01
-#: Cells of words times languages that are decoded at a time, and words remembered per worker.
-CELLS, CACHE_WORDS = 8_000_000, 300_000
+#: Cells of words times languages that are decoded at a time, cells that a worker remembers, and characters of the
+#: longest word that it does.
+CELLS, CACHE_CELLS, CACHE_CHARS = 2_000_000, 4_000_000, 64
+#: Characters of a text, about, that are cut into words at a time.
+PIECE = 500_000
 
 # Unicode code point ranges of scripts.
 SCRIPTS = (
@@ -128,32 +130,34 @@ def _counts(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches({"lang": pa.string(), "place": pa.int64(), "n": pa.int64()}, rows(), 20_000)
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, limit: int = LANGUAGES) -> Model | None:
-    """A model of the `limit` commonest languages in lang_col (null: not learnt from); None if there is none.
-    Texts in a language beyond these never get its name.
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model | None:
+    """A model of all languages in lang_col (null: not learnt from); None if there is none.
 
     Each language gives about `sample` documents at most, those with small hashes of their id, so that rare ones
-    count fully.  Counts are summed in the tasks; what reaches the driver is one table of BUCKETS by languages.
+    count fully.  Counts are summed in the tasks; what reaches the driver is one table of BUCKETS by languages,
+    128 KB for each language.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("lang is not null and text is not null")
-    held = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(limit).collect()
+    rows = docs.select(quoted(lang_col).alias("lang"), quoted(text_col).alias("text"), F.xxhash64(quoted(id_col).cast("string")).alias("h")).where("lang is not null and text is not null")
+    held = rows.groupBy("lang").count().collect()
     if not held:
         return None
     parts = [part for r in held for part in (F.lit(r["lang"]), F.lit(min(1_000_000, sample * 1_000_000 // r["count"])))]
     rate = F.element_at(F.create_map(*parts), F.col("lang"))
     chosen = rows.where(rate > F.pmod("h", F.lit(1_000_000))).select("lang", "text")
-    counted = chosen.mapInArrow(_counts, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    counted = chosen.transform(in_arrow, _counts, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     names = sorted(r["lang"] for r in held)
     at = {name: k for k, name in enumerate(names)}
-    sums = np.zeros((BUCKETS + OTHER + 1, len(names)))
+    sums = np.zeros((BUCKETS + OTHER + 1, len(names)), dtype=np.float32)
     for r in counted.toLocalIterator():
         sums[r["place"], at[r["lang"]]] = r["n"]
     known = sums.sum(axis=0) > 0
     if not known.any():
         return None
     sums, names = sums[:, known], [n for n, k in zip(names, known) if k]
-    grams, kinds = sums[:BUCKETS] + 0.1, sums[BUCKETS:]
-    return Model(tuple(names), np.log(grams / grams.sum(axis=0)), kinds >= SCRIPT_SHARE * kinds.sum(axis=0))
+    grams, kinds = sums[:BUCKETS], sums[BUCKETS:]
+    grams += np.float32(0.1)
+    grams /= grams.sum(axis=0, dtype=np.float64)
+    return Model(tuple(names), np.log(grams, out=grams), kinds >= SCRIPT_SHARE * kinds.sum(axis=0))
 
 
 class _Words(dict):
@@ -164,9 +168,9 @@ class _Words(dict):
         self.table = np.zeros((1, len(model.languages)), dtype=np.float32)
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
+        if self.table.size > CACHE_CELLS or len(self) > CACHE_CELLS // 16:
             self.clear()
-            self.table = self.table[:1]
+            self.table = self.table[:1].copy()
         new = [t for t in tokens if t not in self]
         bare = [letters(t) for t in new]
         kept = [i for i, b in enumerate(bare) if b]
@@ -186,20 +190,26 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     All sequences advance together, the longest first, so that a step is one array operation over those
     that are that long.
     """
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     order = np.argsort(-lengths, kind="stable")
-    start, length = starts[order], lengths[order]
+    moved, origin, value, active, start = _forward(scores, lengths[order], (np.cumsum(lengths) - lengths)[order], switch, None)
+    return _backward(moved, origin, value.argmax(axis=1), active, start)
+
+
+def _forward(scores: np.ndarray, length: np.ndarray, start: np.ndarray, switch: float, entry: np.ndarray | None) -> tuple:
+    """(whether each label was moved to, from which, last values, sequences longer than t, their starts).
+
+    entry: the values of the words before, where the sequences go on from others.
+    """
     longest = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(longest), side="left")  # sequences longer than t
     moved = np.zeros(scores.shape, dtype=bool)
-    origin = np.zeros(len(scores), dtype=np.int16)
-    value = np.zeros((len(lengths), scores.shape[1]))
-    last = np.zeros(len(lengths), dtype=np.int64)
+    origin = np.zeros(len(scores), dtype=np.int32)
+    value = np.zeros((len(length), scores.shape[1])) if entry is None else entry.copy()
     for t in range(longest):
         n = active[t]
         at = start[:n] + t
         now = value[:n]
-        if t:
+        if t or entry is not None:
             best = now.argmax(axis=1)
             jump = now[np.arange(n), best] - switch
             change = jump[:, None] > now
@@ -207,9 +217,13 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
             origin[at] = best
             now = np.where(change, jump[:, None], now)
         value[:n] = now + scores[at]
-    last = value.argmax(axis=1)
-    out = np.zeros(len(scores), dtype=np.int16)
-    for t in range(longest - 1, -1, -1):
+    return moved, origin, value, active, start
+
+
+def _backward(moved: np.ndarray, origin: np.ndarray, last: np.ndarray, active: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The labels of sequences that end in last, which becomes the labels before their first words."""
+    out = np.zeros(len(origin), dtype=np.int32)
+    for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = start[:n] + t
         out[at] = last[:n]
@@ -218,8 +232,56 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return out
 
 
-def _labelled(texts: list[str | None], words: _Words) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(tokens, rows in the table, labels) of each text, some texts decoded together."""
+def _pieces(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, piece) of a text cut before white space into pieces of about PIECE characters."""
+    start = 0
+    while start < len(text):
+        stop = start + PIECE
+        if stop < len(text):
+            gap = re.compile(r"\s").search(text, stop)
+            stop = gap.start() if gap else len(text)
+        yield start, text[start:stop]
+        start = stop
+
+
+def _tokens(text: str) -> list[str]:
+    return text.lower().split()
+
+
+def _long(text: str, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each word has letters, labels) of one long text by the same Viterbi as viterbi(): a pass over its pieces
+    keeps the values at their borders, and a second one, backwards, decodes each piece again between them."""
+    borders: list[np.ndarray | None] = []
+    parts = [piece for _, piece in _pieces(text)]
+
+    def scored(piece: str) -> tuple[np.ndarray, np.ndarray]:
+        tokens = _tokens(piece)
+        words.learn(set(tokens))
+        rows = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        return rows > 0, words.table[rows]
+
+    entry = None
+    for piece in parts:
+        borders.append(entry)
+        _, scores = scored(piece)
+        if len(scores):
+            entry = _forward(scores, np.array([len(scores)]), np.array([0]), SWITCH, entry)[2]
+            entry -= entry.max()
+    lettered, labels, last = [], [], None
+    for piece, entry in zip(reversed(parts), reversed(borders)):
+        real, scores = scored(piece)
+        lettered.append(real)
+        if not len(scores):
+            labels.append(np.empty(0, dtype=np.int32))
+            continue
+        moved, origin, value, active, start = _forward(scores, np.array([len(scores)]), np.array([0]), SWITCH, entry)
+        last = value.argmax(axis=1) if last is None else last
+        labels.append(_backward(moved, origin, last, active, start))
+    return np.concatenate(lettered[::-1]), np.concatenate(labels[::-1])
+
+
+def _labelled(texts: list[str | None], words: _Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(whether each word has letters, labels) of each text, some texts decoded together, long ones alone."""
     held: list[list[str]] = []
 
     def decoded() -> Iterator[tuple]:
@@ -227,15 +289,20 @@ def _labelled(texts: list[str | None], words: _Words) -> Iterator[tuple[list[str
         rows = [np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens)) for tokens in held]
         lengths = np.array([len(r) for r in rows])
         full = np.flatnonzero(lengths)
-        labels = viterbi(words.table[np.concatenate([rows[i] for i in full])], lengths[full]) if len(full) else np.empty(0, dtype=np.int16)
+        labels = viterbi(words.table[np.concatenate([rows[i] for i in full])], lengths[full]) if len(full) else np.empty(0, dtype=np.int32)
         ends = np.cumsum(lengths)
-        for tokens, row, end in zip(held, rows, ends):
-            yield tokens, row, labels[end - len(row) : end]
+        for row, end in zip(rows, ends):
+            yield row > 0, labels[end - len(row) : end]
         held.clear()
 
     count = 0
     for text in texts:
-        tokens = (text or "").lower().split()
+        if text is not None and len(text) > 2 * PIECE:
+            yield from decoded() if held else ()
+            count = 0
+            yield _long(text, words)
+            continue
+        tokens = _tokens(text or "")
         if held and (count + len(tokens)) * len(words.model.languages) > CELLS:
             yield from decoded()
             count = 0
@@ -245,15 +312,22 @@ def _labelled(texts: list[str | None], words: _Words) -> Iterator[tuple[list[str
         yield from decoded()
 
 
-def _spans(text: str, rows: np.ndarray, labels: np.ndarray, names: tuple[str, ...]) -> list[dict]:
+def _spans(text: str, lettered: np.ndarray, labels: np.ndarray, names: tuple[str, ...]) -> list[dict]:
     """Runs of words of one label, in code points; tokens without letters join the run they stand in."""
-    out: list[dict] = []
-    for m, row, label in zip(re.finditer(r"\S+", text), rows.tolist(), labels.tolist()):
-        if row and out and out[-1]["lang"] == names[label]:
-            out[-1]["stop"] = m.end()
-        elif row:
-            out.append({"start": m.start(), "stop": m.end(), "lang": names[label]})
-    return out
+    real = np.flatnonzero(lettered)
+    if not len(real):
+        return []
+    told = labels[real]
+    cuts = np.flatnonzero(told[1:] != told[:-1]) + 1
+    first, last = real[np.concatenate([[0], cuts])], real[np.concatenate([cuts - 1, [len(real) - 1]])]
+    # Only the words at the ends of runs need their places.
+    wanted = sorted({*first.tolist(), *last.tolist()})
+    places: dict[int, tuple[int, int]] = {}
+    words, number = re.finditer(r"\S+", text), -1
+    for want in wanted:
+        m = next(itertools.islice(words, want - number - 1, None))
+        places[want], number = m.span(), want
+    return [{"start": places[a][0], "stop": places[b][1], "lang": names[k]} for a, b, k in zip(first.tolist(), last.tolist(), told[np.concatenate([[0], cuts])].tolist())]
 
 
 _SPANS = "array<struct<start:int,stop:int,lang:string>>"
@@ -266,8 +340,8 @@ def _predicted(source: Iterable[pa.RecordBatch], model: Model, spans: bool) -> I
     for batch in source:
         texts = batch.column(1).to_pylist()
         langs, scores, found = [], [], []
-        for text, (tokens, rows, labels) in zip(texts, _labelled(texts, words)):
-            told = labels[rows > 0]
+        for text, (lettered, labels) in zip(texts, _labelled(texts, words)):
+            told = labels[lettered]
             if len(told):
                 votes = np.bincount(told, minlength=len(names))
                 best = int(votes.argmax())  # names are sorted: ties go to the first
@@ -276,7 +350,7 @@ def _predicted(source: Iterable[pa.RecordBatch], model: Model, spans: bool) -> I
             else:
                 langs.append("und")
                 scores.append(0.0)
-            found.append(_spans(text, rows, labels, names) if spans and len(told) else [])
+            found.append(_spans(text, lettered, labels, names) if spans and len(told) else [])
         columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())] + ([pa.array(found, _SPAN_TYPE)] if spans else [])
         yield pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "score", "spans"][: len(columns)])
 
@@ -286,16 +360,22 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     Every word of the whole text is scored against the languages that its script allows; Viterbi with a cost
     for each switch labels the words.  lang_pred is the language of most words and score its share of them.
-    und with score 0: null text, no letter, or no model.  Other columns are ignored.
+    und with score 0: null text, no letter, or no model.  A very long text is decoded whole, piece by piece; repeated rows
+    and ids give rows each, an empty table none.  Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     more = f", spans {_SPANS}" if spans else ""
     if model is None:
         out = rows.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(_SPANS).alias("spans"))
         return (out if spans else out.drop("spans")).withColumnRenamed("id", id_col)
-    out = rows.mapInArrow(partial(_predicted, model=model, spans=spans), f"id {type_of(rows, 'id')}, lang_pred string, score double{more}")
+    out = rows.transform(in_arrow, partial(_predicted, model=model, spans=spans), f"id {type_of(rows, 'id')}, lang_pred string, score double{more}")
     return out.withColumnRenamed("id", id_col)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def told(spans: str) -> Column:
+    """Spans as text: lang:start:stop, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["lang"], s["start"].cast("string"), s["stop"].cast("string"))), ",")

@@ -93,8 +93,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at most CAP times its size.  The blocks are never listed: how many of the first x are taken is
     a closed form, so a document needs only its place.
 
-    Empty table: no rows.  Sources without words have target 0.  Rows with equal ids are documents
-    of their own; a null id is one more id.  Other columns are ignored.
+    Empty table: no rows.  Sources without words, of null and empty texts, have target 0; very long texts are counted whole
+    and cut into blocks like any other.  Rows with equal ids are documents of their own; a null id is one more id, a null
+    source one more source.  Other columns are ignored, whatever their names.
     """
     sized = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share), "sources")

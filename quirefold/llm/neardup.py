@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import shingles as S
-from quirefold.llm.common import groups, materialise, type_of
+from quirefold.llm.common import discard_others, every, groups, in_arrow, materialise, quoted, type_of, unused, written
 from quirefold.llm.graph import connected_components
 
 #: Documents are linked from 75 hundredths of Jaccard similarity.
 PERCENT = 75
-#: A pair goes to verification from this estimate; its standard error is at most 0.027 with 256
-#: registers, so a pair at the threshold lies more than five of them above.  With fewer filled
-#: registers than FEW the lower bound holds.
+#: A pair goes to verification from this estimate.  With all 256 registers filled, sets of some 1,000 shingles on, its
+#: standard error is at most 0.027, so a pair at the threshold lies more than five of them above.  With k filled
+#: registers the error is about 0.43 / sqrt(k), 0.054 at FEW: under three of them, but the registers of small sets are
+#: far from independent draws (nearly every one holds one or two shingles), and of the pairs at 0.75 that the tests draw
+#: from sets of any size none is lost.  Under FEW the lower bound holds.
 ESTIMATE, ESTIMATE_FEW, FEW = 0.60, 0.35, 64
 #: Pairs that a task gathers before it deals them out for verification.
 GATHER = 200_000
@@ -182,10 +184,10 @@ def _verified(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     shipped = wanted.join(sets, "node").select("block", F.lit(0).alias("pair"), "node", none.alias("a"), none.alias("b"), "hashes")
     pairs = dealt.where("pair = 1").select("*", F.lit(None).cast("binary").alias("hashes"))
     rows = shipped.unionByName(pairs).repartition("block").sortWithinPartitions("block", "pair")
-    return materialise(rows.mapInArrow(_confirmed, "a long, b long"), "link")
+    return materialise(rows.transform(in_arrow, _confirmed, "a long, b long"), "link")
 
 
-def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose rid may be wanted: their bits in a bitmap of FILTER_BITS are set.
 
     The bitmap is a table of at most FILTER_BITS / 64 rows, which bounds what is broadcast.
@@ -198,17 +200,18 @@ def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    return F.xxhash64(quoted(id_col).cast("string"), quoted(text_col))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): (id, rid, node, n, sig) of each row, and (node, least_id, component)."""
+    before = written()
     kind = type_of(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).cast("binary").alias("body"))
-    sketches = materialise(rows.mapInArrow(_sketches, f"id {kind}, rid long, node long, n long, sig binary"), "sketch")
+    rows = docs.select(quoted(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), quoted(text_col).cast("binary").alias("body"))
+    sketches = materialise(rows.transform(in_arrow, _sketches, f"id {kind}, rid long, node long, n long, sig binary"), "sketch")
     nodes = materialise(sketches.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sig").alias("sig")), "node")
 
-    banded = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
+    banded = nodes.select("node", "sig").transform(in_arrow, _bands, "key long, node long")
     shared = banded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     members = materialise(banded.join(shared, "key"), "member")
 
@@ -217,13 +220,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     blocks = max(4, math.ceil(many / SETS))
     # A node has one rid; the text decides which node it is, so a chance collision does no harm.
     wanted = nodes.join(found, "node", "left_semi").select("rid")
-    texts = _marked(rows.select("rid", "body"), wanted).join(wanted, "rid").dropDuplicates(["rid"]).select("body")
-    sets = materialise(texts.mapInArrow(_sets, "node long, hashes binary"), "set")
+    texts = marked(rows.select("rid", "body"), wanted).join(wanted, "rid").dropDuplicates(["rid"]).select("body")
+    sets = materialise(texts.transform(in_arrow, _sets, "node long, hashes binary"), "set")
 
     sided = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     heads = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     heads = heads.join(sided("a"), "a").join(sided("b"), "b").select("a", "n_a", "sig_a", "b", "n_b", "sig_b")
-    dealt = materialise(heads.mapInArrow(partial(_estimated, blocks=blocks), _TO_VERIFY), "star")
+    dealt = materialise(heads.transform(in_arrow, partial(_estimated, blocks=blocks), _TO_VERIFY), "star")
     linked = connected_components(_verified(dealt, sets))
     linked = materialise(linked, "linked")
 
@@ -234,14 +237,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     cells = cells.join(nodes.select("node", "n", "sig"), "node")
     cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "own", "component", "n", "sig")
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    dealt = materialise(cells.mapInArrow(partial(_across, blocks=blocks), _TO_VERIFY), "across")
+    dealt = materialise(cells.transform(in_arrow, partial(_across, blocks=blocks), _TO_VERIFY), "across")
     late = _verified(dealt, sets)
     if not late.isEmpty():
         linked = connected_components(late.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     named = nodes.select("node", "least_id").join(linked, "node", "left")
     # Written, so that the joins of rows by node read plain exchanges, which adaptive execution can split.
-    return sketches, materialise(named.select("node", "least_id", F.coalesce("component", "node").alias("component")), "named")
+    named = materialise(named.select("node", "least_id", F.coalesce("component", "node").alias("component")), "named")
+    discard_others(before, sketches, named)
+    return sketches, named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near_duplicates(): that of the smallest id, or with null ids only any one.
 
-    Rows equal in id and text are one document.  Documents without words all stay.
+    Rows equal in id and text are one document.  Documents without words, null texts among them, all stay; very long
+    texts are compared as a whole; an empty table stays empty.  All columns are carried, whatever their names.
     """
     sketches, named = _grouped(docs, id_col, text_col)
     kind = type_of(docs, id_col)
@@ -283,7 +289,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
     keep = first.select(F.col("first.id").cast(kind).alias("id"), F.col("first.rid").alias("rid"))
     keep = keep.unionByName(sketches.where("node is null").select("id", "rid")).distinct()
-    keep = keep.select(F.col("id").alias("_id"), F.col("rid").alias("_rid"))
-    keyed = docs.withColumn("_row", row_key(id_col, text_col))
-    kept = keyed.join(keep, keyed["_row"].eqNullSafe(keep["_rid"]) & keyed[id_col].eqNullSafe(keep["_id"]), "left_semi")
-    return kept.dropDuplicates(["_row", id_col]).drop("_row")
+    row, rid, ident = unused(docs, "_row", "_rid", "_id")
+    keep = keep.select(F.col("id").alias(ident), F.col("rid").alias(rid))
+    keyed = docs.select(*every(docs), row_key(id_col, text_col).alias(row))
+    kept = keyed.join(keep, F.col(row).eqNullSafe(F.col(rid)) & quoted(id_col).eqNullSafe(F.col(ident)), "left_semi")
+    return kept.dropDuplicates([row, id_col]).select(*every(docs))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quirefold.llm import neardup
-from quirefold.llm.common import batches, materialise, type_of
+from quirefold.llm.common import batches, discard_others, every, in_arrow, materialise, quoted, type_of, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans that the method adds: terms to generalise, and terms to remove.
@@ -35,7 +35,8 @@ SUPPORT = 3
 #: Bits of the filters that tell tasks which terms to count or mark; when terms fill them, more is
 #: counted than needed, never less.
 FILTER_BITS = 1 << 22
-CACHE_TERMS = 300_000
+#: Terms remembered per worker, and the longest that are (bounds its memory, not the result).
+CACHE_TERMS, CACHE_CHARS = 200_000, 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -89,10 +90,9 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _NOT_DIGITS.sub('', value)}"
 
 
-def _nearby(text: str, spans: list[tuple]) -> Iterator[tuple[str, str, str, int]]:
-    """(entity, kind, term, context) for the terms around each span; context is a hash of the whole
-    text, by which exact copies count as one."""
-    context = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _nearby(text: str, spans: list[tuple]) -> tuple[set[str], set[tuple[str, str]]]:
+    """(entities, (entity, term) pairs) of a text, each once: the values found and their kinds, and the terms around."""
+    entities, near = set(), set()
     free, k = [], 0  # terms outside of all spans
     merged: list[list[int]] = []
     for start, _, _, stop in spans:
@@ -108,15 +108,16 @@ def _nearby(text: str, spans: list[tuple]) -> Iterator[tuple[str, str, str, int]
     starts = [m.start() for m in free]
     for start, _, kind, stop in spans:
         at, after = bisect_left(starts, start), bisect_left(starts, stop)
-        entity = _entity(kind, text[start:stop])
-        for t in sorted({m[0].lower() for m in free[max(0, at - WINDOW) : at] + free[after : after + WINDOW]}):
-            yield entity, kind, t, context
+        own = _entity(kind, text[start:stop]), kind
+        entities.update(own)
+        near.update((e, m[0].lower()) for m in free[max(0, at - WINDOW) : at] + free[after : after + WINDOW] for e in own)
+    return entities, near
 
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("stop", pa.int32())]))
-_NEAR = "array<struct<entity:string,kind:string,term:string,context:bigint>>"
-_NEAR_TYPE = pa.list_(pa.struct([*[(c, pa.string()) for c in ("entity", "kind", "term")], ("context", pa.int64())]))
+_NEAR = "array<struct<entity:string,term:string>>"
+_NEAR_TYPE = pa.list_(pa.struct([(c, pa.string()) for c in ("entity", "term")]))
 
 
 def _as_spans(spans: Iterable[tuple]) -> list[dict]:
@@ -129,7 +130,10 @@ def _scanned(source: Iterable[pa.RecordBatch], columns: dict[str, pa.DataType])
             for ident, rid, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
                 spans = base_spans(text)
-                yield ident, rid, _as_spans(spans), [dict(zip(("entity", "kind", "term", "context"), n)) for n in _nearby(text, spans)] if spans else []
+                entities, near = _nearby(text, spans) if spans else ((), ())
+                # Exact copies of a text count as one by this hash of the whole of it.
+                context = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                yield ident, rid, _as_spans(spans), sorted(entities), [{"entity": e, "term": t} for e, t in sorted(near)], context
 
     yield from batches(columns, rows())
 
@@ -141,9 +145,11 @@ class _Wanted(dict):
         self.bits = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(bool)
 
     def __missing__(self, term: str) -> bool:
-        if len(self) >= CACHE_TERMS:
-            self.clear()
-        value = self[term] = bool(self.bits[xxhash.xxh64_intdigest(term, seed=42) % FILTER_BITS])
+        value = bool(self.bits[xxhash.xxh64_intdigest(term, seed=42) % FILTER_BITS])
+        if len(term) <= CACHE_CHARS:
+            if len(self) >= CACHE_TERMS:
+                self.clear()
+            self[term] = value
         return value
 
 
@@ -190,7 +196,7 @@ def _bitmap(terms: DataFrame) -> bytes:
 
 
 def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    return F.xxhash64(quoted(id_col).cast("string"), quoted(text_col))
 
 
 def _different(near: DataFrame, told: DataFrame, texts: DataFrame) -> DataFrame:
@@ -198,11 +204,11 @@ def _different(near: DataFrame, told: DataFrame, texts: DataFrame) -> DataFrame:
     them, counting once."""
     pair = F.xxhash64("entity", "term")
     # The bitmap lets a few other pairs through, which the caller's join drops.
-    held = neardup._marked(near.select(pair.alias("rid"), "entity", "term", "context"), told.select(pair.alias("rid"))).select("entity", "term", "context").distinct()
+    held = neardup.marked(near.select(pair.alias("rid"), "entity", "term", "context"), told.select(pair.alias("rid"))).select("entity", "term", "context").distinct()
     held = materialise(held, "held")
     wanted = near.join(held.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.min("rid").alias("rid"))
     wanted = materialise(wanted, "wanted")
-    found = neardup._marked(texts.select("rid", "text"), wanted.select("rid")).join(wanted, "rid").dropDuplicates(["context"])
+    found = neardup.marked(texts.select("rid", "text"), wanted.select("rid")).join(wanted, "rid").dropDuplicates(["context"])
     merged = neardup.near_duplicates(materialise(found.select("context", "text"), "near_text"), "context")
     return held.join(merged.select("context", "component_id"), "context").groupBy("entity", "term").agg(F.count_distinct("component_id").alias("documents"))
 
@@ -212,18 +218,20 @@ def disclosures(scanned: DataFrame, texts: DataFrame, generalise: float = GENERA
     kind REVEAL from `remove` on and QUASI below; share is the greatest PMI / IC over all entities.
 
     Entities are the values found and, as classes of their own, their kinds.  All probabilities are shares of the
-    documents of the whole corpus, p(t, e) of those where t stands near e.  A disclosure rests on `support`
-    documents that are no near copies of each other; only those of pairs with a share that is high enough are compared.
+    rows of the whole corpus, p(t, e) of those where t stands near e, so a table and its double give the same.
+    A context is a text of its own: a disclosure rests on `support` of them that are no near copies of each
+    other; only those of pairs with a share that is high enough are compared.
     """
     total = scanned.count()
-    near = scanned.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    near = materialise(near.select("rid", "entity", "term", "context").unionByName(near.select("rid", F.col("kind").alias("entity"), "term", "context")), "near")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("rid").alias("both"), F.count_distinct("context").alias("contexts"))
+    near = scanned.where(F.size("near") > 0).select("rid", "context", F.explode("near").alias("x")).select("rid", "x.entity", "x.term", "context")
+    near = materialise(near, "near")
+    # Rows of one context first: copies shrink in the tasks, and no count of distinct values is needed.
+    alike = near.groupBy("entity", "term", "context").agg(F.count("*").alias("rows"))
+    pairs = alike.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("contexts"))
     pairs = materialise(pairs.where(F.col("contexts") >= support), "pairs")
-    entities = scanned.where(F.size("base") > 0).select("rid", F.explode(F.array_distinct(F.concat(F.transform("near", lambda x: x["entity"]), F.transform("base", lambda x: x["kind"])))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    entities = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     bits = _bitmap(pairs)
-    counts = texts.select("text").mapInArrow(partial(_counted, bits=bits), "term string, documents long").groupBy("term").agg(F.sum("documents").alias("with_term"))
+    counts = texts.select("text").transform(in_arrow, partial(_counted, bits=bits), "term string, documents long").groupBy("term").agg(F.sum("documents").alias("with_term"))
     joined = pairs.join(entities, "entity").join(counts, "term")
     information = -F.log2(F.col("with_entity") / F.lit(total))
     given = F.col("both") / F.col("with_term")
@@ -244,16 +252,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     disclosures, and once more if any term is to be marked.  Only bitmaps of a fixed size go through the driver.  Null texts count as empty; rows with equal id and text get equal
     results; other columns are ignored.
     """
+    before = written()
     kind, id_type = type_of(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
-    rows = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    columns = {"id": id_type, "rid": pa.int64(), "base": _SPAN_TYPE, "near": _NEAR_TYPE}
-    scanned = materialise(rows.mapInArrow(partial(_scanned, columns=columns), f"id {kind}, rid long, base {_SPANS}, near {_NEAR}"), "scanned")
+    rows = docs.select(quoted(id_col).alias("id"), _key(id_col, text_col).alias("rid"), quoted(text_col).alias("text"))
+    columns = {"id": id_type, "rid": pa.int64(), "base": _SPAN_TYPE, "entities": pa.list_(pa.string()), "near": _NEAR_TYPE, "context": pa.int64()}
+    scanned = materialise(rows.transform(in_arrow, partial(_scanned, columns=columns), f"id {kind}, rid long, base {_SPANS}, entities array<string>, near {_NEAR}, context long"), "scanned")
     told = materialise(disclosures(scanned, rows), "disclosures")
+    discard_others(before, scanned, told)
     base = scanned.select("id", "rid", F.col("base").alias("spans"))
     if told.isEmpty():
         return base.withColumnRenamed("id", id_col)
     columns = {"id": id_type, "rid": pa.int64(), "term": pa.string(), "start": pa.int32(), "stop": pa.int32()}
-    places = rows.mapInArrow(partial(_marked, bits=_bitmap(told), columns=columns), f"id {kind}, rid long, term string, start int, stop int").join(told, "term")
+    places = rows.transform(in_arrow, partial(_marked, bits=_bitmap(told), columns=columns), f"id {kind}, rid long, term string, start int, stop int").join(told, "term")
     rank = F.when(F.col("kind") == QUASI, len(KINDS)).otherwise(len(KINDS) + 1)
     more = places.groupBy("rid").agg(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "stop")).alias("more"))
     joined = base.join(more, "rid", "left")
@@ -295,8 +305,13 @@ def _masked(source: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatc
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with entities replaced by their kinds, REVEAL terms removed and QUASI terms generalised."""
-    found = find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")).dropDuplicates(["_rid"])
-    keyed = docs.withColumn("_key", _key(id_col, text_col))
-    joined = keyed.join(found, keyed["_key"] == found["_rid"], "left").select(*[keyed[c] for c in docs.columns], "_spans")
-    return joined.mapInArrow(partial(_masked, at=docs.columns.index(text_col)), docs.schema)
+    """docs with entities replaced by their kinds, REVEAL terms removed and QUASI terms generalised.
+
+    Null and empty texts stay as they are, very long ones are treated whole, repeated rows alike; an empty table stays
+    empty.  All columns are carried, whatever their names.
+    """
+    key, rid, spans = unused(docs, "_key", "_rid", "_spans")
+    found = find(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("rid").alias(rid), F.col("spans").alias(spans)).dropDuplicates([rid])
+    keyed = docs.select(*every(docs), _key(id_col, text_col).alias(key))
+    joined = keyed.join(found, F.col(key) == F.col(rid), "left").select(*every(docs), F.col(spans))
+    return joined.transform(in_arrow, partial(_masked, at=docs.columns.index(text_col)), docs.schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialise, type_of
+from quirefold.llm.common import discard, in_arrow, materialise, quoted, type_of
 
 #: Hashed weights; words, their beginnings and shapes, and the document's statistics share them.
 DIMENSION_BITS = 18
@@ -21,13 +21,16 @@ DIMENSIONS = 1 << DIMENSION_BITS
 STEM = 4
 #: Labelled documents that a fit uses at most (in expectation; chosen by a seeded hash of the id).
 SAMPLE = 12_000
-#: Labelled documents taken to the driver may hold so many features in all.
-SAMPLE_FEATURES = 40_000_000
+#: Features, eight bytes each, that the driver holds of them at most; the labelled documents beyond are not fitted to.
+SAMPLE_FEATURES = 20_000_000
+#: Features that a step of the fit works on at a time.
+BLOCK = 1_000_000
 #: Steps of the fit, its step size and its pull towards zero.
 STEPS, RATE, DECAY = 250, 0.1, 3e-5
 #: A document is kept if its probability of the best grade reaches this.
 KEEP = 0.7
-CACHE_WORDS = 150_000
+#: Words remembered per worker, and the longest that are (bounds its memory, not the result).
+CACHE_WORDS, CACHE_CHARS = 150_000, 64
 #: Values of a shape that all words have, and bound for the norm of the words' part.
 _STATISTIC, _PRESENCE = 10.0, 6.0
 
@@ -39,28 +42,29 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 def _shape(word: str) -> str:
     """Classes of the characters, runs of a class collapsed; a sign twice or more in a row is "R"."""
-    out, last = "", ""
-    for c in word[:64]:
+    out, last = [], ""
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if kind not in "Aa0" and c == last:
-            out = out[:-1] + "R" if out[-1] != "R" else out
-        elif not out.endswith(kind):
-            out += kind
+            out[-1] = "R"
+        elif not out or out[-1] != kind:
+            out.append(kind)
         last = c
-    return out
+    return "".join(out)
 
 
 class _Words(dict):
     """word -> the buckets of the bare lower-cased word, of its beginning and of its shape, packed."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         bare = "".join(filter(str.isalnum, word.lower())) or word
         value = 0
         for name in (bare, "stem " + bare[:STEM], "shape " + _shape(word)):
             value = value << DIMENSION_BITS | xxhash.xxh3_64_intdigest(name) % DIMENSIONS
-        self[word] = value
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -108,13 +112,29 @@ class Model:
 
 
 def fit(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, classes: int) -> Model:
-    """Full-batch Adam on the mean log likelihood; deterministic for the order of its rows."""
-    index, value = np.concatenate(buckets), np.concatenate(values)
-    lengths = np.array([len(b) for b in buckets])
-    start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    """Full-batch Adam on the mean log likelihood; deterministic for the order of its rows.
+
+    buckets and values are emptied, as their rows are packed into BLOCKs that a step goes through, so that the fit
+    needs little more memory than its features.
+    """
     # Rare buckets can only be learnt by heart.
-    seen = np.bincount(index, minlength=DIMENSIONS)
-    value = np.where(seen[index] >= 3, value, 0).astype(np.float32)
+    seen = np.zeros(DIMENSIONS, dtype=np.int64)
+    for b in buckets:
+        np.add.at(seen, b, 1)
+    blocks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []  # first row, last, features, values, lengths
+    stop = len(buckets)
+    while stop:
+        first, held = stop, 0
+        while first and (held == 0 or held + len(buckets[first - 1]) <= BLOCK):
+            first -= 1
+            held += len(buckets[first])
+        often = [seen[b] >= 3 for b in buckets[first:]]
+        index = np.concatenate([b[k] for b, k in zip(buckets[first:], often)])
+        value = np.concatenate([v[k] for v, k in zip(values[first:], often)]).astype(np.float32)
+        blocks.append((first, stop, index, value, np.array([k.sum() for k in often])))
+        del buckets[first:], values[first:]
+        stop = first
+    blocks.reverse()
     share = np.bincount(grades, minlength=classes).cumsum()[:-1] / len(grades)
     share = np.clip(share, 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
@@ -124,14 +144,16 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray,
     moments = [np.zeros(DIMENSIONS + len(theta)) for _ in range(2)]
     for step in range(1, STEPS + 1):
         cuts = np.concatenate([theta[:1], theta[:1] + np.cumsum(np.exp(theta[1:]))])
-        score = np.add.reduceat(w[index] * value, start)
+        score = np.concatenate([np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=w[index] * value, minlength=len(lengths)) for _, _, index, value, lengths in blocks])
         cdf = 1 / (1 + np.exp(np.clip(score[:, None] - cuts[None, :], -50, 50)))
         cdf = np.concatenate([np.zeros((len(score), 1)), cdf, np.ones((len(score), 1))], axis=1)
         rows = np.arange(len(score))
         high, low = cdf[rows, grades + 1], cdf[rows, grades]
         chance = np.maximum(high - low, 1e-12)
         pull = high + low - 1  # of the score
-        grad_w = np.bincount(index, weights=np.repeat(-pull / len(score), lengths) * value, minlength=DIMENSIONS) + DECAY * w
+        grad_w = DECAY * w
+        for lo, hi, index, value, lengths in blocks:
+            grad_w += np.bincount(index, weights=np.repeat(-pull[lo:hi] / len(score), lengths) * value, minlength=DIMENSIONS)
         slope = cdf * (1 - cdf)
         grad_cut = np.array([-(slope[grades == k, k + 1] / chance[grades == k]).sum() + (slope[grades == k + 1, k + 1] / chance[grades == k + 1]).sum() for k in range(classes - 1)]) / len(score)
         after = grad_cut[::-1].cumsum()[::-1]
@@ -152,28 +174,29 @@ def _featured(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["id", "grade", "buckets", "values"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """A model fitted to at most `sample` labelled documents, those with the smallest hashes of their id;
-    None without any.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> Model | None:
+    """A model fitted to at most `sample` labelled documents, those with the smallest hashes of their id, and to the
+    first of them that have `most_features` features together; None without any.
 
     labels has id_col, quality and toxic.  A document with several labels counts with its lowest
     grade; rows with a null label or id are no labels.  The sample is bounded, so it is sent to all tasks and read
     back as features; the texts are not shuffled.
     """
-    graded = labels.select(F.col(id_col).alias("id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    graded = labels.select(quoted(id_col).alias("id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     graded = graded.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(chosen), "id")
     kind = type_of(texts, "id")
-    rows = materialise(texts.select("id", "grade", "text").mapInArrow(_featured, f"id {kind}, grade int, buckets binary, values binary"), "labelled")
+    rows = materialise(texts.select("id", "grade", "text").transform(in_arrow, _featured, f"id {kind}, grade int, buckets binary, values binary"), "labelled")
     buckets, values, grades, held = [], [], [], 0
     for row in rows.orderBy(F.xxhash64("id", "buckets"), "id").toLocalIterator():
         held += len(row["buckets"]) // 4
-        if held > SAMPLE_FEATURES:
+        if held > most_features and grades:
             break
         buckets.append(np.frombuffer(row["buckets"], dtype=np.int32))
         values.append(np.frombuffer(row["values"], dtype=np.float32))
         grades.append(row["grade"])
+    discard(rows)
     return fit(buckets, values, np.array(grades), 3) if grades else None
 
 
@@ -206,7 +229,7 @@ def grade(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         nulls = [F.lit(None).cast("double").alias(c) for c in _SCORED.names[:3]]
         return rows.select(F.col("id").alias(id_col), *nulls, F.lit(True).alias("kept"))
     schema = f"id {type_of(rows, 'id')}, expected_grade double, p_not_toxic double, p_good double, kept boolean"
-    return rows.mapInArrow(partial(_graded, model=model, keep=keep), schema).withColumnRenamed("id", id_col)
+    return rows.transform(in_arrow, partial(_graded, model=model, keep=keep), schema).withColumnRenamed("id", id_col)
 
 
 def _selected(source: Iterable[pa.RecordBatch], model: Model, keep: float, at: int) -> Iterator[pa.RecordBatch]:
@@ -215,7 +238,11 @@ def _selected(source: Iterable[pa.RecordBatch], model: Model, keep: float, at: i
 
 
 def select(docs: DataFrame, model: Model | None, text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows of docs that grade() keeps, with all their columns, in one pass."""
+    """The rows of docs that grade() keeps, with all their columns, whatever their names, in one pass.
+
+    Null, empty and blank texts are judged like any other, very long ones as a whole, repeated rows alike; an
+    empty table stays empty.
+    """
     if model is None:
         return docs
-    return docs.mapInArrow(partial(_selected, model=model, keep=keep, at=docs.columns.index(text_col)), docs.schema)
+    return docs.transform(in_arrow, partial(_selected, model=model, keep=keep, at=docs.columns.index(text_col)), docs.schema)

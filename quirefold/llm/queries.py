@@ -36,7 +36,11 @@ def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    """Two increments: the ledger of one half of the documents, then all of them against it, so that the second scan reads
+    only what the first has not seen.  The result is that of one scan of the whole table."""
+    docs = table(spark, sf_dir, "documents")
+    _, ledger = secrets.scan(docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0))
+    found, _ = secrets.scan(docs, ledger=ledger)
     return secrets.digest(found)
 
 
@@ -47,8 +51,8 @@ def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~langid.is_held_out() & F.col("doc_id").isNotNull()))
-    found = langid.identify(docs, model, spans=False)
-    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", langid.told("spans").alias("spans"))
 
 
 def op9_url_ngram_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,5 +110,64 @@ SELECT doc_id, k.source, shard, size, source_size, target, taken FROM took k JOI
 """
 
 
+
+#: Base spans from where the matches stand between the pieces that the text splits into.  The tables given hold no
+#: credentials of the further rules, so these are all spans.
+_SECRETS = r"""
+WITH patterns AS (
+  SELECT * FROM (VALUES (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
+    (1, 'access', 'AKIA[A-Z0-9]+', 0, 16), (2, 'hex', '[0-9a-f]+', 0, 32)) v(rank, kind, pattern, part, least)),
+cut AS (
+  SELECT doc_id, rank, kind, least, regexp_split_to_array(coalesce(text, ''), pattern) AS between, regexp_extract_all(coalesce(text, ''), pattern, 0) AS whole,
+    CASE WHEN part = 2 THEN regexp_extract_all(coalesce(text, ''), pattern, 2) ELSE regexp_extract_all(coalesce(text, ''), pattern, 0) END AS part
+  FROM documents, patterns),
+each_match AS (SELECT doc_id, rank, kind, least, between, whole, unnest(range(1, len(whole) + 1)) AS i, unnest(part) AS part FROM cut),
+placed AS (
+  SELECT doc_id, rank, kind, least, length(part) AS size, length(whole[i]) AS span,
+    list_sum(list_transform(between[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start
+  FROM each_match),
+kept AS (SELECT doc_id, rank, kind, start, kind || ':' || start || ':' || (start + span) AS told FROM placed WHERE size >= least),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(told, ',' ORDER BY start, rank) AS spans
+  FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+#: Shingles as texts, all pairs that share one, and reachability by recursion.
+_NEAR = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM worded),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+near AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.shingle = b.shingle
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM sets LEFT JOIN lowest USING (doc_id)
+"""
+
+#: All pairs of a label by cosine in double precision, and reachability by recursion.
+_VECTORS = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+lowest AS (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM near GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN lowest USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sainte_lague_mix": _MIX}
+    return {"op2_hyperminhash_neardup": _NEAR, "op6_secret_blob_ledger": _SECRETS, "op7_sainte_lague_mix": _MIX, "op10_hyperplane_neardup": _VECTORS}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batches, materialise
+from quirefold.llm.common import batches, every, in_arrow, materialise, quoted, unused
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,7 @@ def scan(history: DataFrame, path_col: str = "doc_id", text_col: str = "text", l
     Other columns of history are ignored.  Rows of an empty table give no findings and no entries.
     """
     spark = history.sparkSession
-    rows = history.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = history.select(quoted(path_col).alias("path"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     keyed = rows.select("path", blob_of(F.col("text")).alias("blob"), F.xxhash64(F.col("path").cast("string"), "text").alias("rid"))
     keyed = materialise(keyed, "paths")
     blobs = keyed.groupBy("blob").agg(F.min("rid").alias("rid"))
@@ -127,7 +127,7 @@ def scan(history: DataFrame, path_col: str = "doc_id", text_col: str = "text", l
     # rid only brings a text to its blob; the address decides, so a chance collision does no harm.
     fetched = texts.join(due.hint("shuffle_hash"), "rid").where(blob_of(F.col("text")) == F.col("blob"))
     # Repeated rows bring a blob twice; they go before the write, so that the joins below read plain tables.
-    once = materialise(fetched.select("blob", "versions", "text").mapInArrow(partial(_scanned, rules=rules), LEDGER).dropDuplicates(["blob"]), "ledger")
+    once = materialise(fetched.select("blob", "versions", "text").transform(in_arrow, partial(_scanned, rules=rules), LEDGER).dropDuplicates(["blob"]), "ledger")
     full = once if ledger is None else ledger.select("blob", "versions", "found").unionByName(once)
     hits = full.where(F.size("found") > 0)
     if ledger is not None:
@@ -165,15 +165,18 @@ def redact(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", co
     """docs with every finding replaced by its rule's name in brackets; overlapping spans become one mark.
 
     count_col, where given, gets the new length.  Rows without findings, nulls among them, pass
-    as they are.  Findings are joined by blob, so all copies are treated alike.
+    as they are.  Findings are joined by blob, so all copies and repeated rows are treated alike.  Very long texts are
+    scanned whole, an empty table stays empty, and all columns are carried, whatever their names.
     """
     _, ledger = scan(docs, path_col, text_col, None, rules)
-    hits = materialise(ledger.where(F.size("found") > 0).select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), "hits")
-    joined = docs.withColumn("_blob", blob_of(F.col(text_col))).join(hits, "_blob", "left").select(*[docs[c] for c in docs.columns], "_found")
-    clean = joined.where("_found is null").drop("_found")
+    own, blob, found = unused(docs, "_own", "_blob", "_found")
+    hits = materialise(ledger.where(F.size("found") > 0).select(F.col("blob").alias(blob), F.col("found").alias(found)), "hits")
+    keyed = docs.select(*every(docs), blob_of(quoted(text_col)).alias(own))
+    joined = keyed.join(hits, F.col(own) == F.col(blob), "left").select(*every(docs), F.col(found))
+    clean = joined.where(F.col(found).isNull()).select(*every(docs))
     names = docs.columns
     count_at = names.index(count_col) if count_col else None
-    dirty = joined.where("_found is not null").mapInArrow(partial(_masked, text_at=names.index(text_col), count_at=count_at), docs.schema)
+    dirty = joined.where(F.col(found).isNotNull()).transform(in_arrow, partial(_masked, text_at=names.index(text_col), count_at=count_at), docs.schema)
     return clean.unionByName(dirty)
 
 

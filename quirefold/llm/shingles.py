@@ -21,8 +21,8 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
 BAND_ROWS = 4
 BANDS = BUCKETS // BAND_ROWS
-#: Words remembered per worker before the cache is emptied (bounds its memory, not the result).
-CACHE_WORDS = 400_000
+#: Words remembered per worker before the cache is emptied, and the longest that are (bounds its memory, not the result).
+CACHE_WORDS, CACHE_BYTES = 200_000, 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -34,9 +34,11 @@ _BOUNDS = _BOUNDS.astype(np.uint64)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 

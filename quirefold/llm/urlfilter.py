@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import type_of
+from quirefold.llm.common import in_arrow, type_of
 
 
 class Rule(NamedTuple):
@@ -193,9 +193,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     The longest rule that fits decides; p_block, the model's probability, decides the rest from threshold on.
     The model is fitted on the driver to a small labelled table, and the rules, a short list, are sent
     with it; one pass without a shuffle follows.  A null URL or one without :// has an empty host and path,
-    and is judged by the model like any other; other columns are ignored.
+    and is judged by the model like any other.  Very long URLs are judged whole, in linear time; repeated rows give
+    rows each, an empty table none; other columns are ignored, whatever their names.
     """
     model = fit(labelled() if urls is None else urls)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     schema = f"id {type_of(rows, 'id')}, host string, path string, rule string, verdict string, p_block double"
-    return rows.mapInArrow(partial(_judged, rules=tuple(rules), model=model, threshold=threshold), schema).withColumnRenamed("id", id_col)
+    return rows.transform(in_arrow, partial(_judged, rules=tuple(rules), model=model, threshold=threshold), schema).withColumnRenamed("id", id_col)

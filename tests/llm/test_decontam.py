@@ -73,12 +73,12 @@ def test_edge_cases(spark, monkeypatch):
     df = spark.createDataFrame([(*d, "i", 1) for d in docs], "doc_id long, text string, item_id string, start int")
     items = spark.createDataFrame([("A", a), ("A", a), ("B", b), ("C", None), ("D", ""), (None, "short")], "item_id string, text string")
     got = D.leaks(df, items).collect()
-    assert sorted((r.doc_id or 0, r.item_id, r.distance) for r in got if r.doc_id != 4) == [(0, "A", 0), (1, "A", 0), (1, "A", 0), (6, "A", 0), (6, "B", 0)]
+    assert sorted((r.doc_id or 0, r.item_id or "", r.distance) for r in got if r.doc_id != 4) == [(0, "A", 0), (1, "A", 0), (1, "A", 0), (6, "A", 0), (6, "B", 0), (7, "", 0)]
     assert sum(r.doc_id == 4 for r in got) == 400
     one = next(r for r in got if r.doc_id == 1)
     assert (one.start, one.end) == (2, 2 + len(a))
     kept = D.clean(df, items)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 7]
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
     assert D.leaks(df.limit(0), items).count() == 0 and D.leaks(df, items.limit(0)).count() == 0
     assert D.clean(df, items.limit(0)).count() == len(docs)
 
@@ -89,3 +89,19 @@ def test_planted_items_in_the_documents_table(spark):
     exact = {(d, i) for d, t in texts for i, x in wanted if x in t}
     got = {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()}
     assert exact and exact <= got and len(got - exact) <= len(exact)
+
+
+def test_short_items_are_found_as_words():
+    search = D.Searcher([(1, "Blue Heron"), (2, "42"), (3, " "), (4, "C++")])
+    hits = sorted(search("a blue  HERON, 42? blue herons 142 4 2 c++\n(blue\nheron) 42"))
+    assert [(i, d) for i, _, _, d in hits] == [(1, 0), (1, 0), (2, 0), (2, 0), (4, 0)]
+    text = "a blue  HERON, 42?"
+    assert [text[a:b] for _, a, b, _ in sorted(search(text))] == ["blue  HERON,", "42?"]
+
+
+def test_items_under_another_name(spark):
+    docs = spark.createDataFrame([(1, "it says what is there to say about it"), (2, "clean")], "id long, body string")
+    items = spark.createDataFrame([(9, "what is there to say about it")], "key long, question string")
+    names = {"item_col": "key", "item_text_col": "question"}
+    assert [tuple(r)[:2] for r in D.leaks(docs, items, "id", "body", **names).collect()] == [(1, 9)]
+    assert [r.id for r in D.clean(docs, items, "body", **names).collect()] == [2]

@@ -72,7 +72,32 @@ def test_edge_cases(spark, model):
 
 def test_decoding_in_portions_changes_nothing(spark, model, monkeypatch):
     texts = ["the cat la maison", "", "le chien " * 30, "дождь", None, "the town"]
-    whole = [x[2].tolist() for x in L._labelled(texts, L._Words(model))]
+    whole = [x[1].tolist() for x in L._labelled(texts, L._Words(model))]
     monkeypatch.setattr(L, "CELLS", 20)
-    monkeypatch.setattr(L, "CACHE_WORDS", 3)
-    assert [x[2].tolist() for x in L._labelled(texts, L._Words(model))] == whole
+    monkeypatch.setattr(L, "CACHE_CELLS", 60)
+    assert [x[1].tolist() for x in L._labelled(texts, L._Words(model))] == whole
+
+
+def test_long_texts_are_decoded_piece_by_piece(model, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = "the cat house le chien maison дождь над 12 !!".split()
+    texts = [" ".join(rng.choice(words, size=n)) for n in (200, 1000, 3000)] + ["\t".join(["the"] * 400 + ["chien"] * 400)]
+    whole = [(real.tolist(), labels.tolist()) for real, labels in L._labelled(texts, L._Words(model))]
+    monkeypatch.setattr(L, "PIECE", 90)
+    assert [(real.tolist(), labels.tolist()) for real, labels in L._labelled(texts, L._Words(model))] == whole
+    assert "".join(piece for _, piece in L._pieces(texts[1])) == texts[1]
+
+
+def test_spans_end_where_runs_do(model):
+    text = "12 the, house 7 le chien! 9"
+    got = L._spans(text, np.array([False, True, True, False, True, True, False]), np.array([0, 0, 0, 0, 1, 1, 1]), ("en", "fr"))
+    assert [(text[s["start"] : s["stop"]], s["lang"]) for s in got] == [("the, house", "en"), ("le chien!", "fr")]
+    assert L._spans("12", np.array([False]), np.array([0]), ("en",)) == []
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" * 3 + " word", f"l{i:03}") for i in range(300)]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300
+    got = L.identify(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03}" for r in got) > 290

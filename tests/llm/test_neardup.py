@@ -134,3 +134,53 @@ def test_estimate_is_close(n, j):
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         errors.append(S.estimate(S.registers(a), S.registers(b), len(a), len(b)) - true)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+@pytest.mark.parametrize("union", [4, 8, 20, 60, 100, 180, 300, 700, 2000])
+def test_no_pair_at_the_threshold_is_lost(union):
+    """Pairs of sets exactly at 0.75: every estimate sends them on, and they meet in a band."""
+    rng = np.random.default_rng(union)
+    common, left = union * 3 // 4, union // 8
+    regs, sizes = [], []
+    for _ in range(400):
+        all_of = rng.integers(0, 1 << 64, union, dtype=np.uint64)
+        both, rest = all_of[:common], all_of[common:]
+        for part in (rest[:left], rest[left:]):
+            hashes = np.unique(np.concatenate([both, part]))
+            regs.append(S.registers(hashes))
+            sizes.append(len(hashes))
+    regs, n = np.stack(regs), np.array(sizes)
+    assert neardup._likely(regs[::2], regs[1::2], n[::2], n[1::2]).all()
+    keys = S.band_keys(regs)
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
+@pytest.mark.parametrize("extra", "_row _rid _id _ROW row rid id node n sig body key".split())
+def test_deduplicate_carries_any_column(spark, extra):
+    df = spark.createDataFrame([(1, "one two three", 7.5), (2, "ONE two three", 1.0), (3, None, None), (3, None, None)], f"doc_id long, text string, `{extra}` double")
+    got = neardup.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "one two three", 7.5), (3, None, None)]
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from quirefold.llm import common
+
+    before = common.written()
+    df = neardup.near_duplicates(spark.createDataFrame([(i, f"text number {i % 3} of some few words here") for i in range(30)], "doc_id long, text string"))
+    assert len(common.written() - before) == 2 and df.count() == 30
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from quirefold.llm import common
+
+    conf = SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None)
+    for master, fine in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("yarn", False), ("spark://host:7077", False)):
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fine:
+            assert common.scratch_dir(session).startswith("file:")
+        else:
+            with pytest.raises(ValueError):
+                common.scratch_dir(session)

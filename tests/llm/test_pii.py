@@ -102,18 +102,19 @@ def test_shares_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id id", "doc_id rid", "text")
     from pyspark.sql.pandas.types import to_arrow_type
 
-    columns = {"id": to_arrow_type(df.schema["id"].dataType), "rid": pii.pa.int64(), "base": pii._SPAN_TYPE, "near": pii._NEAR_TYPE}
-    scanned = df.mapInArrow(partial(pii._scanned, columns=columns), f"id long, rid long, base {pii._SPANS}, near {pii._NEAR}")
+    columns = {"id": to_arrow_type(df.schema["id"].dataType), "rid": pii.pa.int64(), "base": pii._SPAN_TYPE, "entities": pii.pa.list_(pii.pa.string()), "near": pii._NEAR_TYPE, "context": pii.pa.int64()}
+    scanned = df.mapInArrow(partial(pii._scanned, columns=columns), f"id long, rid long, base {pii._SPANS}, entities array<string>, near {pii._NEAR}, context long")
     got = {r.term: r.share for r in pii.disclosures(scanned, df, generalise=-9.0, remove=2.0).collect()}
     near, has, term = {}, {}, {}
     for d, text in rows:
         for t in {m.lower() for m in re.findall(r"[^\W\d_]{3,}", text)}:
             term.setdefault(t, set()).add(d)
         spans = pii.base_spans(text)
-        for e, k, t, c in pii._nearby(text, spans):
-            for x in (e, k):
-                has.setdefault(x, set()).add(d)
-                near.setdefault((x, t), []).append((d, c))
+        entities, pairs = pii._nearby(text, spans)
+        for x in entities:
+            has.setdefault(x, set()).add(d)
+        for x, t in pairs:
+            near.setdefault((x, t), []).append((d, text))
     want = {}
     for (e, t), seen in near.items():
         if len({c for _, c in seen}) >= pii.SUPPORT:
@@ -129,7 +130,7 @@ def test_copies_are_one_context(spark):
 
 
 def test_the_eight_terms_next_to_an_entity_are_seen():
-    near = lambda text: {t for _, _, t, _ in pii._nearby(text, pii.base_spans(text))}
+    near = lambda text: {t for _, t in pii._nearby(text, pii.base_spans(text))[1]}
     far = " ".join(f"word{c}" for c in "abcdefgh")
     assert near(f"outside {far} {'=' * 500} a@b.example {'/' * 500} {far} beyond") == set(far.split())
     assert near("record MRN48213 774411 a@b.example \u738b\u4f1f, an \u0438\u0437 xy") == {"record", "mrn48213", "774411", "\u738b\u4f1f", "\u0438\u0437"}
@@ -162,3 +163,25 @@ def test_near_copies_are_one_document(spark):
 
 def test_empty_table(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_a_table_and_its_double_give_the_same(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    spans = lambda frame: {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(frame).collect()}
+    once = spans(df)
+    assert any(s[1] >= 4 for found in once.values() for s in found)
+    assert spans(df.unionByName(df)) == once
+    moved = df.unionByName(df.selectExpr("doc_id + 1000 doc_id", "text"))  # copies under other ids
+    twice = spans(moved)
+    assert {d: s for d, s in twice.items() if d < 1000} == once and {d - 1000: s for d, s in twice.items() if d >= 1000} == once
+
+
+CLASHES = "_key _rid _spans _row _id _own _blob _found rid id body node text_ spans"
+
+
+@pytest.mark.parametrize("extra", CLASHES.split())
+def test_sanitise_carries_any_column(spark, extra):
+    df = spark.createDataFrame([(1, "write to jo@mail.example.com", 7.5), (2, None, None), (2, "", 1.0), (2, "", 1.0)], f"doc_id long, text string, `{extra}` double")
+    got = pii.sanitise(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "write to <email>", 7.5), (2, "", 1.0), (2, "", 1.0), (2, None, None)]

@@ -57,3 +57,41 @@ def test_edge_cases(spark):
     assert len(got) == 6 and all(0 <= r.p_good <= r.p_not_toxic <= 1 for r in got)
     assert quality.select(docs, model).columns == docs.columns
     assert quality.grade(docs.limit(0), model).count() == 0
+
+
+def test_shapes_of_whole_words():
+    assert quality._shape("Ab12--x") == "Aa0Ra" and quality._shape("!!??!!") == "RRR"
+    assert quality._shape("a" * 100 + "1") == "a0" != quality._shape("a" * 101)
+    quality._shape("!!??" * 250_000)  # in linear time
+
+
+def test_grades_equal_the_formula(spark):
+    """Every number of grade() from the weights and thresholds, summed bucket by bucket."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    got = {r.doc_id: r for r in quality.grade(docs, model).collect()}
+    for r in docs.collect():
+        score = sum(float(model.weights[b]) * float(v) for b, v in zip(*quality.features(r.text)))
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        mine = got[r.doc_id]
+        assert (mine.p_not_toxic, mine.p_good) == pytest.approx(tuple(tails), abs=1e-4)
+        assert mine.expected_grade == pytest.approx(sum(tails), abs=2e-4)
+        assert mine.kept == (mine.p_good >= quality.KEEP)
+
+
+def test_features_taken_to_the_driver_are_bounded(spark):
+    docs = spark.range(50).selectExpr("id doc_id", "concat('common words here ', id) text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality", "0 toxic")
+    assert quality.train(docs, labels, most_features=100) is not None and quality.train(docs, labels, most_features=1) is not None
+
+
+def test_fit_in_blocks_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(rng.integers(0, 50, size=n).astype(np.int32), rng.normal(size=n).astype(np.float32)) for n in rng.integers(1, 9, size=200)]
+    y = rng.integers(0, 3, size=200)
+    fit = lambda: quality.fit([b for b, _ in rows], [v for _, v in rows], y, 3)
+    whole = fit()
+    monkeypatch.setattr(quality, "BLOCK", 40)
+    assert np.allclose(fit().weights, whole.weights, atol=1e-3)

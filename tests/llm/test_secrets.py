@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from quirefold.llm import secrets
 from quirefold.llm.secrets import Rule
 
@@ -121,3 +123,20 @@ def test_redact(spark):
 def test_empty_table(spark):
     found, ledger = secrets.scan(spark.createDataFrame([], "doc_id long, text string"))
     assert found.count() == 0 and ledger.count() == 0
+
+
+@pytest.mark.parametrize("extra", "_own _blob _found _OWN blob found path rid versions".split())
+def test_redact_carries_any_column(spark, extra):
+    df = spark.createDataFrame([(1, "token=abcdefgh1", 7.5), (2, None, None), (2, "", 1.0), (2, "", 1.0)], f"doc_id long, text string, `{extra}` double")
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "[assign]", 7.5), (2, "", 1.0), (2, "", 1.0), (2, None, None)]
+
+
+def test_increments_equal_one_scan(spark):
+    from quirefold.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    got = queries.op6_secret_blob_ledger(spark, folder).collect()
+    whole = secrets.digest(secrets.scan(spark.read.parquet(f"{folder}/documents.parquet"))[0]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
