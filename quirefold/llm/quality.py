@@ -121,7 +121,7 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray,
     seen = np.zeros(DIMENSIONS, dtype=np.int64)
     for b in buckets:
         np.add.at(seen, b, 1)
-    blocks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []  # first row, last, features, values, lengths
+    blocks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # first row, last, features, values, lengths, starts
     stop = len(buckets)
     while stop:
         first, held = stop, 0
@@ -129,9 +129,13 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray,
             first -= 1
             held += len(buckets[first])
         often = [seen[b] >= 3 for b in buckets[first:]]
+        value = np.concatenate([v * k for v, k in zip(values[first:], often)]).astype(np.float32)
+        for k in often:
+            k[0] = True  # no row is without features, though the first may have no value
         index = np.concatenate([b[k] for b, k in zip(buckets[first:], often)])
-        value = np.concatenate([v[k] for v, k in zip(values[first:], often)]).astype(np.float32)
-        blocks.append((first, stop, index, value, np.array([k.sum() for k in often])))
+        value = value[np.concatenate(often)]
+        lengths = np.array([k.sum() for k in often])
+        blocks.append((first, stop, index, value, lengths, np.cumsum(lengths) - lengths))
         del buckets[first:], values[first:]
         stop = first
     blocks.reverse()
@@ -144,7 +148,7 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray,
     moments = [np.zeros(DIMENSIONS + len(theta)) for _ in range(2)]
     for step in range(1, STEPS + 1):
         cuts = np.concatenate([theta[:1], theta[:1] + np.cumsum(np.exp(theta[1:]))])
-        score = np.concatenate([np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=w[index] * value, minlength=len(lengths)) for _, _, index, value, lengths in blocks])
+        score = np.concatenate([np.add.reduceat(w[index] * value, start) for _, _, index, value, _, start in blocks])
         cdf = 1 / (1 + np.exp(np.clip(score[:, None] - cuts[None, :], -50, 50)))
         cdf = np.concatenate([np.zeros((len(score), 1)), cdf, np.ones((len(score), 1))], axis=1)
         rows = np.arange(len(score))
@@ -152,7 +156,7 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray,
         chance = np.maximum(high - low, 1e-12)
         pull = high + low - 1  # of the score
         grad_w = DECAY * w
-        for lo, hi, index, value, lengths in blocks:
+        for lo, hi, index, value, lengths, _ in blocks:
             grad_w += np.bincount(index, weights=np.repeat(-pull[lo:hi] / len(score), lengths) * value, minlength=DIMENSIONS)
         slope = cdf * (1 - cdf)
         grad_cut = np.array([-(slope[grades == k, k + 1] / chance[grades == k]).sum() + (slope[grades == k + 1, k + 1] / chance[grades == k + 1]).sum() for k in range(classes - 1)]) / len(score)
