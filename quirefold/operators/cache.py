@@ -156,6 +156,22 @@ def lru_keep(entries: DataFrame, cap: int, by: str = "store") -> DataFrame:
     return entries.withColumn("_held", F.sum("size").over(newest)).where(F.col("_held") <= cap).drop("_held")
 
 
+def opened(entries: DataFrame, version: int, wanted: int, schema: str = "key string, last_accessed double, created double, doc_digest string, kind string, size long") -> tuple[DataFrame, DataFrame]:
+    """(entries that a store of this version may use, rows set aside): all are set aside from a store of another version,
+    and otherwise those that no store can have written, without a key, with a negative size or from before their creation."""
+    good = F.col("key").isNotNull() & (F.col("size") >= 0) & (F.col("last_accessed") >= F.col("created"))
+    good = F.coalesce(good, F.lit(False)) & F.lit(version == wanted)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return entries.where(good).select(*names), entries.where(~good).select(*names)
+
+
+def purged(entries: DataFrame, digests: DataFrame) -> DataFrame:
+    """(doc_digest, entries, total_bytes) that without_document() takes away, a row for each digest asked for."""
+    asked = digests.select("doc_digest").distinct()
+    rows = asked.join(entries.select("doc_digest", "size"), "doc_digest", "left").groupBy("doc_digest")
+    return rows.agg(F.count("size").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"))
+
+
 def lookups(requests: DataFrame, entries: DataFrame, ttl: float) -> DataFrame:
     """requests (key, now) with outcome: hit, expired or miss."""
     rows = requests.join(entries.select("key", "last_accessed"), "key", "left")

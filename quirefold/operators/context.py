@@ -10,6 +10,8 @@ from quirefold.functions import text as X
 
 PAGE = ("doc_id", "page_num")
 LANGUAGE_WORDS = 120
+#: Words of a document that pages and figures are joined by.
+SPAN = 256
 
 
 def _page_words(blocks: DataFrame) -> DataFrame:
@@ -23,8 +25,8 @@ def figure_context(figures: DataFrame, blocks: DataFrame, before: int, after: in
     spilling over to earlier and later pages.
 
     Text beside a figure belongs to neither side.  Other pages are looked at only as far as a quota
-    can reach: running sums of a document's words per page tell which pages those are, so a figure
-    joins few pages, however long the document.
+    can reach: running sums of a document's words tell which ranges of SPAN words those are, and pages are joined
+    by equal ranges, so a figure meets few pages, however long the document.
     """
     words = _page_words(blocks)
     page = words.groupBy(*PAGE).agg(F.sum(F.size("words")).alias("n"))
@@ -39,18 +41,20 @@ def figure_context(figures: DataFrame, blocks: DataFrame, before: int, after: in
     own = own.groupBy("doc_id", "page_num", "fig").agg(side(F.col("y1") <= F.col("top")).alias("above"), side(F.col("y0") >= F.col("bottom")).alias("below"))
 
     reach = own.select("doc_id", "page_num", "fig", (F.lit(before) - F.size("above")).alias("want_before"), (F.lit(after) - F.size("below")).alias("want_after"))
-    # Words of the document before the figure's page, and up to its end.
-    marks = page.select("doc_id", F.col("page_num").alias("p"), F.col("n").alias("pn"), F.col("upto").alias("pu"))
-    placed = reach.join(marks, "doc_id").groupBy("doc_id", "page_num", "fig", "want_before", "want_after").agg(
-        F.coalesce(F.max(F.when(F.col("p") < F.col("page_num"), F.col("pu"))), F.lit(0)).alias("prior"),
-        F.coalesce(F.max(F.when(F.col("p") <= F.col("page_num"), F.col("pu"))), F.lit(0)).alias("through"),
-    )
-    t = texts.alias("t")
-    earlier = (F.col("t.page_num") < F.col("f.page_num")) & (F.col("t.upto") > F.col("f.prior") - F.col("f.want_before"))
-    later = (F.col("t.page_num") > F.col("f.page_num")) & (F.col("t.upto") - F.col("t.n") < F.col("f.through") + F.col("f.want_after"))
-    other = placed.alias("f").join(t, [F.col("f.doc_id") == F.col("t.doc_id"), earlier | later], "left")
-    gather = lambda cond: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("t.page_num").alias("p"), F.col("t.words").alias("words"))))), lambda b: b["words"]))
-    spilled = other.groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.page_num").alias("page_num"), F.col("f.fig").alias("fig")).agg(gather(F.col("t.page_num") < F.col("f.page_num")).alias("earlier"), gather(F.col("t.page_num") > F.col("f.page_num")).alias("later"))
+    # Words of the document before each page of texts or figures, and up to its end.
+    marks = page.select(*PAGE, "n").unionByName(figs.select(*PAGE, F.lit(0).cast("long").alias("n"))).groupBy(*PAGE).agg(F.sum("n").alias("n"))
+    marks = marks.select(*PAGE, F.sum("n").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("through"), "n")
+    placed = reach.join(marks.select(*PAGE, (F.col("through") - F.col("n")).alias("prior"), "through"), list(PAGE))
+    # A page of texts lies in the ranges of SPAN words that it covers; a figure asks for those that its quotas reach.
+    covers = F.sequence(F.floor((F.col("upto") - F.col("n")) / SPAN), F.floor((F.col("upto") - 1) / SPAN))
+    ranged = texts.select("doc_id", F.col("page_num").alias("p"), "words", "n", "upto", F.explode(covers).alias("range"))
+    low, high = F.greatest(F.lit(0), F.col("prior") - F.greatest(F.lit(0), "want_before")), F.col("through") + F.greatest(F.lit(0), "want_after") - 1
+    asked = placed.withColumn("range", F.explode(F.sequence(F.floor(low / SPAN), F.floor(F.greatest(low, high) / SPAN))))
+    earlier = (F.col("p") < F.col("page_num")) & (F.col("upto") > F.col("prior") - F.col("want_before"))
+    later = (F.col("p") > F.col("page_num")) & (F.col("upto") - F.col("n") < F.col("through") + F.col("want_after"))
+    other = asked.join(ranged, ["doc_id", "range"]).where(earlier | later).groupBy("doc_id", "page_num", "fig", "p").agg(F.first("words").alias("words"))
+    gather = lambda cond: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("p", "words")))), lambda b: b["words"]))
+    spilled = other.groupBy("doc_id", "page_num", "fig").agg(gather(F.col("p") < F.col("page_num")).alias("earlier"), gather(F.col("p") > F.col("page_num")).alias("later"))
     rows = own.join(spilled, ["doc_id", "page_num", "fig"], "left")
     none = F.array().cast("array<string>")
     head = F.concat(F.coalesce("earlier", none), "above")

@@ -14,7 +14,6 @@ from quirefold.lineage import cut
 
 #: What a model returns for one request, and whether its answer was cut off.
 RESULT = "struct<text:string,truncated:boolean,prompt_tokens:bigint,completion_tokens:bigint>"
-KINDS = ("chart", "diagram", "table", "photo", "map", "formula", "screenshot", "other")
 ANSWER = "struct<is_figure:boolean,kind:string,description:string>"
 SKIP_CLAUSE = "If the figure is only decoration, a logo or an ornament, answer with [SKIP] alone."
 AUTO = ("", "auto", "document")
@@ -87,6 +86,31 @@ def call_model(jobs: DataFrame, model: Callable[[str, str, str], dict], attempts
     return rows.withColumn("result", answer.asNondeterministic()("kind", "digest", "prompt"))
 
 
+class StructuredFirst:
+    """A model for call_model that asks an endpoint for a structured answer to a raster image first.
+
+    structured(kind, digest, prompt) may raise Unsupported; then, and for all else that is no image, plain() is asked.
+    Each worker remembers of each endpoint that it cannot, so the question is put once, not for every image.
+    """
+
+    _plain_only: set[str] = set()
+
+    def __init__(self, endpoint: str, structured: Callable[[str, str, str], dict], plain: Callable[[str, str, str], dict]):
+        self.endpoint, self.structured, self.plain = endpoint, structured, plain
+
+    def __call__(self, kind: str, digest: str, prompt: str) -> dict:
+        if kind == "image" and self.endpoint not in self._plain_only:
+            try:
+                return self.structured(kind, digest, prompt)
+            except Unsupported:
+                self._plain_only.add(self.endpoint)
+        return self.plain(kind, digest, prompt)
+
+
+class Unsupported(Exception):
+    """An endpoint does not give structured answers."""
+
+
 def _attempted(model: Callable[[str, str, str], dict], attempts: int, kind: str, digest: str, prompt: str) -> tuple:
     import time
 
@@ -128,14 +152,56 @@ def describe(jobs: DataFrame, cache: DataFrame, model: Callable[[str, str, str],
 
 
 def to_share(results: DataFrame) -> DataFrame:
-    """(key, text) that may enter the shared cache: whole, not blank, once."""
+    """(key, text) that may enter the shared cache: whole, not blank, once.
+
+    The rest is kept beside it by stored(), so that a cut-off answer can be told from none.
+    """
     return results.where(~F.col("truncated") & (X.strip(F.col("text")) != "")).select("key", "text").dropDuplicates(["key"])
 
 
+def stored(results: DataFrame, known: DataFrame) -> DataFrame:
+    """known descriptions (key, text, truncated) with those of results that are new, blank ones left out; a whole
+    answer replaces a truncated one, never the other way."""
+    new = results.where(X.strip(F.coalesce("text", F.lit(""))) != "").select("key", "text", "truncated")
+    rows = known.select("key", "text", "truncated", F.lit(0).alias("_age")).unionByName(new.withColumn("_age", F.lit(1)))
+    best = rows.groupBy("key").agg(F.min_by(F.struct("text", "truncated"), F.struct("truncated", "_age", "text")).alias("b"))
+    return best.select("key", "b.text", "b.truncated")
+
+
 def needs_shrinking(files: DataFrame) -> DataFrame:
     return files.where(F.length("content") > PAYLOAD_BYTES)
 
 
+#: JPEG qualities that are tried one after the other, and the longest side of what is sent.
+QUALITIES = (85, 70, 55, 40)
+
+
+def fitted(files: DataFrame, encode: Callable[[bytes, int, int], bytes], strict: bool = False) -> DataFrame:
+    """files with content of PAYLOAD_BYTES at most: small ones as they are, others by encode(content, side, quality)
+    at falling qualities until one fits.  What never fits goes out at the last quality, or, strict, stops the job.
+
+    encode comes with an image library of the cluster's; only large files reach Python.
+    """
+
+    def shrunk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for contents in batches:
+            yield contents.map(lambda c: None if c is None else _fitted(bytes(c), encode, strict))
+
+    large = F.length("content") > PAYLOAD_BYTES
+    small = files.where(~F.coalesce(large, F.lit(False)))
+    return small.unionByName(files.where(large).withColumn("content", F.pandas_udf(shrunk, "binary")("content")))
+
+
+def _fitted(content: bytes, encode: Callable[[bytes, int, int], bytes], strict: bool) -> bytes:
+    for quality in QUALITIES:
+        out = encode(content, PAYLOAD_SIDE, quality)
+        if len(out) <= PAYLOAD_BYTES:
+            return out
+    if strict:
+        raise ValueError(f"{len(out)} bytes after the last quality, {PAYLOAD_BYTES} are sent at most")
+    return out
+
+
 LANGUAGE_PROMPT = "Name the language of this text in one English word."
 SUMMARY_PROMPT = "Say in one or two sentences what kind of document this is and what it is about."
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from quirefold.functions import geometry as G
 from quirefold.functions import text as X
+from quirefold.lineage import cut
 from quirefold.operators.layout import reading_order_of_tables
 from quirefold.operators.tables import filled_share
 
@@ -47,14 +48,16 @@ def is_sloped(ops: Column) -> Column:
 def near_pairs(drawings: DataFrame, slack: float = REACH, cell: float = CELL) -> DataFrame:
     """(doc_id, page_num, a, b): drawings of a page within slack of each other, a < b.
 
-    A self-join on the page and on grid columns that the widened boxes touch, never a cross product.
-    Each pair is kept only in the first grid column that both touch, so it comes once.
+    A self-join on the page and on the cells of a grid that the widened boxes touch, never a cross product.
+    Each pair is kept only in the first cell that both touch, so it comes once.
     """
-    low, high = F.floor((F.col("x0") - slack) / cell), F.floor((F.col("x1") + slack) / cell)
-    rows = drawings.select(*PAGE, "drawing_id", "x0", "y0", "x1", "y1", low.alias("low"), F.explode(F.sequence(low, F.greatest(low, high))).alias("at"))
+    span = lambda lo, hi: (F.floor((F.col(lo) - slack) / cell), F.floor((F.col(hi) + slack) / cell))
+    (left, right), (top, bottom) = span("x0", "x1"), span("y0", "y1")
+    rows = drawings.select(*PAGE, "drawing_id", "x0", "y0", "x1", "y1", left.alias("left"), top.alias("top"), bottom.alias("bottom"), F.explode(F.sequence(left, F.greatest(left, right))).alias("across"))
+    rows = rows.withColumn("down", F.explode(F.sequence("top", F.greatest("top", "bottom")))).drop("bottom")
     a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*PAGE, "at")]
-    first = F.col("a.at") == F.greatest("a.low", "b.low")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*PAGE, "across", "down")]
+    first = (F.col("a.across") == F.greatest("a.left", "b.left")) & (F.col("a.down") == F.greatest("a.top", "b.top"))
     pairs = a.join(b, [*same, F.col("a.drawing_id") < F.col("b.drawing_id"), first, G.close(G.box("a"), G.box("b"), slack)])
     return pairs.select(F.col("a.doc_id"), F.col("a.page_num"), F.col("a.drawing_id").alias("a"), F.col("b.drawing_id").alias("b"))
 
@@ -75,14 +78,14 @@ def _components(key: tuple, table: pa.Table) -> pa.Table:
             parent[max(x, y)] = min(x, y)
     ids = sorted(parent)
     doc, page = (k.as_py() for k in key)
-    return pa.table({"doc_id": pa.array([doc] * len(ids), pa.string()), "page_num": pa.array([page] * len(ids), pa.int32()), "drawing_id": pa.array(ids, pa.int32()), "cluster": pa.array([root(i) for i in ids], pa.int32())})
+    return pa.table({"doc_id": pa.array([doc] * len(ids), pa.string()), "page_num": pa.array([page] * len(ids), pa.int32()), "drawing_id": pa.array(ids, pa.int64()), "cluster": pa.array([root(i) for i in ids], pa.int64())})
 
 
 def clusters(drawings: DataFrame, slack: float = REACH) -> DataFrame:
     """drawings with cluster, the smallest id of those linked by nearness.  One page's pairs meet in a
     task: a page is bounded by what a page can hold."""
     pairs = near_pairs(drawings, slack)
-    found = pairs.groupBy(*PAGE).applyInArrow(_components, "doc_id string, page_num int, drawing_id int, cluster int")
+    found = pairs.groupBy(*PAGE).applyInArrow(_components, "doc_id string, page_num int, drawing_id long, cluster long")
     return drawings.join(found, [*PAGE, "drawing_id"], "left").withColumn("cluster", F.coalesce("cluster", "drawing_id"))
 
 
@@ -155,8 +158,11 @@ def off_tables(regions: DataFrame, tables: DataFrame, share: float = ON_TABLE) -
 
 
 def find_regions(drawings: DataFrame, pages: DataFrame, texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(doc_id, page_num, region_index, box, n_drawings) of a page's vector figures in reading order."""
-    rows = grown(neighbour_limits(raw_regions(drawings, pages)), texts)
+    """(doc_id, page_num, region_index, box, n_drawings) of a page's vector figures in reading order.
+
+    Regions meet themselves and the texts several times, so they, which are few, are written first.
+    """
+    rows = grown(cut(neighbour_limits(cut(raw_regions(drawings, pages)))), texts)
     rows = rows.withColumns(dict(zip(("x0", "y0", "x1", "y1"), G.clipped(G.box(), F.col("width"), F.col("height")))))
     rows = rows.where((G.width(G.box()) >= 1) & (G.height(G.box()) >= 1))
     rows = off_tables(rows, suppressors(candidates, usable_drawings(drawings, pages)))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions import text as X
 from quirefold.lineage import cut
-from quirefold.operators import boilerplate, context, describe, figures, layout, output, regions, tables, usage
+from quirefold.operators import boilerplate, context, describe, figures, layout, output, regions, structure, tables, usage
 from quirefold.sources.config import Settings
 
 
@@ -24,6 +25,7 @@ class Document:
     resources: DataFrame
     draws: DataFrame
     files: DataFrame
+    links: DataFrame | None = None
 
 
 @dataclass
@@ -35,7 +37,7 @@ class Conversion:
 
 
 def page_blocks(doc: Document) -> tuple[DataFrame, DataFrame]:
-    """(blocks in reading order, regions).  Label texts go before the table texts, and the order is settled again
+    """(blocks in reading order with the links of their texts, regions).  Label texts go before the table texts, and the order is settled again
     over all blocks at the end; regions also judge the table candidates."""
     texts = doc.blocks.where("kind = 'text'")
     found = regions.find_regions(doc.drawings, doc.pages, texts, doc.candidates)
@@ -46,6 +48,8 @@ def page_blocks(doc: Document) -> tuple[DataFrame, DataFrame]:
     last = rows.groupBy("doc_id", "page_num").agg(F.max("seq").alias("_last"))
     more = kept.join(last, ["doc_id", "page_num"], "left").select("doc_id", "page_num", (F.coalesce("_last", F.lit(-1)) + F.col("pos")).cast("int").alias("seq"), F.lit("table").alias("kind"), "x0", "y0", "x1", "y1", "cells")
     rows = rows.unionByName(more, allowMissingColumns=True)
+    if doc.links is not None:
+        rows = structure.linkify(rows, doc.links)
     return layout.reading_order(rows, doc.pages), found
 
 
@@ -91,9 +95,15 @@ PAYLOAD = "markdown string, page_count int, figure_count bigint, skipped_count b
 _FIELDS = [c.split(" ")[0] for c in PAYLOAD.split(", ")]
 
 
-def to_payload(rows: DataFrame, version: str = "1") -> DataFrame:
-    """(doc_id, key, payload): records as JSON under keys that change with the payload's version."""
-    return rows.select("doc_id", F.concat_ws("-", F.lit(f"doc{version}"), "doc_id").alias("key"), F.to_json(F.struct(*_FIELDS)).alias("payload"))
+def document_key(doc_id: Column, settings: Settings, version: str = "1") -> Column:
+    """The key of a converted document: its content, the payload's version, and all settings that shape the result."""
+    shaped = X.fingerprint(*[F.lit(s) for s in settings.shaping()], length=16)
+    return F.concat_ws("-", F.lit(f"doc{version}"), doc_id, shaped)
+
+
+def to_payload(rows: DataFrame, settings: Settings, version: str = "1") -> DataFrame:
+    """(doc_id, key, payload): records as JSON under document_key()."""
+    return rows.select("doc_id", document_key(F.col("doc_id"), settings, version).alias("key"), F.to_json(F.struct(*_FIELDS)).alias("payload"))
 
 
 def from_payload(stored: DataFrame) -> DataFrame:

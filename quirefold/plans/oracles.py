@@ -62,7 +62,7 @@ marked AS (
   SELECT doc_id, {strip("string_agg(part, chr(10) || chr(10) ORDER BY page_num, seq)")} || chr(10) AS markdown FROM parts WHERE part <> '' GROUP BY doc_id)"""
 
 _PAGES = rf"""
-found AS (SELECT doc_id, markdown, regexp_extract_all(markdown, '<!--\s*page\s+(\d+)\s*-->', 1) AS numbers, regexp_split_to_array(markdown, '<!--\s*page\s+\d+\s*-->') AS texts FROM marked),
+found AS (SELECT doc_id, markdown, regexp_extract_all(markdown, '<!-- page (\d+) -->', 1) AS numbers, regexp_split_to_array(markdown, '<!-- page \d+ -->') AS texts FROM marked),
 split AS (SELECT doc_id, unnest(range(len(numbers)))::INTEGER AS pos, unnest(numbers)::INTEGER - 1 AS "index", unnest(texts[2:]) AS body FROM found),
 cut AS (SELECT doc_id, pos, "index", {strip('body')} AS markdown FROM split)"""
 
@@ -105,7 +105,7 @@ judged AS (
 def _boxes(doc: str, page: str, kind: str = "part", key: str = "p_partkey") -> str:
     return f"""
 boxes AS (
-  SELECT {doc} AS doc_id, {page} AS page_num, {key}::INTEGER AS drawing_id, ({key} * 37 % 500)::DOUBLE AS x0, ({key} * 91 % 700)::DOUBLE AS y0,
+  SELECT {doc} AS doc_id, {page} AS page_num, {key}::BIGINT AS drawing_id, ({key} * 37 % 500)::DOUBLE AS x0, ({key} * 91 % 700)::DOUBLE AS y0,
     ({key} * 37 % 500 + {key} % 29 + 1)::DOUBLE AS x1, ({key} * 91 % 700 + {key} % 23 + 1)::DOUBLE AS y1 FROM {kind})"""
 
 
@@ -138,6 +138,76 @@ moments AS (SELECT user_id, event_id, floor(epoch(ts)) / 60 AS y0, floor(epoch(t
 gaps AS (SELECT *, y0 - max(y1) OVER (PARTITION BY user_id ORDER BY y0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 600 AS starts FROM moments)"""
 
 
+_REGIONS = f"""
+d AS (SELECT (l_orderkey // 2000)::VARCHAR AS doc_id, (l_orderkey // 40 % 50)::INTEGER AS page_num, l_orderkey * 8 + l_linenumber AS id, (l_partkey * 13 % 180)::DOUBLE + 40 AS x0,
+  (l_suppkey * 7 % 120)::DOUBLE + CASE WHEN l_orderkey % 2 = 0 THEN 60.0 ELSE 420.0 END AS y0, l_partkey % 6 AS tall FROM lineitem),
+b AS (SELECT *, x0 + 9 AS x1, y0 + 1 + tall AS y1, count(*) OVER (PARTITION BY doc_id, page_num) AS on_page FROM d),
+u AS (SELECT * FROM b WHERE on_page >= 30 AND NOT (x1 - x0 < 2 AND y1 - y0 < 2) AND (x1 - x0) * (y1 - y0) <= 0.4 * 612.0 * 792.0),
+near AS (SELECT a.doc_id, a.page_num, a.id AS a, b.id AS b FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND {_close(3.0)}),
+reach AS (SELECT doc_id, page_num, a, b FROM near UNION SELECT r.doc_id, r.page_num, r.a, n.b FROM reach r JOIN near n ON n.doc_id = r.doc_id AND n.page_num = r.page_num AND n.a = r.b),
+heaps AS (SELECT doc_id, page_num, a AS id, min(b) AS heap FROM reach GROUP BY ALL),
+sized AS (SELECT u.*, heap, count(*) OVER (PARTITION BY doc_id, page_num, heap) AS members FROM u JOIN heaps USING (doc_id, page_num, id)),
+gaps AS (SELECT *, y0 - max(y1) OVER (PARTITION BY doc_id, page_num, heap ORDER BY y0, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 40 AS starts FROM sized WHERE members >= 8),
+parts AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num, heap ORDER BY y0, id ROWS UNBOUNDED PRECEDING) AS part FROM gaps),
+raw AS (SELECT doc_id, page_num, heap, part, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*)::INTEGER AS n, count(*) FILTER (x1 - x0 >= 2 AND y1 - y0 >= 2) AS solid FROM parts GROUP BY ALL),
+padded AS (
+  SELECT doc_id, page_num, heap, part, n, greatest(x0 - 6, 0.0) AS x0, greatest(y0 - 6, 0.0) AS y0, least(x1 + 6, 612.0) AS x1, least(y1 + 6, 792.0) AS y1
+  FROM raw WHERE n >= 8 AND solid >= 4 AND x1 - x0 >= 80 AND y1 - y0 >= 60),
+limits AS (
+  SELECT a.doc_id, a.page_num, a.heap, a.part, a.n, a.x0, a.y0, a.x1, a.y1,
+    greatest(0.0, coalesce(max(CASE WHEN b.y1 <= a.y0 THEN b.y1 + 4 END), 0.0)) AS y_min, least(792.0, coalesce(min(CASE WHEN NOT b.y1 <= a.y0 AND b.y0 >= a.y1 THEN b.y0 - 4 END), 792.0)) AS y_max
+  FROM padded a LEFT JOIN padded b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND (a.heap, a.part) <> (b.heap, b.part)
+    AND least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.3 * least(a.x1 - a.x0, b.x1 - b.x0) GROUP BY ALL),
+joined AS (
+  SELECT *, least(x1, 150.0) - greatest(x0, 50.0) >= 0.3 * 100 AND ((40 <= y0 AND y0 - 40 <= 30 AND 20 >= y_min) OR (20 >= y1 AND 20 - y1 <= 30 AND 40 <= y_max)) AS titled FROM limits),
+grown AS (
+  SELECT doc_id, page_num, n, CASE WHEN titled THEN least(x0, 50.0) ELSE x0 END AS x0, CASE WHEN titled THEN least(y0, 20.0) ELSE y0 END AS y0,
+    CASE WHEN titled THEN greatest(x1, 150.0) ELSE x1 END AS x1, CASE WHEN titled THEN greatest(y1, 40.0) ELSE y1 END AS y1 FROM joined)"""
+
+#: One store's entries as a list in order of their stamps, an operation a step.
+_REPLAY = """
+steps AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY ts, seq) AS n FROM log),
+run AS (
+  SELECT store, 0::BIGINT AS n, [{'k': '', 't': 0.0::DOUBLE, 's': 0::BIGINT}][1:0] AS held, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, 0 AS expirations, 0 AS evictions FROM (SELECT DISTINCT store FROM log)
+  UNION ALL
+  SELECT store, n, CASE WHEN op = 'put' THEN young[first_kept:] WHEN one IS NULL THEN held WHEN ts - one.t > 86400.0 THEN rest WHEN ts - one.t > 864.0 THEN list_append(rest, {'k': k, 't': ts, 's': one.s}) ELSE held END, seq,
+    CASE WHEN op = 'put' THEN 'stored' WHEN one IS NULL OR ts - one.t > 86400.0 THEN 'miss' ELSE 'hit' END,
+    CASE WHEN op = 'put' THEN (len(rest) + 1 - len(young))::INTEGER WHEN one IS NOT NULL AND ts - one.t > 86400.0 THEN 1 ELSE 0 END, CASE WHEN op = 'put' THEN (first_kept - 1)::INTEGER ELSE 0 END
+  FROM (
+    SELECT *, list_min(list_filter(range(1, len(young) + 2), lambda i: coalesce(list_sum(list_transform(young[i:], lambda x: x.s)), 0) <= 1200)) AS first_kept
+    FROM (
+      SELECT *, list_filter(list_append(rest, {'k': k, 't': ts, 's': size}), lambda x: ts - x.t <= 86400.0) AS young
+      FROM (
+        SELECT l.store, l.n, l.seq, l.op, l.ts, l.k, l.size::BIGINT AS size, r.held, list_filter(r.held, lambda x: x.k <> l.k) AS rest, list_filter(r.held, lambda x: x.k = l.k)[1] AS one
+        FROM run r JOIN steps l ON l.store = r.store AND l.n = r.n + 1))))"""
+
+_HTML = r"""
+bare AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS html FROM pages),
+cut AS (SELECT page_id, string_split(regexp_replace(html, '(?i)<(h[1-6]|p|li|/p|/li|/h[1-6]|/ul|/ol|/article|/nav|/body|/div)\b', chr(1) || '<\1', 'g'), chr(1)) AS pieces FROM bare),
+each_piece AS (SELECT page_id, unnest(range(2, len(pieces))) AS i, unnest(pieces[2:len(pieces) - 1]) AS piece FROM cut),
+opened AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, lower(regexp_extract(piece, '(?is)^<(h[1-6]|p|li)\b[^>]*>', 1)) AS tag, regexp_replace(piece, '(?is)^<(h[1-6]|p|li)\b[^>]*>', '') AS body
+  FROM each_piece WHERE regexp_matches(piece, '(?is)^<(h[1-6]|p|li)\b[^>]*>')),
+texts AS (
+  SELECT page_id, pos::INTEGER AS pos, tag, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM opened)"""
+
+_FLIGHTS = """
+led AS (SELECT event_id AS request_id, first(event_id) OVER w AS leader FROM events WINDOW w AS (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id))"""
+
+_GRID = """
+marks AS (SELECT (p_size % 4)::INTEGER AS page_num, p_partkey AS drawing_id, (p_partkey * 37 % 500)::DOUBLE AS x0, (p_partkey * 91 % 700)::DOUBLE AS y0,
+  (p_partkey * 37 % 500 + p_partkey % 29 + 1)::DOUBLE AS x1, (p_partkey * 91 % 700 + p_partkey % 23 + 1)::DOUBLE AS y1 FROM part)"""
+
+
+def _common(a: str, b: str) -> str:
+    return f"greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
+
+
+def _fingerprint(prompt: str) -> str:
+    parts = ("m", "u", prompt, "auto", "None", "False", "0", "0", "300")
+    return f"sha256({' || chr(31) || '.join(repr(p) for p in parts)})[1:16]"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "doc_stats_scan_hint": f"""WITH {_blocks()}, texts AS (SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY seq) AS text FROM blocks GROUP BY ALL)
@@ -284,4 +354,58 @@ l AS (SELECT page_id, unnest(range(len(regexp_extract_all(html, '(?is)<a\b[^>]*?
 t AS (SELECT page_id, pos, uri, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS anchor FROM l)
 SELECT * FROM t WHERE uri <> '' AND anchor <> ''""",
         "whitespace_words": f"SELECT doc_id, len({words('text')})::BIGINT AS words, array_to_string({words('text')}[1:3], ' ') AS head FROM documents",
+        "figure_regions": f"""WITH RECURSIVE {_REGIONS}
+SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY round_even(y0 / 10, 0), x0, y0, x1, y1)::INTEGER AS region_index, x0, y0, x1, y1, n AS n_drawings FROM grown""",
+        "cache_replay": f"""WITH RECURSIVE {_LOG}, {_REPLAY}
+SELECT store, seq, l.ts, op, k AS key, kind, outcome, expirations::INTEGER AS expirations, evictions::INTEGER AS evictions, len(held)::INTEGER AS entries, coalesce(list_sum(list_transform(held, lambda x: x.s)), 0)::BIGINT AS total_bytes
+FROM run r JOIN log l USING (store, seq)""",
+        "html_blocks": f"WITH {_HTML} SELECT page_id, pos, tag, text FROM texts WHERE text <> ''",
+        "document_keys": f"""SELECT doc_id AS id, 'doc1-' || sha256(text) || '-' || {_fingerprint('Describe.')} AS key0, 'doc1-' || sha256(text) || '-' || {_fingerprint('Say more.')} AS key1 FROM documents WHERE text IS NOT NULL""",
+        "payload_round_trip": """SELECT s_suppkey::VARCHAR AS doc_id, s_name || chr(10) || '"é"' || chr(10) AS markdown, (s_suppkey % 9)::INTEGER AS page_count, s_suppkey % 5 AS figure_count, s_suppkey % 2 AS skipped_count, 'English' AS language,
+  0::BIGINT AS prompt_tokens, s_suppkey AS completion_tokens, s_suppkey * 2 AS total_tokens, s_suppkey * 3 AS api_calls, s_suppkey * 4 AS calls_missing_usage, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey / 100)::DOUBLE END AS estimated_cost, 'EUR' AS currency FROM supplier""",
+        "responses": """SELECT n_nationkey AS doc_id, '{"markdown":"' || n_name || '","result":"{\\"markdown\\":\\"' || n_name || '\\",\\"page_count\\":' || n_regionkey || ',\\"figure_count\\":' || n_nationkey % 4 || '}"}' AS payload,
+  n_regionkey::VARCHAR AS pages, (n_nationkey % 4)::VARCHAR AS figures FROM nation""",
+        "usage_lines": """WITH k AS (SELECT n_nationkey AS k FROM nation) SELECT k AS n_nationkey, printf('%d calls, ', k * 2) || format('{:,}', k * 1000) || ' tokens (' || format('{:,}', k * 600) || ' in, ' || format('{:,}', k * 400) || ' out); '
+  || CASE WHEN k % 2 = 0 THEN printf('cost about %.4f EUR', k / 8) ELSE 'cost unknown: no prices' END || CASE WHEN k % 3 > 0 THEN printf('; %d calls without usage', k % 3) ELSE '' END AS line FROM k""",
+        "linkified": f"""WITH {_blocks()} SELECT doc_id, page_num, CASE WHEN len({words('text')}) >= 2 THEN regexp_replace(text, '^({_WS}*)([^\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+){_WS}+([^\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+)', '\\1[\\2 \\3](u' || page_num || ')') ELSE text END AS text
+FROM blocks WHERE seq = 0""",
+        "table_suppressors": f"""WITH {_CANDIDATES}, {_GRID},
+c AS (SELECT p.page_num, p.table_id, any_value(filled / (3.0 * n_rows)) AS share, any_value(n_rows) AS n_rows, count(m.drawing_id) AS sloped FROM placed p
+  LEFT JOIN marks m ON m.page_num = p.page_num AND drawing_id % 5 = 0 AND {_common('m', 'p')} >= 0.5 * (m.x1 - m.x0) * (m.y1 - m.y0) GROUP BY ALL)
+SELECT page_num, table_id FROM c WHERE n_rows >= 3 AND share >= 0.45 AND sloped < 3""",
+        "regions_off_tables": f"""WITH {_CANDIDATES} SELECT page_num, region_index FROM regions r WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.page_num = r.page_num AND {_common('r', 'p')} / ((r.x1 - r.x0) * (r.y1 - r.y0)) >= 0.5)""",
+        "region_blocks": f"""WITH {_CANDIDATES}, {_GRID}, l AS (SELECT page_num, max(drawing_id) AS last FROM marks GROUP BY page_num)
+SELECT page_num, (coalesce(last, -1) + region_index)::INTEGER AS seq, region_index FROM regions LEFT JOIN l USING (page_num)""",
+        "described_blocks": """SELECT (n_nationkey % 4 + 1)::INTEGER AS page_num, n_nationkey::INTEGER AS region_index, CASE WHEN n_nationkey % 5 <> 0 THEN
+  printf('![Diagram, page %d](diagrams/page-%03d-diagram-%02d.png)', n_nationkey % 4 + 1, n_nationkey % 4 + 1, n_nationkey) || chr(10) || chr(10) || '> ' || n_name || chr(10) || '>' || chr(10) || '> and more' END AS part FROM nation""",
+        "image_order": """SELECT p_size::INTEGER AS page_num, p_partkey::INTEGER AS idx, row_number() OVER (PARTITION BY p_size ORDER BY CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 91 % 70 ELSE 0 END, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 37 % 50 ELSE 0 END, p_partkey)::INTEGER AS pos FROM part""",
+        "box_unions": f"""WITH {_CANDIDATES} SELECT region_index, table_id, greatest(0.0, least(r.x0, p.x0))::DOUBLE AS x0, greatest(0.0, least(r.y0, p.y0))::DOUBLE AS y0, least(300.0, greatest(r.x1, p.x1))::DOUBLE AS x1, least(400.0, greatest(r.y1, p.y1))::DOUBLE AS y1
+FROM regions r JOIN placed p ON p.page_num = r.page_num AND least(r.x1, p.x1) > greatest(r.x0, p.x0) AND least(r.y1, p.y1) > greatest(r.y0, p.y0)""",
+        "lookup_outcomes": f"""WITH {_ENTRIES}, t AS (SELECT quantile_cont(last_accessed, 0.5) + 86400 AS now FROM entries)
+SELECT key, CASE WHEN now - last_accessed > 86400.0 THEN 'expired' ELSE 'hit' END AS outcome FROM entries, t UNION ALL SELECT 'none' || n_nationkey, 'miss' FROM nation""",
+        "cache_sizes": f"WITH {_ENTRIES} SELECT count(*) AS entries, sum(size)::BIGINT AS total_bytes FROM entries",
+        "purged_counts": f"WITH {_ENTRIES} SELECT 'd' || n_nationkey AS doc_digest, count(size) AS entries, coalesce(sum(size), 0)::BIGINT AS total_bytes FROM nation LEFT JOIN entries ON doc_digest = 'd' || n_nationkey GROUP BY ALL",
+        "opened_entries": f"""WITH {_ENTRIES} SELECT CASE WHEN size % 11 = 0 THEN -size ELSE size END::BIGINT AS size, size % 7 <> 0 AND size % 5 <> 0 AND size % 11 <> 0 AS used FROM entries""",
+        "scoped_keys": "SELECT doc_id, sha256(text)[1:8] AS shared, sha256(text)[1:8] || '-doc-' || doc_id AS own FROM documents WHERE text IS NOT NULL",
+        "stored_descriptions": """WITH r AS (SELECT (o_custkey % 500)::VARCHAR AS key, CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE o_orderkey::VARCHAR END AS text, o_orderstatus <> 'F' AS truncated, o_orderkey % 2 AS old FROM orders),
+a AS (SELECT key, text, truncated, 1 AS age FROM r WHERE old = 0 AND trim(text) <> '' UNION ALL SELECT key, min(text), true, 0 FROM r WHERE old = 1 AND trim(text) <> '' GROUP BY key)
+SELECT key, text, truncated FROM a QUALIFY row_number() OVER (PARTITION BY key ORDER BY truncated, age, text) = 1""",
+        "flight_outcomes": f"""WITH {_FLIGHTS} SELECT request_id, CASE WHEN leader % 5 <> 0 AND leader % 3 <> 0 THEN 'r' || leader END AS result, CASE WHEN leader % 5 = 0 THEN 'timeout' WHEN leader % 3 = 0 THEN 'broken' END AS error,
+  CASE WHEN leader % 5 = 0 THEN 504 WHEN leader % 3 = 0 THEN 500 ELSE 200 END AS status FROM led""",
+        "document_summaries": f"""WITH {_blocks()}, w AS (SELECT doc_id, flatten(list({words('text')} ORDER BY page_num, seq)) AS ws FROM blocks GROUP BY doc_id),
+d AS (SELECT doc_id, sha256(array_to_string(ws[1:120], ' '))[1:32] AS digest, array_to_string(ws[1:120], ' ') <> '' AND doc_id IN (SELECT doc_id::VARCHAR FROM labels WHERE toxic = 0) AS asked FROM w)
+SELECT doc_id, CASE WHEN asked THEN 'summary ' || digest ELSE '' END AS summary, asked AND digest[32] <> 'f' AS to_keep FROM d""",
+        "zip_kinds": "SELECT s_suppkey, ['epub', 'docx', 'xlsx', 'pptx', 'xps', 'cbz', NULL, NULL][s_suppkey % 8 + 1] AS kind FROM supplier",
+        "size_gate": """WITH g AS (SELECT c_custkey, CASE WHEN c_custkey * 100000 > 50 * 1024 * 1024 THEN 'too_large' WHEN c_custkey % 4 = 3 THEN 'unsupported' WHEN c_custkey % 3 <> 0 THEN CASE WHEN c_custkey % 4 = 2 THEN 'unsupported' ELSE 'mismatch' END WHEN c_custkey % 4 = 1 THEN 'mismatch' END AS refusal FROM customer)
+SELECT *, CASE refusal WHEN 'too_large' THEN 413 WHEN 'unsupported' THEN 415 WHEN 'mismatch' THEN 422 ELSE 200 END AS status FROM g""",
+        "spreadsheet_pages": "SELECT l_suppkey AS doc_id, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING n > 50",
+        "data_uris": """WITH u AS (SELECT n_nationkey, n_name, 'data:image/png;base64,' || to_base64(n_name::BLOB) AS uri FROM nation)
+SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'https://host/' || uri ELSE uri END AS uri, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS bytes FROM u""",
+        "collected_images": "SELECT p_partkey AS id, md5(p_name) AS content, p_size AS width_px, NULL::INTEGER AS height_px FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 <> 0",
+        "clean_grids": """SELECT n_nationkey, '[["' || n_name || ' x",""],[""]]' AS cells FROM nation""",
+        "language_codes": """SELECT n_nationkey, ['Swedish', 'GERMAN', 'french', 'Klingon', '', 'Portuguese'][n_nationkey % 6 + 1] AS name, ['sv', 'de', 'fr', NULL, NULL, 'pt'][n_nationkey % 6 + 1] AS code FROM nation""",
+        "numeric_tokens": """SELECT o_orderkey, printf('%.2f', o_totalprice) || ' -' || o_custkey || ' ' || strftime(o_orderdate, '%Y -%m -%d') AS numbers, true AS cell FROM orders""",
+        "row_differences": """WITH l AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL), r AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+d AS (SELECT o_custkey, o_orderstatus, coalesce(l.n, 0) - coalesce(r.n, 0) AS n FROM l FULL JOIN r USING (o_custkey, o_orderstatus))
+SELECT o_custkey, o_orderstatus, CASE WHEN n > 0 THEN 'left' ELSE 'right' END AS side, abs(n) AS n FROM d WHERE n <> 0""",
     }

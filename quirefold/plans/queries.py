@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.functions import geometry as G
 from quirefold.functions import text as X
 from quirefold.operators import boilerplate, cache, context, describe, evaluation, figures, layout, ocr, output, pages, regions, structure, tables, usage
+from quirefold.plans import convert
 from quirefold.sources import adapters, documents, formats
+from quirefold.sources.config import Settings
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -241,7 +244,7 @@ def figure_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, p = F.col("l_orderkey"), F.col("l_partkey")
     x0, y0 = (p * 13 % 180).cast("double") + 40, (F.col("l_suppkey") * 7 % 120).cast("double") + F.when(k % 2 == 0, 60.0).otherwise(420.0)
     op = F.struct(F.lit("l").alias("op"), x0.alias("ax"), y0.alias("ay"), (x0 + 9).alias("bx"), (y0 + p % 6).alias("by"))
-    drawings = items.select(F.expr("l_orderkey div 2000").cast("string").alias("doc_id"), F.expr("l_orderkey div 40 % 50").cast("int").alias("page_num"), (k * 8 + F.col("l_linenumber")).cast("int").alias("drawing_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 9).alias("x1"), (y0 + 1 + p % 6).alias("y1"), F.array(op).alias("ops"))
+    drawings = items.select(F.expr("l_orderkey div 2000").cast("string").alias("doc_id"), F.expr("l_orderkey div 40 % 50").cast("int").alias("page_num"), (k * 8 + F.col("l_linenumber")).cast("long").alias("drawing_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 9).alias("x1"), (y0 + 1 + p % 6).alias("y1"), F.array(op).alias("ops"))
     sheets = adapters.doc_pages(drawings)
     texts = sheets.select("doc_id", "page_num", F.lit(50.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(150.0).alias("x1"), F.lit(40.0).alias("y1"))
     none = spark.createDataFrame([], "doc_id string, page_num int, table_id int, x0 double, y0 double, x1 double, y1 double, cells array<array<string>>")
@@ -545,6 +548,250 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "index", "markdown", F.size("images").alias("n_images"), first["top_left_y"].alias("top"), F.col("dimensions.height").alias("height"))
 
 
+# ---- keys and payloads
+
+
+@_query
+def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of documents under two settings that differ in the prompt."""
+    docs = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
+    kinds = [Settings("m", "u", prompt) for prompt in ("Describe.", "Say more.")]
+    return docs.select("id", *[convert.document_key(F.col("digest"), k).alias(f"key{i}") for i, k in enumerate(kinds)])
+
+
+@_query
+def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as records of conversions, to JSON and back."""
+    k = F.col("s_suppkey")
+    none = F.lit(None).cast("decimal(18,8)")
+    rows = read(spark, sf_dir, "supplier").select(
+        k.cast("string").alias("doc_id"), F.concat("s_name", F.lit("\n\"é\"\n")).alias("markdown"), (k % 9).cast("int").alias("page_count"), (k % 5).alias("figure_count"), (k % 2).alias("skipped_count"), F.lit("English").alias("language"),
+        *[(k * i).alias(c) for i, c in enumerate(("prompt_tokens", "completion_tokens", "total_tokens", "api_calls", "calls_missing_usage"))],
+        F.when(k % 3 == 0, none).otherwise((k / 100).cast("decimal(18,8)")).alias("estimated_cost"), F.lit("EUR").alias("currency"),
+    )
+    back = convert.from_payload(convert.to_payload(rows, Settings("m", "u", "p")))
+    return back.withColumn("estimated_cost", F.col("estimated_cost").cast("double"))
+
+
+@_query
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("markdown"), F.col("n_regionkey").alias("page_count"), (F.col("n_nationkey") % 4).alias("figure_count"))
+    both = output.response(rows, "both")
+    return both.select("doc_id", "payload", F.col("headers")["X-Page-Count"].alias("pages"), F.col("headers")["X-Figure-Count"].alias("figures"))
+
+
+@_query
+def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", (k * 2).alias("api_calls"), (k * 1000).alias("total_tokens"), (k * 600).alias("prompt_tokens"), (k * 400).alias("completion_tokens"), F.when(k % 2 == 0, (k / 8).cast("decimal(18,8)")).alias("estimated_cost"), (k % 3).alias("calls_missing_usage"))
+    return rows.select("n_nationkey", usage.usage_line("EUR").alias("line"))
+
+
+# ---- links, tables as hiding places, blocks of figures
+
+
+@_query
+def linkified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each page's first line as a link that lies on it."""
+    blocks = _blocks(spark, sf_dir).where("seq < 2")
+    first = blocks.where("seq = 0").where(X.word_count(F.col("text")) >= 2)
+    links = first.select("doc_id", "page_num", F.lit(0).alias("link_seq"), "x0", "y0", "x1", "y1", X.first_words(F.col("text"), 2).alias("anchor"), F.concat(F.lit("u"), F.col("page_num").cast("string")).alias("uri"))
+    return structure.linkify(blocks, links).where("seq = 0").select("doc_id", "page_num", "text")
+
+
+def _grid_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as drawings on the four pages of the table candidates; every fifth is sloped."""
+    rows = adapters.boxes(read(spark, sf_dir, "part"), "p_partkey", doc="p_size", page="p_size").withColumn("doc_id", F.lit("d"))
+    return rows.withColumn("page_num", (F.col("page_num") % 4).cast("int")).withColumn("sloped", F.col("drawing_id") % 5 == 0)
+
+
+@_query
+def table_suppressors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.suppressors(_candidates(spark, sf_dir), _grid_drawings(spark, sf_dir)).select("page_num", "table_id")
+
+
+@_query
+def regions_off_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.off_tables(_regions(spark, sf_dir), _candidates(spark, sf_dir)).select("page_num", "region_index")
+
+
+@_query
+def region_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as blocks behind the texts of their pages."""
+    texts = _grid_drawings(spark, sf_dir).select("doc_id", "page_num", F.col("drawing_id").cast("int").alias("seq"), F.lit("text").alias("kind"), "x0", "y0", "x1", "y1")
+    return regions.as_blocks(_regions(spark, sf_dir).drop("height"), texts).where("kind = 'diagram'").select("page_num", "seq", "region_index")
+
+
+@_query
+def described_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagram blocks with descriptions, of which the last by seq counts, as parts of Markdown."""
+    k = F.col("n_nationkey")
+    base = read(spark, sf_dir, "nation").select(F.lit("d").alias("doc_id"), (k % 4 + 1).cast("int").alias("page_num"), k.cast("int").alias("region_index"), F.col("n_name").alias("name"))
+    blocks = base.select("doc_id", "page_num", F.col("region_index").alias("seq"), F.col("region_index").alias("pos"), F.lit("diagram").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("font_size"), F.lit(False).alias("bold"), F.lit(None).cast("int").alias("xref"), "region_index", F.lit(None).cast("array<array<string>>").alias("cells"), *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    told = lambda seq, text: base.select("doc_id", "page_num", F.lit("diagram").alias("kind"), F.col("region_index").alias("ref"), text.alias("text"), F.lit(seq).alias("seq"))
+    said = told(2, F.when(F.col("region_index") % 5 == 0, "[skip]").otherwise(F.concat("name", F.lit("\n\nand more")))).unionByName(told(1, F.lit("old")))
+    return output.block_parts(blocks, None, said).select("page_num", "region_index", "part")
+
+
+@_query
+def image_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as images of scanned pages, a third of them without a place."""
+    k = F.col("p_partkey")
+    placed = lambda c: F.when(k % 3 != 0, c.cast("double"))
+    rows = read(spark, sf_dir, "part").select(F.lit("d").alias("doc_id"), F.col("p_size").cast("int").alias("page_num"), k.cast("int").alias("idx"), placed(k * 37 % 50).alias("x0"), placed(k * 91 % 70).alias("y0"))
+    return layout.ocr_image_order(rows).select("page_num", "idx", "pos")
+
+
+@_query
+def box_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _regions(spark, sf_dir).alias("a").join(_candidates(spark, sf_dir).alias("b"), (F.col("a.page_num") == F.col("b.page_num")) & G.meets(G.box("a"), G.box("b")))
+    return rows.select("a.region_index", "b.table_id", *[c.alias(n) for c, n in zip(G.clipped(G.union_of(G.box("a"), G.box("b")), F.lit(300.0), F.lit(400.0)), ("x0", "y0", "x1", "y1"))])
+
+
+# ---- cache and descriptions beside the replay
+
+
+@_query
+def lookup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day after half of the log: which keys, and one that was never put, are still there?"""
+    entries = _entries(spark, sf_dir)
+    now = entries.agg(F.percentile("last_accessed", 0.5).alias("now"))
+    asked = entries.select("key").unionByName(entries.select(F.concat("key", F.lit("?")).alias("key")).limit(0))
+    asked = asked.unionByName(read(spark, sf_dir, "nation").select(F.concat(F.lit("none"), "n_nationkey").alias("key")))
+    rows = asked.join(F.broadcast(now)).withColumn("now", F.col("now") + 86_400)
+    return cache.lookups(rows, entries, 86_400.0).select("key", "outcome")
+
+
+@_query
+def cache_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.sizes(_entries(spark, sf_dir))
+
+
+@_query
+def purged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read(spark, sf_dir, "nation").select(F.concat(F.lit("d"), "n_nationkey").alias("doc_digest"))
+    return cache.purged(_entries(spark, sf_dir), asked)
+
+
+@_query
+def opened_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store some of whose rows cannot be: without a key, too small, or older than themselves."""
+    k = F.col("size")
+    rows = _entries(spark, sf_dir).withColumn("key", F.when(k % 7 != 0, F.col("key"))).withColumn("last_accessed", F.when(k % 5 == 0, 0.0).otherwise(F.col("last_accessed"))).withColumn("size", F.when(k % 11 == 0, -k).otherwise(k))
+    good, bad = cache.opened(rows, 3, 3)
+    return good.select("size", F.lit(True).alias("used")).unionByName(bad.select("size", F.lit(False).alias("used")))
+
+
+@_query
+def scoped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return rows.select("doc_id", *[describe.scoped_key(F.substring("digest", 1, 8), F.col("doc_id").cast("string"), share).alias(n) for n, share in (("shared", True), ("own", False))])
+
+
+@_query
+def stored_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of customers' orders over those that are known: whole ones replace truncated ones."""
+    orders = read(spark, sf_dir, "orders")
+    rows = orders.select((F.col("o_custkey") % 500).cast("string").alias("key"), F.when(F.col("o_orderkey") % 13 == 0, " ").otherwise(F.col("o_orderkey").cast("string")).alias("text"), (F.col("o_orderstatus") != "F").alias("truncated"), "o_orderkey")
+    return describe.stored(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1 and trim(text) <> ''").groupBy("key").agg(F.min("text").alias("text"), F.lit(True).alias("truncated")))
+
+
+@_query
+def flight_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests get what their leader got: a result, an error, or nothing in time."""
+    led = single_flight(spark, sf_dir)
+    ends = led.where("leads and leader % 5 <> 0").select("leader", F.concat(F.lit("r"), "leader").alias("result"), F.when(F.col("leader") % 3 == 0, "broken").alias("error"))
+    return cache.shared_outcomes(led, ends).select("request_id", "result", "error", "status")
+
+
+@_query
+def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as conversions of some hours each, two at a time with three waiting, for each of ten users."""
+    e = read(spark, sf_dir, "events")
+    rows = e.select((F.col("user_id") % 10).cast("string").alias("store"), F.unix_timestamp("ts").cast("double").alias("ts"), (F.col("event_id") % 50 * 3600.0).alias("seconds"), F.col("event_id").alias("request_id"))
+    return cache.admitted(rows, 2, 3).select("request_id", "start", "status")
+
+
+@_query
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figs = read(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return describe.summaries(leading_sample(spark, sf_dir), figs, describe.fake_model)
+
+
+# ---- files
+
+
+@_query
+def zip_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What archives with some members are."""
+    k = F.col("s_suppkey")
+    members = (["!epub", "mimetype"], ["word/document.xml", "a.png"], ["xl/workbook.xml"], ["ppt/slides/slide1.xml"], ["Documents/1/FixedDoc.fdoc", "x.fdseq"], ["01.JPG", "more/", "more/02.webp"], ["01.jpg", "notes.txt"], ["empty/"])
+    names = F.element_at(F.array(*[F.array(*map(F.lit, m)) for m in members]), (k % len(members) + 1).cast("int"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", formats.zip_kind(names).alias("kind"))
+
+
+@_query
+def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files from small to too large, under names that are right, wrong and missing."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ("a.pdf", "a.epub", "a", "a.xyz"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, "pdf").alias("found"), (F.col("c_custkey") * 100_000).alias("size"))
+    return formats.gated(rows, "name", formats.NATIVE).select("c_custkey", "refusal", "status")
+
+
+@_query
+def spreadsheet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.exploded_sheets(read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id")), 50)
+
+
+@_query
+def data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To a data URI and back, some of them broken on the way."""
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", X.data_uri(F.lit("image/png"), F.col("n_name").cast("binary")).alias("uri"))
+    rows = rows.withColumn("uri", F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("https://host/"), "uri")).otherwise(F.col("uri")))
+    return rows.select("n_nationkey", "uri", formats.data_uri_bytes(F.col("uri")).cast("string").alias("bytes"))
+
+
+@_query
+def collected_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures with the files that are there."""
+    k = F.col("p_partkey")
+    part = read(spark, sf_dir, "part")
+    figs = part.select(F.lit("d").alias("doc_id"), k.alias("id"), F.concat(F.lit("images/"), k.cast("string")).alias("path"), (k % 4 == 0).alias("skipped"))
+    files = part.where("p_partkey % 3 <> 0").select(F.lit("d").alias("doc_id"), F.concat(F.lit("images/"), k.cast("string")).alias("path"), F.col("p_name").cast("binary").alias("content"), F.col("p_size").alias("width_px"), F.lit(None).cast("int").alias("height_px"))
+    return figures.collected_images(figs, files).select("id", F.md5("content").alias("content"), "width_px", "height_px")
+
+
+# ---- words and cells
+
+
+@_query
+def clean_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", F.array(F.array(F.concat(F.lit(" "), "n_name", F.lit("\u00a0\n x ")), F.lit(None).cast("string")), F.array(F.lit("\t"))).alias("cells"))
+    return rows.select("n_nationkey", F.to_json(X.clean_grid(F.col("cells"))).alias("cells"))
+
+
+@_query
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, (" Swedish.", "GERMAN", "french\n", "Klingon", "..", "Portuguese")))
+    name = F.element_at(names, (F.col("n_nationkey") % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", X.language_name(name).alias("name"), X.language_code(X.language_name(name)).alias("code"))
+
+
+@_query
+def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in lines of orders, with dashes of any sort for a minus."""
+    text = F.concat(F.lit("total "), F.format_string("%,.2f", "o_totalprice"), F.lit(" change −"), F.col("o_custkey").cast("string"), F.lit(" on "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(X.numeric_tokens(text), " ").alias("numbers"), X.is_numeric_cell(F.format_string("(%,.2f)", "o_totalprice")).alias("cell"))
+
+
+@_query
+def row_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two readings of the orders that are only in one, counted."""
+    orders = read(spark, sf_dir, "orders")
+    left = orders.where("o_orderkey % 3 <> 0").select("o_custkey", "o_orderstatus")
+    right = orders.where("o_orderkey % 2 = 0").select("o_custkey", "o_orderstatus")
+    return evaluation.symmetric_difference(left, right).groupBy("o_custkey", "o_orderstatus", "side").agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_pages, n_blocks, markdown): documents laid out, read in order, structured and rendered."""
     blocks = adapters.doc_blocks(read(spark, sf_dir, "documents"))

@@ -25,7 +25,7 @@ OP = T.StructType([_f("op", S), _f("ax", D), _f("ay", D), _f("bx", D), _f("by",
 FILES = _table(_DOC, _f("path", S), _f("format", S), _f("content", T.BinaryType()), _f("size", L))
 PAGES = _table(_DOC, _PAGE, _f("is_ocr", B), _f("width", D), _f("height", D), _f("ocr_text", S))
 BLOCKS = _table(_DOC, _PAGE, _f("seq", I), _f("kind", S), _BOX, _f("text", S), _f("font_size", D), _f("bold", B), _f("xref", I), _f("region_index", I), _f("cells", T.ArrayType(T.ArrayType(S))))
-DRAWINGS = _table(_DOC, _PAGE, _f("drawing_id", I), _BOX, _f("ops", T.ArrayType(OP)))
+DRAWINGS = _table(_DOC, _PAGE, _f("drawing_id", L), _BOX, _f("ops", T.ArrayType(OP)))
 IMAGE_RESOURCES = _table(_DOC, _PAGE, _f("idx", I), _f("xref", I), _f("width", I), _f("height", I), _f("ext", S), _f("content", T.BinaryType()))
 IMAGE_DRAWS = _table(_DOC, _PAGE, _f("draw_seq", I), _f("xref", I), _BOX)
 TABLE_CANDIDATES = _table(_DOC, _PAGE, _f("table_id", I), _BOX, _f("cells", T.ArrayType(T.ArrayType(S))))

@@ -59,4 +59,4 @@ def boxes(rows: DataFrame, key: str, *, doc: str, page: str) -> DataFrame:
     """Boxes from a table of numbers: key spreads the left edge, page and doc group them."""
     k = F.col(key)
     x0, y0 = (k * 37 % 500).cast("double"), (k * 91 % 700).cast("double")
-    return rows.select(F.col(doc).cast("string").alias("doc_id"), F.col(page).cast("int").alias("page_num"), k.cast("int").alias("drawing_id"), x0.alias("x0"), y0.alias("y0"), (x0 + k % 29 + 1).alias("x1"), (y0 + k % 23 + 1).alias("y1"))
+    return rows.select(F.col(doc).cast("string").alias("doc_id"), F.col(page).cast("int").alias("page_num"), k.cast("long").alias("drawing_id"), x0.alias("x0"), y0.alias("y0"), (x0 + k % 29 + 1).alias("x1"), (y0 + k % 23 + 1).alias("y1"))

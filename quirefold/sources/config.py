@@ -27,7 +27,7 @@ class Settings:
 
     def shaping(self) -> tuple[str, ...]:
         """Every setting that can change an answer, as strings: part of each cache key."""
-        return tuple(str(x) for x in (self.model, self.prompt, self.language, self.temperature, self.significance, self.words_before, self.words_after))
+        return tuple(str(x) for x in (self.model, self.base_url, self.prompt, self.language, self.temperature, self.significance, self.words_before, self.words_after, self.sample_words))
 
 
 def _required(tree: dict, dotted: str) -> Any:

@@ -56,7 +56,7 @@ def test_records_and_payloads(spark):
     rows = convert.records(doc, done, calls, made([("d", "English")], "doc_id string, language string"), settings)
     r = rows.first()
     assert (r.page_count, r.figure_count, r.language, r.total_tokens, float(r.estimated_cost), r.currency) == (5, 6, "English", 15, 0.02, "EUR")
-    back = convert.from_payload(convert.to_payload(rows)).first()
+    back = convert.from_payload(convert.to_payload(rows, settings)).first()
     assert back.asDict() == {k: r[k] for k in back.asDict()}
     for form in ("md", "json", "both"):
         assert "<!-- page 1 -->" in output.response(rows, form).first().payload
@@ -84,3 +84,22 @@ def test_settings(tmp_path):
         path.write_text(bad)
         with pytest.raises(ValueError):
             load(path)
+
+
+def test_settings_shape_the_key(spark):
+    docs = spark.createDataFrame([("abc",)], "doc_id string")
+    base = Settings("m", "u", "Describe.")
+    key = lambda s, version="1": docs.select(convert.document_key(docs["doc_id"], s, version)).first()[0]
+    assert key(base) == key(Settings("m", "u", "Describe.", currency="EUR", input_token_price=1.0, output_token_price=1.0))
+    others = [Settings("n", "u", "Describe."), Settings("m", "v", "Describe."), Settings("m", "u", "Say."), Settings("m", "u", "Describe.", language="French"), Settings("m", "u", "Describe.", significance=True), Settings("m", "u", "Describe.", words_before=1), Settings("m", "u", "Describe.", sample_words=5)]
+    keys = [key(s) for s in others] + [key(base, "2")]
+    assert len({key(base), *keys}) == len(keys) + 1 and all(k.startswith(("doc1-abc-", "doc2-abc-")) for k in keys)
+
+
+def test_converted_documents_have_links(spark):
+    doc = document(spark)
+    block = doc.blocks.where("kind = 'text' and length(trim(text)) > 3").orderBy("doc_id", "page_num", "seq").first()
+    word = block.text.split()[0]
+    doc.links = spark.createDataFrame([(block.doc_id, block.page_num, 0, block.x0, block.y0, block.x1, block.y1, word, "https://a.example")], schemas.LINKS)
+    blocks, _ = convert.page_blocks(doc)
+    assert blocks.where(f"contains(text, '[{word}](https://a.example)')").count() == 1
