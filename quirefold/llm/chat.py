@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quirefold.llm.common import batches, discard, groups, in_arrow, materialise, type_of
+from quirefold.llm.common import batches, discard, groups, in_arrow, materialise, quoted, type_of
 
 #: Speaker words of line markers, by the role that they announce; learnt roles announce themselves.
 MARKERS = {
@@ -74,6 +74,18 @@ def features(lines: list[str], number: int, position: int) -> list[int]:
     return [1, min(6, len(lines).bit_length()), max(0, size), length, int(line.rstrip().endswith("?")), int(bool(_LISTED.match(line))), min(2, position)]
 
 
+def encoded(text: str | None, roles: tuple[str, ...]) -> np.ndarray:
+    """(lines, 7) numbers, all that the model reads of a row: the role that the line's marker announces (0: none, 1 on:
+    a role, beyond: one that was not learnt), and the features that do not depend on the row's place."""
+    lines = (text or "").split("\n")
+    out = np.empty((len(lines), 7), dtype=np.uint16)
+    for number, line in enumerate(lines):
+        told, _ = marker(line, roles)
+        out[number, 0] = 0 if told is None else roles.index(told) + 1 if told in roles else len(roles) + 1
+        out[number, 1:] = features(lines, number, 0)[:6]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     roles: tuple[str, ...]
@@ -82,17 +94,22 @@ class Model:
     #: (roles + 1, roles) log chances at the start of a row or at a marker; the last row is the start.
     turns: np.ndarray
 
-    def steps(self, text: str | None, position: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(transitions, emissions) of each line of a row."""
-        lines = (text or "").split("\n")
-        stay = np.full((len(self.roles) + 1, len(self.roles)), math.log(DRIFT / max(1, len(self.roles) - 1)))
+    def steps(self, row: str | np.ndarray | None, position: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(transitions, emissions) of each line of a row, a text or its encoded() form."""
+        codes = row if isinstance(row, np.ndarray) else encoded(row, self.roles)
+        count = len(self.roles)
+        stay = np.full((count + 1, count), math.log(DRIFT / max(1, count - 1)))
         np.fill_diagonal(stay, math.log1p(-DRIFT))
-        for number, line in enumerate(lines):
-            told, _ = marker(line, self.roles)
-            score = sum(self.emissions[f][v] for f, v in enumerate(features(lines, number, position)))
-            marks = self.emissions[_MARKER]
-            score = score + (marks[0] if told is None else np.where(np.array(self.roles) == told, marks[1], marks[2]))
-            yield (self.turns if not number or told is not None else stay), score
+        place = np.full(len(codes), 3)
+        place[0] = min(2, position)
+        score = self.emissions[6][place]
+        for f in range(6):
+            score = score + self.emissions[f][codes[:, f + 1]]
+        told = codes[:, 0].astype(int)
+        marks = self.emissions[_MARKER]
+        score = score + np.where((told == 0)[:, None], marks[0], np.where(told[:, None] == np.arange(1, count + 1), marks[1], marks[2]))
+        for number in range(len(codes)):
+            yield (self.turns if not number or told[number] else stay), score[number]
 
 
 def _after(matrix: np.ndarray, moves: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -100,7 +117,7 @@ def _after(matrix: np.ndarray, moves: np.ndarray, score: np.ndarray) -> np.ndarr
     return (matrix[:, :, None] + moves[None, : matrix.shape[1], :]).max(axis=1) + score[None, :]
 
 
-def transfer(model: Model, rows: Iterable[tuple[str | None, int]]) -> np.ndarray:
+def transfer(model: Model, rows: Iterable[tuple[str | np.ndarray | None, int]]) -> np.ndarray:
     """(roles + 1, roles): the best score of a chunk's lines by role before it (last: none) and role at its end."""
     matrix = None
     for text, position in rows:
@@ -109,7 +126,7 @@ def transfer(model: Model, rows: Iterable[tuple[str | None, int]]) -> np.ndarray
     return matrix
 
 
-def decode(model: Model, rows: list[tuple[str | None, int]], entry: int, leave: int | None) -> list[list[int]]:
+def decode(model: Model, rows: list[tuple[str | np.ndarray | None, int]], entry: int, leave: int | None) -> list[list[int]]:
     """The best role of each line of each row, given the role before the chunk and, unless None, at its end."""
     value, back, sizes = None, [], []
     for text, position in rows:
@@ -143,60 +160,68 @@ def render(role: str, content: str) -> str:
     return f"<|{role}|>\n{content.strip().replace('<|', '< |')}\n<|end|>\n"
 
 
+def _coded(source: Iterable[pa.RecordBatch], roles: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is a text become rows with its encoded() form there."""
+    for batch in source:
+        codes = pa.array([encoded(t, roles).tobytes() for t in batch.columns[-1].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], codes], names=[*batch.schema.names[:-1], "codes"])
+
+
+def _numbers(codes: bytes) -> np.ndarray:
+    return np.frombuffer(codes, dtype=np.uint16).reshape(-1, 7)
+
+
 def _counted(source: Iterable[pa.RecordBatch], roles: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Counts (feature, value, role) and, as feature -1, (role before, role) within chunks, of sorted rows
-    (conv, wide, turn, mark, role, text)."""
+    (conv, wide, turn, mark, role, codes)."""
     number = {r: k for k, r in enumerate(roles)}
     counts: Counter[tuple[int, int, int]] = Counter()
     for (_, wide), rows in groups(source, 2):
         before = None
-        for position, (_, _, role, text) in enumerate(rows):
+        for position, (_, _, role, codes) in enumerate(rows):
             k = number[role]
             if before is not None:
                 counts[-1, before, k] += 1
-            lines = (text or "").split("\n")
-            for i, line in enumerate(lines):
-                for f, v in enumerate(features(lines, i, position if wide == 0.0 else 2)):
+            for i, line in enumerate(_numbers(codes).tolist()):
+                for f, v in enumerate((*line[1:], 3 if i else min(2, position if wide == 0.0 else 2))):
                     counts[f, v, k] += 1
-                told, _ = marker(line, roles)
-                counts[_MARKER, 0 if told is None else 1 if told == role else 2, k] += 1
+                counts[_MARKER, 0 if not line[0] else 1 if line[0] == k + 1 else 2, k] += 1
             before = k
     yield from batches({"feature": pa.int32(), "value": pa.int32(), "role": pa.int32(), "n": pa.int64()}, ((*k, n) for k, n in counts.items()))
 
 
-def _chunked(turns: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
-    """(conv, turn, mark, chunk, copies, text): distinct rows, in chunks of about CHUNK turns each.
+def _chunked(rows: DataFrame) -> DataFrame:
+    """(conv, turn, mark, codes, copies) with spot and the chunk, (wide, at, part), of about CHUNK turns each.
 
     The order is that of turn (null last) and, within a turn, of a hash of the text, mark.  A
     chunk covers CHUNK numbers of turns; where very many texts share them, turns and ranges of
     marks get chunks of their own.
     """
-    rows = turns.groupBy(F.col(conv_col).alias("conv"), F.col(turn_col).cast("double").alias("at"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text")).agg(F.count("*").alias("copies"))
-    wide = F.when(F.col("at").isNull(), F.lit(float("inf"))).otherwise(F.floor(F.col("at") / CHUNK).cast("double"))
-    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("wide", wide)
-    held = rows.groupBy("conv", "wide").agg(F.count("*").alias("held"))
-    crowded = held.where(F.col("held") > 8 * CHUNK)
-    rows = rows.alias("r").join(crowded.alias("c"), F.col("r.conv").eqNullSafe(F.col("c.conv")) & (F.col("r.wide") == F.col("c.wide")), "left")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("held") / CHUNK)).cast("double")
-    fine = F.struct(F.coalesce("at", F.lit(float("inf"))).alias("at"), F.floor((F.col("mark").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * parts).cast("double").alias("part"))
-    none = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("part"))
-    chunk = F.struct(F.col("r.wide").alias("wide"), F.when(F.col("held").isNull(), none).otherwise(fine).alias("fine"))
-    return rows.select(F.col("r.conv").alias("conv"), "turn", "mark", chunk.alias("chunk"), "copies", "text", "at")
+    far = F.lit(float("inf"))
+    rows = rows.withColumn("spot", F.coalesce(F.col("turn").cast("double"), far)).withColumn("wide", F.coalesce(F.floor(F.col("turn").cast("double") / CHUNK).cast("double"), far))
+    crowded = rows.groupBy("conv", "wide").agg(F.count("*").alias("held")).where(F.col("held") > 8 * CHUNK)
+    rows = rows.alias("r").join(crowded.alias("c"), F.col("r.conv").eqNullSafe(F.col("c.conv")) & (F.col("r.wide") == F.col("c.wide")), "left").select("r.*", "held")
+    parts = F.ceil(F.col("held") / CHUNK).cast("double")
+    part = F.floor((F.col("mark").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * parts).cast("double")
+    fine = lambda c: F.when(F.col("held").isNull(), F.lit(0.0)).otherwise(c)
+    return rows.select("conv", "wide", fine(F.col("spot")).alias("at"), fine(part).alias("part"), "spot", "turn", "mark", "copies", "codes")
 
 
 def learn(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """A model of all roles, from at most `sample` whole conversations, those with the smallest hashes; None without
     roles.  Tasks count chunks of CHUNK turns, whose first and last roles give the changes between them; only
     counts of a fixed number of features leave the tasks."""
-    labelled = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("double").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).where("conv is not null and turn is not null and role is not null")
+    labelled = turns.select(quoted(conv_col).alias("conv"), quoted(turn_col).cast("double").alias("turn"), quoted(role_col).alias("role"), quoted(text_col).alias("text")).where("conv is not null and turn is not null and role is not null")
     names = [r["role"] for r in labelled.select("role").distinct().collect()]
     if not names:
         return None
     roles = tuple(sorted(names))
     chosen = labelled.groupBy("conv").agg(F.min("turn").alias("first")).orderBy(F.xxhash64("conv"), "conv").limit(sample)
-    rows = labelled.join(F.broadcast(chosen), "conv").dropDuplicates(["conv", "turn", "role", "text"])
     wide = F.floor((F.col("turn") - F.col("first")) / CHUNK).cast("double")
-    rows = rows.select("conv", wide.alias("wide"), "turn", F.xxhash64("text").alias("mark"), "role", "text")
+    rows = labelled.join(F.broadcast(chosen), "conv").select("conv", wide.alias("wide"), "turn", F.xxhash64("text").alias("mark"), "role", "text")
+    # Only the numbers that the model reads cross the cluster, not the texts.
+    shape = f"conv {type_of(labelled, 'conv')}, wide double, turn double, mark long, role string, codes binary"
+    rows = materialise(rows.transform(in_arrow, partial(_coded, roles=roles), shape).dropDuplicates(["conv", "turn", "role", "mark"]), "labelled")
     place = F.struct("turn", "mark", "role")
     ends = rows.groupBy("conv", "wide").agg(F.min_by("role", place).alias("enter"), F.max_by("role", place).alias("leave"))
     ends = ends.select("enter", F.lag("leave").over(Window.partitionBy("conv").orderBy("wide")).alias("before")).groupBy("before", "enter").agg(F.count("*").alias("n"))
@@ -210,6 +235,7 @@ def learn(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     number = {r: k for k, r in enumerate(roles)}
     for r in ends.collect():
         moves[len(roles) if r["before"] is None else number[r["before"]], number[r["enter"]]] += r["n"]
+    discard(rows)
     logs = tuple(np.log(e / e.sum(axis=0)) for e in emissions)
     return Model(roles, logs, np.log(moves / moves.sum(axis=1, keepdims=True)))
 
@@ -217,7 +243,7 @@ def learn(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
 def _transfers(source: Iterable[pa.RecordBatch], model: Model, columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for key, held in groups(source, 4):
-            yield *key, transfer(model, [(r[3], _position(key, i)) for i, r in enumerate(held)]).ravel().tolist()
+            yield *key, transfer(model, [(_numbers(r[2]), _position(key, i)) for i, r in enumerate(held)]).ravel().tolist()
 
     yield from batches(columns, rows())
 
@@ -257,15 +283,26 @@ def _chained(source: Iterable[pa.RecordBatch], roles: int, forward: bool, column
     yield from batches(columns, rows())
 
 
-def _parsed(source: Iterable[pa.RecordBatch], model: Model, columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (conv, chunk, turn, mark, copies, text, entry, leave) become turns."""
+def _decoded(source: Iterable[pa.RecordBatch], model: Model, columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (chunk, spot, mark, turn, copies, codes, entry, leave) become (conv, turn, mark, copies, labels)."""
 
     def rows() -> Iterator[tuple]:
         for key, held in groups(source, 4):
-            entry, leave = held[0][5], held[0][6]
-            labels = decode(model, [(r[4], _position(key, i)) for i, r in enumerate(held)], entry, leave)
-            for (_, turn, _, copies, text, *_), roles in zip(held, labels):
-                yield from ((key[0], turn, part, model.roles[k], content, render(model.roles[k], content), copies) for part, (k, content) in enumerate(_parts(text, roles, model.roles)))
+            labels = decode(model, [(_numbers(r[4]), _position(key, i)) for i, r in enumerate(held)], held[0][5], held[0][6])
+            for (_, mark, turn, copies, *_), roles in zip(held, labels):
+                yield key[0], turn, mark, copies, np.array(roles, dtype=np.uint16).tobytes()
+
+    yield from batches(columns, rows())
+
+
+def _parsed(source: Iterable[pa.RecordBatch], model: Model, columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv, turn, text, labels, copies) become turns."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in source:
+            for conv, turn, text, labels, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                roles = np.frombuffer(labels, dtype=np.uint16).tolist()
+                yield from ((conv, turn, part, model.roles[k], content, render(model.roles[k], content), copies) for part, (k, content) in enumerate(_parts(text, roles, model.roles)))
 
     yield from batches(columns, rows(), 2000)
 
@@ -291,10 +328,13 @@ def parse(turns: DataFrame, model: Model | None, conv_col: str = "conv_id", turn
     copies; a null text is one empty line, a null conversation is a conversation.  Roles in the input
     are not read.  Without a model everything has role unknown.
 
-    A conversation is cut into chunks.  The first pass gives each chunk's table of best scores from the
+    Each row is first put into the numbers that the model reads of its lines, and these, not the texts, are
+    cut into chunks.  The first pass gives each chunk's table of best scores from the
     role before to the role at its end; two streams over these small tables settle the roles at all borders;
-    the last pass decodes the chunks independently.  That equals one Viterbi over the whole
-    conversation, however long, and no task holds more than a chunk.
+    then the chunks are decoded independently.  That equals one Viterbi over the whole
+    conversation, however long, and no task holds more than a chunk.  Texts cross the cluster once, to meet their labels.
+    Texts of one turn are told apart by a 64-bit hash.  Very long texts are read whole, an empty table gives no rows, and
+    other columns are ignored, whatever their names.
     """
     if model is None:
         model = Model(("unknown",), tuple(np.zeros((size, 1)) for size in _SIZES), np.zeros((2, 1)))
@@ -305,9 +345,11 @@ def parse(turns: DataFrame, model: Model | None, conv_col: str = "conv_id", turn
     keys = list(where)
     count = len(model.roles)
 
-    rows = materialise(_chunked(turns, conv_col, turn_col, text_col), "chunk")
-    listed = rows.select("conv", F.col("chunk.wide").alias("wide"), F.col("chunk.fine.at").alias("at"), F.col("chunk.fine.part").alias("part"), F.coalesce(F.col("at"), F.lit(float("inf"))).alias("spot"), "turn", "mark", "copies", "text")
-    placed = listed.select(*keys, "spot", "turn", "mark", "text").repartition(*keys).sortWithinPartitions(*keys, "spot", "mark")
+    source = turns.select(quoted(conv_col).alias("conv"), quoted(turn_col).alias("turn"), F.xxhash64(quoted(text_col)).alias("mark"), quoted(text_col).cast("string").alias("text"))
+    coded = source.transform(in_arrow, partial(_coded, roles=model.roles), f"conv {conv}, turn {turn}, mark long, codes binary")
+    coded = coded.groupBy("conv", "turn", "mark").agg(F.count("*").alias("copies"), F.first("codes").alias("codes"))
+    rows = materialise(_chunked(materialise(coded, "codes")), "chunk")
+    placed = rows.select(*keys, "spot", "mark", "codes").repartition(*keys).sortWithinPartitions(*keys, "spot", "mark")
     tables = placed.transform(in_arrow, partial(_transfers, model=model, columns={**where, "table": pa.list_(pa.float64())}), f"{shape}, `table` array<double>")
     forward = tables.repartition("conv").sortWithinPartitions(*keys)
     columns = {**where, "table": pa.list_(pa.float64()), "before": pa.list_(pa.float64())}
@@ -318,8 +360,14 @@ def parse(turns: DataFrame, model: Model | None, conv_col: str = "conv_id", turn
     discard(forward)
 
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    joined = listed.alias("r").join(borders.alias("b"), same).select("r.*", "entry", "leave")
-    joined = joined.select(*keys, "spot", "turn", "mark", "copies", "text", "entry", "leave").repartition(*keys).sortWithinPartitions(*keys, "spot", "mark")
+    joined = rows.alias("r").join(borders.alias("b"), same).select("r.*", "entry", "leave")
+    joined = joined.select(*keys, "spot", "mark", "turn", "copies", "codes", "entry", "leave").repartition(*keys).sortWithinPartitions(*keys, "spot", "mark")
+    columns = {"conv": conv_type, "turn": turn_type, "mark": pa.int64(), "copies": pa.int64(), "labels": pa.binary()}
+    labelled = joined.transform(in_arrow, partial(_decoded, model=model, columns=columns), f"conv {conv}, turn {turn}, mark long, copies long, labels binary")
+    # One aggregation brings texts and labels together; copies of a text shrink to one in the tasks.
+    none = lambda kind: F.lit(None).cast(kind)
+    met = source.select("conv", "turn", "mark", "text", none("binary").alias("labels"), none("long").alias("copies")).unionByName(labelled.withColumn("text", none("string")))
+    met = met.groupBy("conv", "turn", "mark").agg(F.first("text", True).alias("text"), F.first("labels", True).alias("labels"), F.max("copies").alias("copies"))
     columns = {"conv": conv_type, "turn": turn_type, "part": pa.int32(), "role": pa.string(), "content": pa.string(), "rendered": pa.string(), "copies": pa.int64()}
-    out = joined.transform(in_arrow, partial(_parsed, model=model, columns=columns), f"conv {conv}, turn {turn}, part int, role string, content string, rendered string, copies long")
+    out = met.select("conv", "turn", "text", "labels", "copies").transform(in_arrow, partial(_parsed, model=model, columns=columns), f"conv {conv}, turn {turn}, part int, role string, content string, rendered string, copies long")
     return out.withColumnsRenamed({"conv": conv_col, "turn": turn_col})
