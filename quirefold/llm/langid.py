@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batches, in_arrow, quoted, type_of
+from quirefold.llm.common import batches, in_arrow, merged, quoted, type_of
 
 #: Documents of each language that a model learns from at most (in expectation; by a hash of the id).
 SAMPLE = 5_000
@@ -29,6 +29,8 @@ SCRIPT_SHARE = 0.01
 CELLS, CACHE_CELLS, CACHE_CHARS = 2_000_000, 4_000_000, 64
 #: Characters of a text, about, that are cut into words at a time.
 PIECE = 500_000
+#: Bytes of texts, about, that are decoded together: a step of the Viterbi pass costs the same for few texts and many.
+TOGETHER = 20 << 20
 
 # Unicode code point ranges of scripts.
 SCRIPTS = (
@@ -320,6 +322,11 @@ def _spans(text: str, lettered: np.ndarray, labels: np.ndarray, names: tuple[str
     told = labels[real]
     cuts = np.flatnonzero(told[1:] != told[:-1]) + 1
     first, last = real[np.concatenate([[0], cuts])], real[np.concatenate([cuts - 1, [len(real) - 1]])]
+    if not len(cuts):  # one run, as in most texts: its ends are near those of the text
+        start = next(itertools.islice(re.finditer(r"\S+", text), int(real[0]), None)).start()
+        after = len(lettered) - 1 - int(real[-1])
+        stop = len(text.rsplit(None, after)[0] if after else text.rstrip())
+        return [{"start": start, "stop": stop, "lang": names[int(told[0])]}]
     # Only the words at the ends of runs need their places.
     wanted = sorted({*first.tolist(), *last.tolist()})
     places: dict[int, tuple[int, int]] = {}
@@ -337,7 +344,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("
 def _predicted(source: Iterable[pa.RecordBatch], model: Model, spans: bool) -> Iterator[pa.RecordBatch]:
     words = _Words(model)
     names = model.languages
-    for batch in source:
+    for batch in merged(source, TOGETHER):
         texts = batch.column(1).to_pylist()
         langs, scores, found = [], [], []
         for text, (lettered, labels) in zip(texts, _labelled(texts, words)):

@@ -37,6 +37,8 @@ SUPPORT = 3
 FILTER_BITS = 1 << 22
 #: Terms remembered per worker, and the longest that are (bounds its memory, not the result).
 CACHE_TERMS, CACHE_CHARS = 200_000, 64
+#: Terms whose counts a task holds before it hands them on.
+COUNTED = 200_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -154,15 +156,18 @@ class _Wanted(dict):
 
 
 def _counted(source: Iterable[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
-    """(term, documents) of the wanted terms, summed over some hundreds of rows."""
+    """(term, documents) of the wanted terms, summed over a task's rows, as far as COUNTED terms go."""
     wanted = _Wanted(bits)
 
     def rows() -> Iterator[tuple]:
+        counts: Counter[str] = Counter()
         for batch in source:
-            counts: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 counts.update(t for t in set(_TERM.findall((text or "").lower())) if wanted[t])
-            yield from counts.items()
+            if len(counts) > COUNTED:
+                yield from counts.items()
+                counts.clear()
+        yield from counts.items()
 
     yield from batches({"term": pa.string(), "documents": pa.int64()}, rows(), 20_000)
 
