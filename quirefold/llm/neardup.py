@@ -26,8 +26,8 @@ PERCENT = 75
 ESTIMATE, ESTIMATE_FEW, FEW = 0.60, 0.35, 64
 #: Pairs that a task gathers before it deals them out for verification.
 GATHER = 200_000
-#: Bits of the filter that keeps most texts from crossing the cluster; when it fills up, more cross
-#: than are needed, never less.
+#: Bits of the filters that keep most band keys and texts from crossing the cluster; when one fills up, more
+#: cross than are needed, never less.
 FILTER_BITS = 1 << 24
 #: Rows of a bucket that one block holds; larger buckets are dealt out as pairs of blocks.
 BLOCK = 2048
@@ -212,8 +212,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     nodes = materialise(sketches.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.first("sig").alias("sig")), "node")
 
     banded = nodes.select("node", "sig").transform(in_arrow, _bands, "key long, node long")
-    shared = banded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
-    members = materialise(banded.join(shared, "key"), "member")
+    shared = materialise(banded.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1"), "shared")
+    # Most keys have one node; the bitmap keeps nearly all of them from crossing the cluster again.
+    likely = marked(banded.select(F.col("key").alias("rid"), "node"), shared.select(F.col("key").alias("rid"))).withColumnRenamed("rid", "key")
+    members = materialise(likely.join(shared, "key"), "member")
 
     found = members.select("node").distinct()
     many = found.count()
