@@ -38,6 +38,12 @@ def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
+def at_most_words(c: Column, n: int) -> Column:
+    """word_count(c) <= n, read no further than the word after the n-th."""
+    word = SPACE.replace("[", "[^", 1)
+    return c.rlike(rf"\A{SPACE}*+(?:{word}++{SPACE}*+){{0,{n}}}+\z")
+
+
 def first_words(c: Column, n: int) -> Column:
     return F.array_join(F.slice(words(c), 1, n), " ")
 
@@ -73,11 +79,9 @@ def shown(description: Column) -> Column:
 
 def list_item(c: Column) -> Column:
     """The block as a Markdown item if its first line starts with a bullet, else null."""
-    body = strip(c)
-    mark = f"^[{BULLETS}]{SPACE}+"
-    first = F.element_at(F.split(body, r"\R"), 1)
-    # White space after a bullet may be the line's end, which the split takes away.
-    return F.when(first.rlike(mark), F.concat(F.lit("- "), F.regexp_replace(squeeze(c), f"^[{BULLETS}] ", "")))
+    # White space after a bullet may not be the line's end.
+    blank = SPACE[:-1] + r"&&[^\n\x0b\x0c\r\x85\u2028\u2029]]"
+    return F.when(strip(c).rlike(f"^[{BULLETS}]{blank}"), F.concat(F.lit("- "), F.regexp_replace(squeeze(c), f"^[{BULLETS}] ", "")))
 
 
 def is_page_number(c: Column) -> Column:

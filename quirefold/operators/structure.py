@@ -35,7 +35,7 @@ def _is_short() -> Column:
     """Few words and lines, and wider than high: what a heading looks like, whatever its size."""
     lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     b = G.box()
-    return F.coalesce((F.col("kind") == "text") & (F.col("font_size") > 0) & (X.word_count(F.col("text")) <= HEADING_WORDS) & (lines <= HEADING_LINES) & (G.width(b) >= G.height(b)), F.lit(False))
+    return F.coalesce((F.col("kind") == "text") & (F.col("font_size") > 0) & (G.width(b) >= G.height(b)) & X.at_most_words(F.col("text"), HEADING_WORDS) & (lines <= HEADING_LINES), F.lit(False))
 
 
 def typography(blocks: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def heading_levels(blocks: DataFrame) -> DataFrame:
     for each smaller one, bold text of the body's size last, HEADING_LEVELS at most."""
     rows = blocks.join(typography(blocks), "doc_id")
     size, bold = F.col("font_size"), F.coalesce(F.col("bold"), F.lit(False))
-    heading = _is_short() & (F.col("body") > 0) & ((size > F.col("body")) | (bold & (size >= F.col("body"))))
+    heading = (F.col("body") > 0) & ((size > F.col("body")) | (bold & (size >= F.col("body")))) & _is_short()
     rank = F.when(size > F.col("body"), F.array_position("sizes", size)).otherwise(F.size("sizes") + 1)
     return rows.withColumn("level", F.when(heading, F.least(rank, F.lit(HEADING_LEVELS)).cast("int"))).drop("sizes")
 
