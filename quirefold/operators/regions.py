@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ TABLE_FILLED, SLOPED_IN_TABLE, ON_TABLE = 0.45, 3, 0.5
 LABEL_SHARE = 0.8
 #: Side of the cells by which near drawings find each other.
 CELL = 64.0
+#: Rows of clusters that a task hands on at once.
+BATCH = 10_000
 
 
 def usable_drawings(drawings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -62,9 +66,12 @@ def near_pairs(drawings: DataFrame, slack: float = REACH, cell: float = CELL) ->
     return pairs.select(F.col("a.doc_id"), F.col("a.page_num"), F.col("a.drawing_id").alias("a"), F.col("b.drawing_id").alias("b"))
 
 
-def _components(key: tuple, table: pa.Table) -> pa.Table:
-    """Union-find over one page's pairs; the component is the smallest id."""
+def _components(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs sorted by page -> (doc_id, page_num, drawing_id, cluster).  Union-find over one page at a time, whose
+    links are not kept; the component is the smallest id."""
     parent: dict[int, int] = {}
+    done: list[tuple] = []
+    page = None
 
     def root(x: int) -> int:
         while parent.setdefault(x, x) != x:
@@ -72,20 +79,31 @@ def _components(key: tuple, table: pa.Table) -> pa.Table:
             x = parent[x]
         return x
 
-    for x, y in zip(table["a"].to_pylist(), table["b"].to_pylist()):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    ids = sorted(parent)
-    doc, page = (k.as_py() for k in key)
-    return pa.table({"doc_id": pa.array([doc] * len(ids), pa.string()), "page_num": pa.array([page] * len(ids), pa.int32()), "drawing_id": pa.array(ids, pa.int64()), "cluster": pa.array([root(i) for i in ids], pa.int64())})
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*done)) or [()] * 4
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=[*PAGE, "drawing_id", "cluster"])
+
+    for pairs in source:
+        for *own, x, y in zip(*(pairs.column(k).to_pylist() for k in range(4))):
+            if own != page:
+                done.extend((*page, i, root(i)) for i in sorted(parent))  # none before the first page
+                parent.clear()
+                page = own
+                if len(done) >= BATCH:
+                    yield batch()
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    done.extend((*page, i, root(i)) for i in sorted(parent))
+    yield batch()
 
 
 def clusters(drawings: DataFrame, slack: float = REACH) -> DataFrame:
-    """drawings with cluster, the smallest id of those linked by nearness.  One page's pairs meet in a
+    """drawings with cluster, the smallest id of those linked by nearness.  One page's drawings meet in a
     task: a page is bounded by what a page can hold."""
-    pairs = near_pairs(drawings, slack)
-    found = pairs.groupBy(*PAGE).applyInArrow(_components, "doc_id string, page_num int, drawing_id long, cluster long")
+    pairs = near_pairs(drawings, slack).repartition(*PAGE).sortWithinPartitions(*PAGE)
+    found = pairs.mapInArrow(_components, "doc_id string, page_num int, drawing_id long, cluster long")
     return drawings.join(found, [*PAGE, "drawing_id"], "left").withColumn("cluster", F.coalesce("cluster", "drawing_id"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
-from quirefold.operators import cache, describe, evaluation, figures, output, pages
+from quirefold.operators import cache, describe, evaluation, figures, output, pages, regions
 
 
 def test_long_lines_take_linear_time(spark):
@@ -125,3 +125,30 @@ def test_response_of_a_long_document(spark):
     blocks = blocks.withColumns({"xref": F.lit(None).cast("int"), "region_index": F.lit(None).cast("int"), "cells": F.lit(None).cast("array<array<string>>")})
     sheets = spark.createDataFrame([("d", 1, False, 10.0, 10.0, None)], "doc_id string, page_num int, is_ocr boolean, width double, height double, ocr_text string")
     assert output.to_markdown(blocks, sheets).first().markdown == "<!-- page 1 -->" + "\n\nx" * 20 + "\n"
+
+
+def test_at_most_words_is_the_count(spark):
+    texts = ["", " ", "a", " a\x1cb ", "w " * 18, "w " * 19, " ".join("w" * 18), "w" * 1_000_000, "w " * 500_000, " " * 1_000_000]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = rows.select(X.at_most_words(F.col("t"), 18).alias("few"), (X.word_count(F.col("t")) <= 18).alias("counted")).collect()
+    assert [r.few for r in got[:-1]] == [r.counted for r in got[:-1]] == [True, True, True, True, True, False, True, True, False, True]
+    assert not got[-1].few
+
+
+def test_a_bullet_needs_a_blank_in_its_line(spark):
+    texts = {"•\nx": None, "•\r\nx": None, "• x": None, "• \nx": "- x", "•\xa0x": "- x", "•\tx\ny": "- x y", "•": None, "\n • x": "- x", "•x": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.list_item(F.col("t")).alias("item")).collect()
+    assert {r.t: r.item for r in rows} == texts
+
+
+def test_components_of_many_pages_in_few_tasks(spark):
+    """Pages that share a task, ids that recur on other pages, and a page of one long chain."""
+    pages_ = [(f"d{k % 3}", k, i, 10.0 * i if i % 4 else 10.0 * i + 5000 * (k % 2), 0.0) for k in range(40) for i in range(8)]
+    chain = [("long", 1, i, 10.0 * i, 0.0) for i in range(25_000)]
+    rows = spark.createDataFrame([(d, p, i, x, y, x + 9, y + 9) for d, p, i, x, y in pages_ + chain], "doc_id string, page_num int, drawing_id long, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.doc_id, r.page_num, r.drawing_id): r.cluster for r in regions.clusters(rows, slack=2.0).collect()}
+    assert len(got) == len(pages_) + len(chain)
+    assert all(got["long", 1, i] == 0 for i in range(25_000))
+    for k in range(40):
+        want = [0, 1, 1, 1, 4, 5, 5, 5] if k % 2 else [0] * 8
+        assert [got[f"d{k % 3}", k, i] for i in range(8)] == want
