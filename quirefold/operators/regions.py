@@ -33,14 +33,17 @@ BATCH = 10_000
 
 
 def usable_drawings(drawings: DataFrame, pages: DataFrame) -> DataFrame:
-    """Drawings of pages with enough of them, less specks and backgrounds, with solid and sloped."""
+    """Drawings of pages with enough of them, less specks and backgrounds, with solid and sloped.
+
+    Whether a drawing is sloped is settled first, so that paths cross the cluster only if the caller keeps them.
+    """
     page = Window.partitionBy(*PAGE)
-    rows = drawings.withColumn("_n", F.count(F.lit(1)).over(page)).where(F.col("_n") >= PAGE_DRAWINGS).drop("_n")
+    rows = drawings.withColumn("sloped", is_sloped(F.col("ops"))).withColumn("_n", F.count(F.lit(1)).over(page)).where(F.col("_n") >= PAGE_DRAWINGS).drop("_n")
     rows = rows.join(pages.select(*PAGE, F.col("width").alias("_w"), F.col("height").alias("_h")), list(PAGE))
     b = G.box()
     thin_w, thin_h = G.width(b) < LEAST_SIDE, G.height(b) < LEAST_SIDE
     rows = rows.where(~(thin_w & thin_h) & (G.width(b) * G.height(b) <= LARGEST_SHARE * F.col("_w") * F.col("_h")))
-    return rows.select("*", (~(thin_w | thin_h)).alias("solid"), is_sloped(F.col("ops")).alias("sloped")).drop("_w", "_h")
+    return rows.withColumn("solid", ~(thin_w | thin_h)).drop("_w", "_h")
 
 
 def is_sloped(ops: Column) -> Column:
