@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,44 +71,130 @@ def near_pairs(drawings: DataFrame, slack: float = REACH, cell: float = CELL) ->
     return pairs.select(F.col("a.doc_id"), F.col("a.page_num"), F.col("a.drawing_id").alias("a"), F.col("b.drawing_id").alias("b"))
 
 
-def _components(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs sorted by page -> (doc_id, page_num, drawing_id, cluster).  Union-find over one page at a time, whose
-    links are not kept; the component is the smallest id."""
-    parent: dict[int, int] = {}
-    done: list[tuple] = []
-    page = None
+def _roots(ids: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """The smallest id that each box of a page reaches over boxes that meet, edges included; ids ascend.
+
+    A sweep along x over a segment tree along y.  cover[v] is the box that spans v and lasts longest, below[v] holds
+    the boxes that lie under v; boxes that a later one spans as a whole are one with it, so of them the one that lasts
+    longest stands for all.  Each box enters a logarithmic number of lists and leaves them once: n log n steps, however
+    many pairs are near.
+    """
+    n = len(ids)
+    parent = list(range(n))
 
     def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
+    def join(x: int, y: int) -> None:
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+
+    for i in np.flatnonzero(ids[1:] == ids[:-1]).tolist():  # rows of one drawing
+        join(i, i + 1)
+    # Ranks order coordinates as Spark does, NaN above all.
+    left, right = np.split(np.unique(np.concatenate([x0, x1]), return_inverse=True)[1], 2)
+    top, bottom = np.split(np.unique(np.concatenate([y0, y1]), return_inverse=True)[1], 2)
+    proper = (left <= right) & (top <= bottom)
+    for i in np.flatnonzero(~proper).tolist():  # turned inside out: near what reaches over both sides
+        for k in np.flatnonzero((left <= right[i]) & (right >= left[i]) & (top <= bottom[i]) & (bottom >= top[i])).tolist():
+            join(i, k)
+    size = 1 << int(max(top.max(), bottom.max())).bit_length()
+    cover, below = [-1] * (2 * size), [[] for _ in range(2 * size)]
+    order = np.flatnonzero(proper)
+    order = order[np.argsort(left[order], kind="stable")].tolist()
+    left, right, top, bottom = left.tolist(), right.tolist(), top.tolist(), bottom.tolist()
+    for i in order:
+        now, until = left[i], right[i]
+        lo, hi = top[i] + size, bottom[i] + size
+        spanned, a, b = [], lo, hi + 1
+        while a < b:
+            if a & 1:
+                spanned.append(a)
+                a += 1
+            if b & 1:
+                b -= 1
+                spanned.append(b)
+            a >>= 1
+            b >>= 1
+        for v in spanned:
+            c = cover[v]
+            if c >= 0 and right[c] >= now:
+                join(c, i)
+            if c < 0 or right[c] < until:
+                cover[v] = i
+            if below[v]:
+                alive = [c for c in below[v] if right[c] >= now]
+                for c in alive:
+                    join(c, i)
+                below[v] = [max(alive, key=right.__getitem__)] if alive else []
+        a, b = lo >> 1, hi >> 1
+        while a:
+            for v in (a,) if a == b else (a, b):
+                c = cover[v]
+                if c >= 0 and right[c] >= now:
+                    join(c, i)
+                below[v].append(i)
+            a >>= 1
+            b >>= 1
+    return ids[[root(i) for i in range(n)]]
+
+
+def _pages(source: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, list[np.ndarray]]]:
+    """(page, ids, sides) of each page, ids ascending, from rows sorted by page."""
+    held: list[list[np.ndarray]] = []
+    last = None
+
+    def whole() -> tuple[tuple, np.ndarray, list[np.ndarray]]:
+        ids, *sides = map(np.concatenate, zip(*held))
+        held.clear()
+        order = np.argsort(ids, kind="stable")
+        return last, ids[order], [s[order] for s in sides]
+
+    for batch in source:
+        pages = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        columns = [batch.column(k).to_numpy() for k in range(2, 7)]
+        starts = [i for i in range(len(pages)) if not i or pages[i] != pages[i - 1]]
+        for lo, hi in zip(starts, [*starts[1:], len(pages)]):
+            if held and pages[lo] != last:
+                yield whole()
+            last = pages[lo]
+            held.append([c[lo:hi] for c in columns])
+    if held:
+        yield whole()
+
+
+def _components(source: Iterable[pa.RecordBatch], slack: float) -> Iterator[pa.RecordBatch]:
+    """Boxes sorted by page -> (doc_id, page_num, drawing_id, cluster) of drawings that are not the smallest of
+    their cluster, once each."""
+    done: list[tuple] = []
+
     def batch() -> pa.RecordBatch:
         columns = list(zip(*done)) or [()] * 4
         done.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=[*PAGE, "drawing_id", "cluster"])
 
-    for pairs in source:
-        for *own, x, y in zip(*(pairs.column(k).to_pylist() for k in range(4))):
-            if own != page:
-                done.extend((*page, i, root(i)) for i in sorted(parent))  # none before the first page
-                parent.clear()
-                page = own
-                if len(done) >= BATCH:
-                    yield batch()
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    done.extend((*page, i, root(i)) for i in sorted(parent))
+    for page, ids, (x0, y0, x1, y1) in _pages(source):
+        if len(ids) > 1:
+            found = _roots(ids, x0, y0, x1 + slack, y1 + slack)  # within slack of each other: these meet
+            other = np.flatnonzero((found != ids) & np.append(True, ids[1:] != ids[:-1]))
+            done.extend((*page, i, c) for i, c in zip(ids[other].tolist(), found[other].tolist()))
+        if len(done) >= BATCH:
+            yield batch()
     yield batch()
 
 
 def clusters(drawings: DataFrame, slack: float = REACH) -> DataFrame:
-    """drawings with cluster, the smallest id of those linked by nearness.  One page's drawings meet in a
-    task: a page is bounded by what a page can hold."""
-    pairs = near_pairs(drawings, slack).repartition(*PAGE).sortWithinPartitions(*PAGE)
-    found = pairs.mapInArrow(_components, "doc_id string, page_num int, drawing_id long, cluster long")
+    """drawings with cluster, the smallest id of those linked by nearness, as near_pairs() has it.  Pairs are never
+    listed: a crowded page has as many as the square of its drawings.  One page's drawings meet in a task: a page is
+    bounded by what a page can hold.  Drawings without a page, an id or a side are near nothing."""
+    sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    boxes = drawings.select(*PAGE, "drawing_id", *sides)
+    boxes = boxes.where(" and ".join(f"{c} is not null" for c in boxes.columns)).repartition(*PAGE).sortWithinPartitions(*PAGE)
+    found = boxes.mapInArrow(partial(_components, slack=slack), "doc_id string, page_num int, drawing_id long, cluster long")
     return drawings.join(found, [*PAGE, "drawing_id"], "left").withColumn("cluster", F.coalesce("cluster", "drawing_id"))
 
 

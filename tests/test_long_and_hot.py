@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,34 @@ def test_components_of_many_pages_in_few_tasks(spark):
     for k in range(40):
         want = [0, 1, 1, 1, 4, 5, 5, 5] if k % 2 else [0] * 8
         assert [got[f"d{k % 3}", k, i] for i in range(8)] == want
+
+
+def test_components_of_a_crowded_page(spark):
+    """As many pairs as would never end: boxes on one spot, on a diagonal with gaps, and one by itself."""
+    spot = [(i, 100.0, 100.0, 110.0, 110.0) for i in range(40_000)]
+    steps = [(50_000 + i, 1000.0 + 20 * i, 1000.0 + 20 * i, 1019.0 + 20 * i, 1019.0 + 20 * i) for i in range(20_000) if i % 5_000]
+    rows = [("d", 1, *b) for b in [*spot, *steps, (99_999, -50.0, -50.0, -40.0, -40.0), (99_998, None, 0.0, 9.0, 9.0)]]
+    df = spark.createDataFrame(rows, "doc_id string, page_num int, drawing_id long, x0 double, y0 double, x1 double, y1 double")
+    got = {r.drawing_id: r.cluster for r in regions.clusters(df, slack=2.0).collect()}
+    assert len(got) == len(rows) and all(got[i] == 0 for i in range(40_000))
+    assert all(got[b[0]] == 50_001 + (b[0] - 50_000) // 5_000 * 5_000 for b in steps)
+    assert got[99_999] == 99_999 and got[99_998] == 99_998
+
+
+def test_roots_equal_all_pairs():
+    """Any boxes: on each other's edge, turned inside out, endless, not a number, and several of one id."""
+    rnd = random.Random(5)
+    reach = lambda a, b: a != a or (b == b and a >= b)
+    for _ in range(300):
+        n, wide, odd = rnd.randrange(2, 30), rnd.choice([5, 20, 60, 200]), rnd.random() < 0.4
+        side = lambda: rnd.choice([float("nan"), float("inf"), -float("inf"), -0.0]) if odd and rnd.random() < 0.05 else float(rnd.randrange(wide))
+        more = lambda: rnd.randrange(20) - 8 * (odd and rnd.random() < 0.3)
+        ids = sorted(rnd.randrange(40 if odd else 10**6) for _ in range(n))
+        boxes = [(x := side(), y := side(), x + more(), y + more()) for _ in range(n)]
+        want = list(range(n))
+        for i, a in enumerate(boxes):
+            for j, b in enumerate(boxes[:i]):
+                if ids[i] == ids[j] or (reach(a[2], b[0]) and reach(b[2], a[0]) and reach(a[3], b[1]) and reach(b[3], a[1])):
+                    low, high = sorted((want[i], want[j]))
+                    want = [low if k == high else k for k in want]
+        assert regions._roots(np.array(ids), *np.array(boxes).T).tolist() == [ids[k] for k in want]
