@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -63,6 +64,8 @@ def discard(*frames: DataFrame) -> None:
     """Delete what materialise() wrote for these; nothing that is still to be computed may read them."""
     for df in frames:
         _delete(df._quirefold_path)
+    for spark in {id(df.sparkSession): df.sparkSession for df in frames}.values():
+        collect_driver(spark)
 
 
 def written() -> set[str]:
@@ -74,6 +77,17 @@ def discard_others(before: set[str], *kept: DataFrame) -> None:
     """Delete what was written since written() gave before, but for kept."""
     for path in written() - before - {df._quirefold_path for df in kept}:
         _delete(path)
+    for df in kept[:1]:
+        collect_driver(df.sparkSession)
+
+
+def collect_driver(spark: SparkSession) -> None:
+    """The driver's memory of what is over goes back to the system: plans, classes made for them and buffers outlive
+    their queries until the JVM collects its garbage, which it puts off by letting its heap grow."""
+    gc.collect()
+    with contextlib.suppress(Exception):  # only memory is at stake
+        spark.sparkContext._jvm.System.gc()
+    _hand_back()
 
 
 def _delete(path: str) -> None:
@@ -93,15 +107,19 @@ def _remove() -> None:
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def _hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def _tidied(source: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
     """work's batches; at the end of the task the memory that it freed goes back to the system, as the
     worker lives on beside the next ones."""
     try:
         yield from work(source)
     finally:
-        pa.default_memory_pool().release_unused()
-        if _trim is not None:
-            _trim(0)
+        _hand_back()
 
 
 def in_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:

@@ -43,12 +43,19 @@ def _forests(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u of edges (u, v), v < u, has one edge and is no v: its v is then the smallest it reaches."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
     edges: two columns of one non-null orderable type, in any direction, repeated or not; a loop
     counts as no edge.  Each task first shrinks its edges to a forest, then large-star and small-star rounds
-    run until nothing changes.  Each round is written to the shared folder, so that a lost
+    run until all that is left are stars.  Each round is written to the shared folder, so that a lost
     executor costs a round at most, and the one before is deleted.  Hubs are aggregated before the shuffle, and the joins are ones
     that adaptive execution may split.
     """
@@ -57,12 +64,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     stars = materialise(pairs.transform(in_arrow, _forests, f"u {kind}, v {kind}").distinct(), "forest")
 
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        return row["n"], row["s"]
-
-    before = mark(stars)
-    while before[0]:
+    while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -72,10 +74,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars, old = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars"), stars
         discard(old)
-        now = mark(stars)
-        if now == before:
-            break
-        before = now
     out = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = stars.select(F.col("v").alias("node")).distinct()
     return out.unionByName(roots.select("node", F.col("node").alias("component")))

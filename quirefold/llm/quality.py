@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import discard, in_arrow, materialise, quoted, type_of
+from quirefold.llm.common import collect_driver, discard, in_arrow, materialise, quoted, type_of
 
 #: Hashed weights; words, their beginnings and shapes, and the document's statistics share them.
 DIMENSION_BITS = 18
@@ -201,7 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         values.append(np.frombuffer(row["values"], dtype=np.float32))
         grades.append(row["grade"])
     discard(rows)
-    return fit(buckets, values, np.array(grades), 3) if grades else None
+    model = fit(buckets, values, np.array(grades), 3) if grades else None
+    collect_driver(docs.sparkSession)
+    return model
 
 
 def _scores(texts: list[str | None], model: Model) -> np.ndarray:

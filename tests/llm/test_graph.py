@@ -44,3 +44,20 @@ def test_random_graphs(spark, seed, monkeypatch):
 def test_strings_and_no_edges(spark):
     assert got(spark, [("b", "a"), ("c", "b")], "a string, b string") == {"a": "a", "b": "a", "c": "a"}
     assert got(spark, []) == {}
+
+
+def test_no_round_once_all_are_stars(spark, monkeypatch):
+    """Rounds cost the driver their plans, stages and tasks: none runs that would change nothing."""
+    written = []
+    kept = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: (written.append(tag), kept(df, tag))[1])
+    stars = [(i % 7, i) for i in range(7, 300)]
+    assert got(spark, stars, parts=1) == brute(stars) and written == ["forest"]
+    written.clear()
+    assert got(spark, []) == {} and written == ["forest"]
+
+
+@pytest.mark.parametrize("edges", [[(3, 1), (3, 2)], [(2, 1), (3, 2)], [(5, 1), (5, 1)], [(4, 1), (4, 2), (9, 2)]])
+def test_what_is_no_star_goes_on(spark, edges):
+    assert got(spark, edges, parts=len(edges)) == brute(edges)
+    assert graph._are_stars(spark.createDataFrame(edges, "u long, v long").distinct()) == (len(set(edges)) == 1)
